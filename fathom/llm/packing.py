@@ -229,7 +229,7 @@ def _slots(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
-def pack(cut: DataFrame, window: int = 4096, bin_width: int = 16, rows_per_bucket: int = 200_000) -> DataFrame:
+def pack(cut: DataFrame, window: int = 4096, bin_width: int = 16, rows_per_bucket: int = 20_000) -> DataFrame:
     """Pieces (doc_id, start, length, ...) with the sequence and the offset in it that each gets.
 
     Lengths are rounded up to bins of bin_width for planning only; offsets are by true lengths, gapless
