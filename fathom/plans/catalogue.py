@@ -1,15 +1,534 @@
-"""The catalogue of queries over the driver's tables, each with its DuckDB counterpart."""
+"""The catalogue of queries over the driver's tables, each with its DuckDB counterpart.
+
+Parameters are fixed so that both sides agree. Each query is registered with its SQL by @query.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fathom.functions import code, text, vector
+from fathom.operators import search as S
+from fathom.operators import tables as T
+from fathom.operators.filters import SearchFilters, apply
+from fathom.sources import adapters as A
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+TERMS = ["that", "esat"]
+LIMIT = 10
+FOLD = f"translate(lower({{}}), '{text.ACCENTED}', '{text.FOLDED}')"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
+    return register
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _tok(column: str) -> str:
+    return f"regexp_extract_all({FOLD.format(column)}, '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _count(toks: str, term: str) -> str:
+    words = term.split(" ")
+    if len(words) == 1:
+        return f"len(list_filter({toks}, lambda x: x = '{term}'))"
+    same = " AND ".join(f"{toks}[i + {k}] = '{w}'" for k, w in enumerate(words))
+    return f"len(list_filter(range(1, len({toks}) - {len(words) - 2}), lambda i: {same}))"
+
+
+def bm25_sql(terms: list[str], source: str = "SELECT doc_id AS chunk_id, lang AS package_name, source || '/' || lang || '/' || doc_id || '.txt' AS file_path, text AS c0 FROM documents", columns: int = 1, where: str = "true") -> str:
+    """Common table expressions up to scored(chunk_id, ..., bm25)."""
+    toks = ", ".join(f"{_tok(f'c{c}')} AS t{c}" for c in range(columns))
+    dl = " + ".join(f"len(t{c})" for c in range(columns))
+    fs = ", ".join(" + ".join(_count(f"t{c}", t) for c in range(columns)) + f" AS f{k}" for k, t in enumerate(terms))
+    ns = ", ".join(f"count(*) FILTER (f{k} > 0) AS n{k}" for k in range(len(terms)))
+    idf = lambda k: f"CASE WHEN ln((n - n{k} + 0.5) / (n{k} + 0.5)) > 0 THEN ln((n - n{k} + 0.5) / (n{k} + 0.5)) ELSE 1e-6 END"
+    part = " + ".join(f"round(({idf(k)}) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / a)), 12)" for k in range(len(terms)))
+    every = " AND ".join(f"f{k} > 0" for k in range(len(terms)))
+    return f"""WITH raw AS ({source}), toks AS (SELECT *, {toks} FROM raw), d AS (SELECT *, {dl} AS dl, {fs} FROM toks),
+        s AS (SELECT count(*) AS n, avg(dl) AS a, {ns} FROM d),
+        scored AS (SELECT d.*, round(-({part}), 9) AS bm25 FROM d, s WHERE {every} AND {where})"""
+
+
+def _keyword(spark: SparkSession, sf_dir: str, terms: list[str] = TERMS, limit: int = LIMIT, candidates=lambda df: df, **more) -> DataFrame:
+    return S.keyword_search(A.whole_chunks(spark, sf_dir), ["content"], terms, limit, candidates, **more)
+
+
+TOP = f"SELECT chunk_id, bm25 FROM scored ORDER BY bm25, chunk_id LIMIT {LIMIT}"
+
+
+@query(f"{bm25_sql(TERMS)} {TOP}")
+def keyword_bm25_topk(spark, sf_dir):
+    return _keyword(spark, sf_dir).select("chunk_id", "bm25")
+
+
+@query(f"{bm25_sql(TERMS)}, b AS ({TOP}) SELECT chunk_id, row_number() OVER (ORDER BY bm25, chunk_id) AS rank, round(1 / (1 + abs(bm25) / 50), 9) AS relevance_score FROM b")
+def keyword_normalized_score(spark, sf_dir):
+    best = S.ranked(_keyword(spark, sf_dir), F.col("bm25"), F.col("chunk_id"))
+    return best.select("chunk_id", "rank", F.round("relevance_score", 9).alias("relevance_score"))
+
+
+@query(f"{bm25_sql(TERMS)}, b AS ({TOP}) SELECT chunk_id, bm25 FROM b WHERE 1 / (1 + abs(bm25) / 50) >= 0.875")
+def keyword_min_relevance_after_limit(spark, sf_dir):
+    return _keyword(spark, sf_dir, min_relevance=0.875).select("chunk_id", "bm25")
+
+
+THREE = ["that", "the", "esat"]
+
+
+@query(f"{bm25_sql(THREE)} SELECT chunk_id, bm25 FROM scored")
+def keyword_multi_term_and(spark, sf_dir):
+    return S.keyword_scores(A.whole_chunks(spark, sf_dir), ["content"], THREE).select("chunk_id", "bm25")
+
+
+@query(f"{bm25_sql(['que'], where='package_name IN (' + chr(39) + 'es' + chr(39) + ')')} {TOP}")
+def keyword_package_filter(spark, sf_dir):
+    return _keyword(spark, sf_dir, ["que"], candidates=lambda df: apply(df, SearchFilters(packages=["es"]))).select("chunk_id", "bm25")
+
+
+@query(f"{bm25_sql(['of the'])} SELECT chunk_id, bm25 FROM scored")
+def phrase_match(spark, sf_dir):
+    return S.keyword_scores(A.whole_chunks(spark, sf_dir), ["content"], text.query_terms("of_the")).select("chunk_id", "bm25")
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] * {b}[i])::DOUBLE))"
+
+
+def _sim(v: str = "v", q: str = "q") -> str:
+    return f"CASE WHEN len({v}) <> len({q}) OR {_dot(v, v)} = 0 OR {_dot(q, q)} = 0 THEN 0.0 ELSE {_dot(v, q)} / (sqrt({_dot(v, v)}) * sqrt({_dot(q, q)})) END"
+
+
+Q_CTE = "qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
+V_TOP = f"WITH {Q_CTE} SELECT vec_id AS chunk_id, round({_sim('embedding')}, 9) AS similarity FROM embeddings, qv WHERE {{where}} ORDER BY {_sim('embedding')} DESC, vec_id LIMIT {{limit}}"
+
+
+def _nearest(spark, sf_dir, vectors=None, limit: int = LIMIT, **more) -> DataFrame:
+    found = S.vector_search(A.vectors(spark, sf_dir) if vectors is None else vectors, A.query_vector(spark, sf_dir), limit, **more)
+    return found.select("chunk_id", F.round("similarity", 9).alias("similarity"))
+
+
+@query(V_TOP.format(where="true", limit=LIMIT))
+def vector_cosine_topk(spark, sf_dir):
+    return _nearest(spark, sf_dir)
+
+
+@query(V_TOP.format(where=f"{_sim('embedding')} >= 0.2", limit=LIMIT))
+def vector_min_relevance(spark, sf_dir):
+    return _nearest(spark, sf_dir, min_relevance=0.2)
+
+
+@query(V_TOP.format(where="label IN (1, 3)", limit=LIMIT))
+def vector_filtered_label(spark, sf_dir):
+    return _nearest(spark, sf_dir, A.vectors(spark, sf_dir).where(F.col("label").isin(1, 3)))
+
+
+@query(f"WITH {Q_CTE}, v AS (SELECT vec_id AS chunk_id, embedding AS v FROM embeddings UNION ALL SELECT vec_id + 1000000000, embedding[1:32] FROM embeddings) SELECT chunk_id, round({_sim()}, 9) AS similarity FROM v, qv WHERE len(v) = len(q) ORDER BY {_sim()} DESC, chunk_id LIMIT {LIMIT}")
+def vector_dimension_mismatch(spark, sf_dir):
+    v = A.vectors(spark, sf_dir).drop("label")
+    short = v.select((F.col("chunk_id") + 1_000_000_000).alias("chunk_id"), F.slice("vector", 1, 32).alias("vector"))
+    return _nearest(spark, sf_dir, v.unionByName(short))
+
+
+@query(f"WITH {Q_CTE}, v AS (SELECT vec_id AS chunk_id, embedding AS v FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_transform(embedding, lambda x: 0::FLOAT) FROM embeddings) SELECT chunk_id, round({_sim()}, 6) AS similarity FROM v, qv")
+def vector_zero_norm(spark, sf_dir):
+    v = A.vectors(spark, sf_dir).drop("label")
+    zero = v.select((F.col("chunk_id") + 1_000_000_000).alias("chunk_id"), F.transform("vector", lambda x: F.lit(0.0).cast("float")).alias("vector"))
+    both = v.unionByName(zero).crossJoin(F.broadcast(A.query_vector(spark, sf_dir)))
+    return both.select("chunk_id", F.round(vector.cosine(F.col("vector"), F.col("q")), 6).alias("similarity"))
+
+
+@query(f"SELECT vec_id AS chunk_id, round((embedding[1] / sqrt({_dot('embedding', 'embedding')})::FLOAT)::DOUBLE, 5) AS first, round((embedding[64] / sqrt({_dot('embedding', 'embedding')})::FLOAT)::DOUBLE, 5) AS last, len(embedding)::BIGINT AS dimension FROM embeddings")
+def vector_l2_normalize(spark, sf_dir):
+    v = A.vectors(spark, sf_dir).select("chunk_id", vector.normalize(F.col("vector")).alias("v"))
+    at = lambda k: F.round(F.element_at("v", k).cast("double"), 5)
+    return v.select("chunk_id", at(1).alias("first"), at(64).alias("last"), F.size("v").cast("long").alias("dimension"))
+
+
+def _rrf_sql(k: int, limit: int, terms: list[str] = TERMS, cut: int | None = None) -> str:
+    return f"""{bm25_sql(terms)}, {Q_CTE},
+        v0 AS (SELECT vec_id AS chunk_id, {_sim('embedding')} AS s FROM embeddings, qv ORDER BY s DESC, chunk_id LIMIT {limit}),
+        t0 AS (SELECT chunk_id, bm25 FROM scored ORDER BY bm25, chunk_id LIMIT {limit}),
+        r AS (SELECT chunk_id, row_number() OVER (ORDER BY s DESC, chunk_id) AS k FROM v0 UNION ALL SELECT chunk_id, row_number() OVER (ORDER BY bm25, chunk_id) FROM t0),
+        g AS (SELECT chunk_id, round(sum(1.0::DOUBLE / ({k} + k)), 12) AS x FROM r GROUP BY chunk_id),
+        fused AS (SELECT chunk_id, x, row_number() OVER (ORDER BY x DESC, chunk_id) AS rank FROM g){f', cut AS (SELECT * FROM fused WHERE rank <= {cut})' if cut else ''}"""
+
+
+def _arms(spark, sf_dir, limit: int, terms: list[str] = TERMS) -> tuple[DataFrame, DataFrame]:
+    return S.vector_search(A.vectors(spark, sf_dir), A.query_vector(spark, sf_dir), limit), _keyword(spark, sf_dir, terms, limit)
+
+
+def _fused(spark, sf_dir, k: int, limit: int, terms: list[str] = TERMS, cut: int | None = None) -> DataFrame:
+    out = S.hybrid_search(*_arms(spark, sf_dir, limit, terms), cut or 2 * limit, k)
+    return out.select("chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "rank")
+
+
+@query(f"{_rrf_sql(60, 20)} SELECT chunk_id, round(x, 9) AS rrf_score, rank FROM fused")
+def rrf_fusion(spark, sf_dir):
+    return _fused(spark, sf_dir, 60, 20)
+
+
+@query(f"{_rrf_sql(30, 20)} SELECT chunk_id, round(x, 9) AS rrf_score, rank FROM fused")
+def rrf_custom_k(spark, sf_dir):
+    return _fused(spark, sf_dir, 30, 20)
+
+
+@query(f"{_rrf_sql(60, 2 * LIMIT, cut=LIMIT)} SELECT chunk_id, rank, round(x, 9) AS relevance_score, file_path, package_name, c0 AS content FROM cut JOIN raw USING (chunk_id)")
+def hybrid_search_topk(spark, sf_dir):
+    hits = _fused(spark, sf_dir, 60, 2 * LIMIT, cut=LIMIT)
+    chunks = A.whole_chunks(spark, sf_dir).select("chunk_id", "file_id", "content")
+    files = A.files(spark, sf_dir).select("file_id", "file_path", "package_name")
+    return S.hydrate(hits, chunks, files).select("chunk_id", "rank", F.col("rrf_score").alias("relevance_score"), "file_path", "package_name", "content")
+
+
+@query(f"{_rrf_sql(60, 2 * LIMIT, ['zzznone'], LIMIT)} SELECT chunk_id, rank, round(x, 9) AS rrf_score FROM cut")
+def hybrid_one_arm_empty(spark, sf_dir):
+    return _fused(spark, sf_dir, 60, 2 * LIMIT, ["zzznone"], LIMIT).select("chunk_id", "rank", "rrf_score")
+
+
+@query(f"{_rrf_sql(60, 2 * LIMIT, cut=LIMIT)} SELECT cut.chunk_id, rank, coalesce(quality, -1) AS symbol_quality, coalesce(toxic, -1) AS symbol_toxic, file_path, '' || chr(10) || chr(10) || '' AS context FROM cut JOIN raw USING (chunk_id) LEFT JOIN labels ON doc_id = cut.chunk_id")
+def hydrate_results(spark, sf_dir):
+    hits = _fused(spark, sf_dir, 60, 2 * LIMIT, cut=LIMIT)
+    chunks = A.whole_chunks(spark, sf_dir).select("chunk_id", "file_id", "symbol_id")
+    symbols = A.symbols(spark, sf_dir).select(F.col("id").alias("symbol_id"), F.col("quality").alias("symbol_quality"), F.col("toxic").alias("symbol_toxic"))
+    out = S.hydrate(hits, chunks, A.files(spark, sf_dir).select("file_id", "file_path"), symbols)
+    missing = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return out.select("chunk_id", "rank", missing("symbol_quality"), missing("symbol_toxic"), "file_path", F.concat(F.lit(""), F.lit("\n\n"), F.lit("")).alias("context"))
+
+
+def _flagged(spark, sf_dir) -> DataFrame:
+    flags = A.symbols(spark, sf_dir).select("id", (F.col("quality") == 0).alias("is_service"), (F.col("toxic") == 1).alias("is_handler"))
+    return flags
+
+
+@query("SELECT doc_id AS chunk_id, lang AS package_name FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 OR toxic = 1)")
+def ddd_filter_semi(spark, sf_dir):
+    found = apply(A.whole_chunks(spark, sf_dir), SearchFilters(ddd_patterns=["service", "handler"]), _flagged(spark, sf_dir))
+    return found.select("chunk_id", "package_name")
+
+
+PATH = "source || '/' || lang || '/' || doc_id || '.txt'"
+
+
+@query(f"SELECT doc_id AS chunk_id, {PATH} AS file_path FROM documents WHERE {PATH} GLOB 'src1*/[ed]*/?*5.txt'")
+def glob_filter(spark, sf_dir):
+    return apply(A.whole_chunks(spark, sf_dir), SearchFilters(file_pattern="src1*/[ed]*/?*5.txt")).select("chunk_id", "file_path")
+
+
+@query(f"""WITH {Q_CTE}, c AS (SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND {PATH} GLOB 'src*.txt' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 OR toxic = 1 OR quality = 1 AND toxic = 1))
+    SELECT vec_id AS chunk_id, round({_sim('embedding')}, 9) AS similarity FROM embeddings JOIN c ON doc_id = vec_id, qv WHERE {_sim('embedding')} >= -0.5 ORDER BY {_sim('embedding')} DESC, vec_id LIMIT {LIMIT}""")
+def combined_filters(spark, sf_dir):
+    filters = SearchFilters(symbol_types=["package"], file_pattern="src*.txt", ddd_patterns=["service", "handler"], packages=["en", "de"], min_relevance=-0.5)
+    chunks = apply(A.whole_chunks(spark, sf_dir), filters, _flagged(spark, sf_dir)).select("chunk_id")
+    return _nearest(spark, sf_dir, A.vectors(spark, sf_dir).join(chunks, "chunk_id", "left_semi"), min_relevance=0.0).where(F.col("similarity") >= filters.min_relevance)
+
+
+PART = "SELECT p_partkey AS chunk_id, p_name AS c0, p_brand AS c1, p_type AS c2 FROM part"
+
+
+@query(f"{bm25_sql(['economy', 'ring'], PART, 3)} {TOP}")
+def symbol_search_bm25(spark, sf_dir):
+    part = A.read(spark, sf_dir, "part").withColumnRenamed("p_partkey", "chunk_id")
+    return S.keyword_search(part, ["p_name", "p_brand", "p_type"], ["economy", "ring"], LIMIT).select("chunk_id", "bm25")
+
+
+@query(f"SELECT doc_id AS file_id, {PATH} AS file_path, sha256(text) AS content_hash, strlen(text)::BIGINT AS size_bytes FROM documents WHERE source = 'src0' ORDER BY file_path")
+def list_files_ordered(spark, sf_dir):
+    f = A.files(spark, sf_dir).where(F.col("project") == "src0")
+    return f.select("file_id", "file_path", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes")).orderBy("file_path")
+
+
+@query(f"SELECT doc_id AS file_id, {PATH} AS file_path FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id = 7)")
+def point_lookup_hash(spark, sf_dir):
+    f = A.files(spark, sf_dir).withColumn("h", F.sha2("text", 256))
+    return f.join(F.broadcast(f.where("file_id = 7").select("h").limit(1)), "h", "left_semi").select("file_id", "file_path")
+
+
+STATUS_SQL = """WITH f AS (SELECT source AS project, count(*) AS files FROM documents GROUP BY 1),
+    s AS (SELECT source AS project, count(*) AS symbols FROM labels JOIN documents USING (doc_id) GROUP BY 1),
+    c AS (SELECT source AS project, sum(len(string_split(text, chr(10))))::BIGINT AS chunks FROM documents GROUP BY 1),
+    e AS (SELECT source AS project, count(*) AS embeddings FROM embeddings JOIN documents ON doc_id = vec_id GROUP BY 1),
+    st AS (SELECT project, files, coalesce(symbols, 0) AS symbols, coalesce(chunks, 0) AS chunks, coalesce(embeddings, 0) AS embeddings FROM f LEFT JOIN s USING (project) LEFT JOIN c USING (project) LEFT JOIN e USING (project))"""
+
+
+def _status(spark, sf_dir) -> DataFrame:
+    files = A.files(spark, sf_dir)
+    owner = files.select(F.col("file_id").alias("id"), "project")
+    lines = files.groupBy("project").agg(F.sum(F.size(F.split("text", "\n", -1))).cast("long").alias("chunks"))
+    counted = T.counts_by(files, "project", {"files": files, "symbols": A.symbols(spark, sf_dir).join(owner, "id"), "embeddings": A.vectors(spark, sf_dir).select(F.col("chunk_id").alias("id")).join(owner, "id")})
+    return counted.join(lines, "project", "left").select("project", "files", "symbols", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"), "embeddings")
+
+
+@query(f"{STATUS_SQL} SELECT * FROM st")
+def status_counts(spark, sf_dir):
+    return _status(spark, sf_dir)
+
+
+@query(f"{STATUS_SQL} SELECT project, true AS database_accessible, embeddings > 0 AS embeddings_available, true AS fts_indexes_built FROM st")
+def status_health_flags(spark, sf_dir):
+    return _status(spark, sf_dir).select("project", F.lit(True).alias("database_accessible"), (F.col("embeddings") > 0).alias("embeddings_available"), F.lit(True).alias("fts_indexes_built"))
+
+
+@query(f"{STATUS_SQL} SELECT project, files AS total_files, chunks AS total_chunks FROM st")
+def project_totals(spark, sf_dir):
+    return _status(spark, sf_dir).select("project", F.col("files").alias("total_files"), F.col("chunks").alias("total_chunks"))
+
+
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Old: the documents. New: those with a label, with other text if toxic, and the pages."""
+    docs = A.read(spark, sf_dir, "documents")
+    old = docs.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"), F.lit(1).alias("created"))
+    labelled = docs.join(A.read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    seen = labelled.select((F.col("doc_id") + 1_000_000_000).alias("file_id"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("file_path"), F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"), F.lit(2).alias("created"))
+    fresh = A.read(spark, sf_dir, "pages").select((F.col("page_id") + 2_000_000_000).alias("file_id"), F.concat(F.lit("p/"), F.col("page_id").cast("string")).alias("file_path"), F.col("html").alias("content"), F.lit(2).alias("created"))
+    return old, seen.unionByName(fresh)
+
+
+SNAPSHOTS = """WITH old AS (SELECT doc_id AS file_id, 'd/' || doc_id AS file_path, text AS content, 1 AS created FROM documents),
+    new AS (SELECT doc_id + 1000000000 AS file_id, 'd/' || doc_id AS file_path, CASE WHEN toxic = 1 THEN text || '!' ELSE text END AS content, 2 AS created FROM documents JOIN labels USING (doc_id)
+        UNION ALL SELECT page_id + 2000000000, 'p/' || page_id, html, 2 FROM pages)"""
+
+
+@query(f"{SNAPSHOTS} SELECT coalesce(old.file_id, new.file_id) AS file_id, file_path, md5(coalesce(new.content, old.content)) AS content, coalesce(old.created, new.created) AS created FROM old FULL JOIN new USING (file_path)")
+def upsert_merge_files(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    merged = T.merge(old, new, ["file_path"], keep=["file_id", "created"])
+    return merged.select("file_id", "file_path", F.md5("content").alias("content"), "created")
+
+
+@query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, md5(arg_max(text, turn)) AS content FROM conversations GROUP BY conv_id")
+def upsert_last_writer_wins(spark, sf_dir):
+    last = T.last_writer(A.read(spark, sf_dir, "conversations"), ["conv_id"], "turn")
+    return last.select("conv_id", "turn", "role", F.md5("text").alias("content"))
+
+
+@query("""WITH new AS (SELECT vec_id AS chunk_id, label + 100 AS label, len(embedding)::BIGINT AS dimension FROM embeddings WHERE label = 3 UNION ALL SELECT doc_id + 1000000000, 200, 0 FROM labels)
+    SELECT vec_id AS chunk_id, label, len(embedding)::BIGINT AS dimension FROM embeddings WHERE vec_id NOT IN (SELECT chunk_id FROM new) UNION ALL SELECT * FROM new""")
+def upsert_embeddings(spark, sf_dir):
+    old = A.vectors(spark, sf_dir).select("chunk_id", "label", F.size("vector").cast("long").alias("dimension"))
+    more = A.symbols(spark, sf_dir).select((F.col("id") + 1_000_000_000).alias("chunk_id"), F.lit(200).alias("label"), F.lit(0).cast("long").alias("dimension"))
+    new = old.where("label = 3").withColumn("label", F.col("label") + 100).unionByName(more)
+    return T.replace(old, new, ["chunk_id"])
+
+
+@query("SELECT (SELECT count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS deleted, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS remaining")
+def delete_batch_count(spark, sf_dir):
+    chunks, ids = A.whole_chunks(spark, sf_dir).select("chunk_id"), A.symbols(spark, sf_dir).where("toxic = 1").select(F.col("id").alias("chunk_id"))
+    total = chunks.agg(F.count("*").alias("total"))
+    return T.delete(chunks, ids, "chunk_id").agg(F.count("*").alias("remaining")).crossJoin(total).select((F.col("total") - F.col("remaining")).alias("deleted"), "remaining")
+
+
+@query("""WITH gone AS (SELECT doc_id FROM documents WHERE source = 'src0') SELECT 'files' AS table_name, (SELECT count(*) FROM documents WHERE doc_id NOT IN (FROM gone)) AS remaining
+    UNION ALL SELECT 'symbols', (SELECT count(*) FROM labels WHERE doc_id NOT IN (FROM gone))
+    UNION ALL SELECT 'chunks', (SELECT count(*) FROM documents WHERE doc_id NOT IN (FROM gone))
+    UNION ALL SELECT 'embeddings', (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (FROM gone))""")
+def cascade_delete_counts(spark, sf_dir):
+    files = A.files(spark, sf_dir)
+    tables = {
+        "projects": files.select(F.col("project").alias("id")).distinct(),
+        "files": files.select(F.col("file_id").alias("id"), F.col("project").alias("project_id")),
+        "symbols": A.symbols(spark, sf_dir).select("id", F.col("id").alias("file_id")),
+        "chunks": files.select(F.col("file_id").alias("id"), "file_id", F.lit(None).cast("long").alias("symbol_id")),
+        "embeddings": A.vectors(spark, sf_dir).select(F.col("chunk_id").alias("id"), "chunk_id"),
+    }
+    left = T.cascade(tables, "projects", spark.createDataFrame([("src0",)], "id string"))
+    counts = [left[t].agg(F.count("*").alias("remaining")).select(F.lit(t).alias("table_name"), "remaining") for t in ("files", "symbols", "chunks", "embeddings")]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+STATUS = "CASE WHEN old.file_path IS NULL THEN 'new' WHEN new.file_path IS NULL THEN 'deleted' WHEN sha256(old.content) = sha256(new.content) THEN 'unchanged' ELSE 'changed' END"
+
+
+@query(f"{SNAPSHOTS} SELECT coalesce(old.file_path, new.file_path) AS file_path, {STATUS} AS status FROM old FULL JOIN new ON old.file_path = new.file_path")
+def incremental_diff(spark, sf_dir):
+    return T.changes(*_snapshots(spark, sf_dir), "file_path", "content")
+
+
+@query(f"{SNAPSHOTS}, d AS (SELECT {STATUS} AS status FROM old FULL JOIN new ON old.file_path = new.file_path) SELECT count(*) FILTER (status IN ('new', 'changed')) AS files_indexed, count(*) FILTER (status = 'unchanged') AS files_skipped, count(*) FILTER (status = 'deleted') AS files_deleted, 0::BIGINT AS files_failed FROM d")
+def index_statistics(spark, sf_dir):
+    d = T.changes(*_snapshots(spark, sf_dir), "file_path", "content")
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    return d.agg(n("new", "changed").alias("files_indexed"), n("unchanged").alias("files_skipped"), n("deleted").alias("files_deleted"), n("failed").alias("files_failed"))
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def orphan_chunks(spark, sf_dir):
+    return T.without(A.whole_chunks(spark, sf_dir).select("chunk_id"), A.vectors(spark, sf_dir), "chunk_id")
+
+
+@query("SELECT doc_id AS file_id, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS content FROM documents")
+def chunk_by_line_range(spark, sf_dir):
+    return A.files(spark, sf_dir).select("file_id", code.lines_between(F.col("text"), F.lit(2), F.lit(3)).alias("content"))
+
+
+@query("""WITH l AS (SELECT doc_id AS file_id, unnest(string_split(text, chr(10))) AS content, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS start_line FROM documents),
+    s AS (SELECT * FROM l WHERE regexp_matches(content, '^[A-Z].*[.]$') AND strlen(content) <= 120)
+    SELECT file_id, start_line, start_line AS end_line, 'function' AS chunk_type, md5(content) AS content FROM s
+    UNION ALL SELECT doc_id, 1, len(string_split(text, chr(10)))::BIGINT, 'package', md5(text) FROM documents WHERE doc_id NOT IN (SELECT file_id FROM s)""")
+def chunk_package_fallback(spark, sf_dir):
+    lines = A.line_chunks(spark, sf_dir)
+    own = lines.where(F.col("content").rlike("^[A-Z].*[.]$") & (F.octet_length("content") <= 120))
+    one = own.select("file_id", "start_line", F.col("start_line").alias("end_line"), F.lit("function").alias("chunk_type"), F.md5("content").alias("content"))
+    rest = T.without(A.files(spark, sf_dir), own.select("file_id").distinct(), "file_id")
+    return one.unionByName(rest.select("file_id", F.lit(1).cast("long").alias("start_line"), F.size(F.split("text", "\n", -1)).cast("long").alias("end_line"), F.lit("package").alias("chunk_type"), F.md5("text").alias("content")))
+
+
+@query("SELECT doc_id AS chunk_id, (strlen(text) + strlen(lang)) // 4 AS token_count FROM documents")
+def token_count(spark, sf_dir):
+    return A.whole_chunks(spark, sf_dir).select("chunk_id", code.token_count(F.col("content"), F.col("package_name")).cast("long").alias("token_count"))
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1")
+def content_hash_dedup(spark, sf_dir):
+    hashed = A.whole_chunks(spark, sf_dir).select("chunk_id", F.lower(F.hex(code.content_hash(F.col("content")))).alias("content_hash"))
+    return hashed.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("chunk_id").alias("first_id"))
+
+
+@query("""SELECT r_name AS package_name, 'package ' || r_name || chr(10) || coalesce(chr(10) || 'import (' || chr(10) || string_agg(chr(9) || CASE WHEN n_nationkey < 10 THEN 'n' || n_nationkey || ' ' ELSE '' END || '"' || n_name || '"' || chr(10), '' ORDER BY n_name) || ')' || chr(10), '') AS context
+    FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""")
+def package_context_text(spark, sf_dir):
+    nation = A.read(spark, sf_dir, "nation")
+    item = F.struct(F.col("n_name").alias("path"), F.when(F.col("n_nationkey") < 10, F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))).otherwise("").alias("alias"))
+    imports = nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.sort_array(F.collect_list(item)).alias("imports"))
+    out = A.read(spark, sf_dir, "region").join(imports, "r_regionkey", "left")
+    return out.select(F.col("r_name").alias("package_name"), code.package_context(F.col("r_name"), F.coalesce("imports", F.array().cast("array<struct<path:string,alias:string>>"))).alias("context"))
+
+
+@query("SELECT doc_id AS chunk_id, md5(concat_ws(chr(10) || chr(10), nullif(CASE WHEN lang = 'en' THEN '' ELSE source END, ''), text, nullif(CASE WHEN lang = 'de' THEN '' ELSE lang END, ''))) AS content FROM documents")
+def full_content(spark, sf_dir):
+    before = F.when(F.col("package_name") == "en", "").otherwise(F.col("project"))
+    after = F.when(F.col("package_name") == "de", "").otherwise(F.col("package_name"))
+    return A.whole_chunks(spark, sf_dir).select("chunk_id", F.md5(code.full_content(before, F.col("content"), after)).alias("content"))
+
+
+@query("""SELECT doc_id AS chunk_id, 384::BIGINT AS dimension, round((('0x' || sha256(text)[1:2])::INT / 255)::FLOAT::DOUBLE, 6) AS first, round((('0x' || sha256(text)[63:64])::INT / 255)::FLOAT::DOUBLE, 6) AS last,
+    round(list_sum(list_transform(range(0, 32), lambda i: (('0x' || sha256(text)[2 * i + 1:2 * i + 2])::INT / 255)::FLOAT::DOUBLE)), 6) AS total FROM documents""")
+def local_embedding(spark, sf_dir):
+    e = A.whole_chunks(spark, sf_dir).select("chunk_id", vector.local_embedding(F.col("content")).alias("v"))
+    at = lambda k: F.round(F.element_at("v", k).cast("double"), 6)
+    return e.select("chunk_id", F.size("v").cast("long").alias("dimension"), at(1).alias("first"), at(32).alias("last"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+@query("SELECT conv_id AS batch_id, count(*) AS texts, bool_or(strlen(trim(text)) < 60) AS rejected FROM conversations GROUP BY conv_id")
+def embedding_batch_validation(spark, sf_dir):
+    c = A.read(spark, sf_dir, "conversations")
+    return c.groupBy(F.col("conv_id").alias("batch_id")).agg(F.count("*").alias("texts"), F.bool_or(F.octet_length(F.trim("text")) < 60).alias("rejected"))
+
+
+@query("SELECT n_nationkey AS request, sha256(n_name || '|' || CASE WHEN n_regionkey = 0 THEN 'hybrid' WHEN n_regionkey = 1 THEN 'vector' ELSE 'keyword' END || '|' || n_regionkey || '|filters:function,method|*.go||' || n_name || '|0.50' || '|10|60') AS query_hash FROM nation")
+def query_hash(spark, sf_dir):
+    from fathom.plans.search import request_key
+
+    mode = F.when(F.col("n_regionkey") == 0, "hybrid").when(F.col("n_regionkey") == 1, "vector").otherwise("keyword")
+    filters = [F.lit("filters:function,method"), F.lit("*.go"), F.lit(""), F.col("n_name"), F.format_string("%.2f", F.lit(0.5))]
+    return A.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("request"), request_key(F.col("n_name"), mode, F.col("n_regionkey").cast("string"), filters, 10, 60).alias("query_hash"))
+
+
+@query(r"SELECT doc_id AS chunk_id, md5(trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_\s\-.]', ' ', 'g'), '\s+', ' ', 'g'))) AS sanitized FROM documents")
+def sanitize_query(spark, sf_dir):
+    return A.whole_chunks(spark, sf_dir).select("chunk_id", F.md5(text.sanitize(F.col("content"))).alias("sanitized"))
+
+
+NAMES = ["OrderAggregate", "AccountAggregateRoot", "OrderItemVO", "PlaceOrderCommand", "ProcessOrderQuery", "OrderRepo", "UserRepository", "PaymentService", "EventHandler", "MoneyValueObject", "CreateCmd", "TaskEntity", "plainName", "Épée", "customerList", "UserService", "helper", "_x", "List"]
+VALUES = ", ".join(f"({k}, '{n}')" for k, n in enumerate(NAMES))
+
+
+def _names(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(NAMES)), "id int, name string")
+
+
+@query(f"""SELECT name, regexp_matches(name, '(Aggregate|AggregateRoot)$') AS is_aggregate_root,
+    regexp_matches(name, '(Aggregate|AggregateRoot|Entity)$') OR regexp_matches(name, 'Order|User|Product|Account|Customer|Item') AND NOT regexp_matches(name, '(Service|Repository|Handler)$') AS is_entity,
+    regexp_matches(name, '(VO|ValueObject)$') AS is_value_object, regexp_matches(name, '(Repository|Repo)$') AS is_repository, regexp_matches(name, 'Service$') AS is_service,
+    regexp_matches(name, '(Command|Cmd)$') AS is_command, regexp_matches(name, 'Query$') AS is_query, regexp_matches(name, 'Handler$') AS is_handler FROM (VALUES {VALUES}) t(id, name)""")
+def ddd_classify_names(spark, sf_dir):
+    return _names(spark).select("name", *[c.alias(k) for k, c in code.patterns(F.col("name"), F.lit("struct")).items()])
+
+
+KINDS = ["function", "method", "struct", "interface", "type", "const", "var", "field"]
+
+
+@query("SELECT kind, CASE kind WHEN 'method' THEN 'method' WHEN 'struct' THEN 'type' WHEN 'interface' THEN 'type' WHEN 'type' THEN 'type' WHEN 'const' THEN 'const_group' WHEN 'var' THEN 'var_group' ELSE 'function' END AS chunk_type FROM (VALUES " + ", ".join(f"('{k}')" for k in KINDS) + ") t(kind)")
+def kind_to_chunk_type(spark, sf_dir):
+    return spark.createDataFrame([(k,) for k in KINDS], "kind string").select("kind", code.chunk_type(F.col("kind")).alias("chunk_type"))
+
+
+@query(f"SELECT name, CASE WHEN regexp_matches(name, '^\\p{{Lu}}') THEN 'exported' ELSE 'unexported' END AS scope FROM (VALUES {VALUES}) t(id, name)")
+def scope_exported(spark, sf_dir):
+    return _names(spark).select("name", code.scope(F.col("name")).alias("scope"))
+
+
+@query("""SELECT n_name AS struct_name, string_agg('// Method: ' || s_name, chr(10) ORDER BY s_suppkey) AS context FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""")
+def related_context(spark, sf_dir):
+    methods = A.read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("m"))
+    out = A.read(spark, sf_dir, "nation").join(methods, "n_nationkey")
+    return out.select(F.col("n_name").alias("struct_name"), F.array_join(F.transform("m", lambda x: F.concat(F.lit("// Method: "), x["s_name"])), "\n").alias("context"))
+
+
+@query("""SELECT page_id AS file_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS import_path FROM pages""")
+def imports_explode(spark, sf_dir):
+    pages = A.read(spark, sf_dir, "pages")
+    return pages.select(F.col("page_id").alias("file_id"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("import_path"))
+
+
+MIGRATIONS = ["1.0.0", "1.0.1", "1.0.10", "1.1.0", "0.9.9", "2.0.0"]
+
+
+@query("SELECT version FROM (VALUES " + ", ".join(f"('{v}')" for v in MIGRATIONS) + ") t(version) WHERE list_transform(string_split(version, '.'), lambda x: x::INT) > [1, 0, 1]")
+def semver_pending_migrations(spark, sf_dir):
+    v = spark.createDataFrame([(x,) for x in MIGRATIONS], "version string")
+    return v.where(F.transform(F.split("version", r"\."), lambda x: x.cast("int")) > F.array(F.lit(1), F.lit(0), F.lit(1)))
+
+
+GO_MOD = ["module example.com/shop", "", "go 1.21", "require (", "\tx.y/z v1.0.0", ")", "  go 1.25.4", "// module none"]
+
+
+@query("SELECT 'example.com/shop' AS module_name, '1.25.4' AS go_version")
+def go_mod_parse(spark, sf_dir):
+    from fathom.sources.go_files import go_mod
+
+    return go_mod(spark.createDataFrame(list(enumerate(GO_MOD)), "line_no int, value string"))
+
+
+@query()
+def vector_codec_roundtrip(spark, sf_dir):
+    v = A.vectors(spark, sf_dir).select("chunk_id", "vector", vector.from_bytes(vector.to_bytes("vector")).alias("back"))
+    return v.select("chunk_id", (F.col("vector") == F.col("back")).alias("same"))
+
+
+@query()
+def go_symbols(spark, sf_dir):
+    from fathom.plans.index import FIXTURES
+    from fathom.sources.go_files import discover, parse
+
+    return parse(discover(spark, FIXTURES)).select("file_path", F.explode("symbols").alias("s")).select("file_path", "s.*")
+
+
+@query()
+def file_discovery(spark, sf_dir):
+    from fathom.plans.index import FIXTURES
+    from fathom.sources.go_files import discover
+
+    return discover(spark, FIXTURES).select("file_path", "size_bytes", F.lower(F.hex("content_hash")).alias("content_hash"))
