@@ -27,7 +27,7 @@ LAMBDA = 0.6
 #: Offsets of a subsequence's characters after its first: three to five characters with up to two skipped.
 OFFSETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4), (1, 2, 3, 4), (1, 2, 3, 5), (1, 2, 4, 5), (1, 3, 4, 5), (2, 3, 4, 5))
 #: Documents of each label that the machine is fitted on, by order of a hash; bounds what the driver gets.
-SAMPLE = 2000
+SAMPLE = 1500
 LANDMARKS = 256
 NEGATIVES = 12_000
 #: Weighed log-odds that a subsequence must reach to make a word suspect.
@@ -75,12 +75,16 @@ def _norms(words: list[str]) -> np.ndarray:
     return np.sqrt(np.maximum(sum(np.maximum(n - o[-1], 0) * LAMBDA ** (2 * (o[-1] - len(o))) for o in OFFSETS), 1.0))
 
 
-def word_scores(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
-    """The machine's decision for each word."""
-    total = np.zeros(len(words))
-    for owner, at, value in subsequences(words):
-        total += value * np.bincount(owner, weights[at], len(words))
-    return total / _norms(words) + bias
+def word_scores(words: list[str], weights: np.ndarray, bias: float, batch: int = 20_000) -> np.ndarray:
+    """The machine's decision for each word, taken in batches that bound what is held at once."""
+    out = np.empty(len(words))
+    for k in range(0, len(words), batch):
+        part = words[k : k + batch]
+        total = np.zeros(len(part))
+        for owner, at, value in subsequences(part):
+            total += value * np.bincount(owner, weights[at], len(part))
+        out[k : k + batch] = total / _norms(part) + bias
+    return out
 
 
 @dataclass
@@ -214,7 +218,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
     if len(set(labels)) < 2:
         share = 0.95 if len(y) and y[0] else 0.02
         return Model(np.zeros(1 << BITS, np.float32), 0.0, np.array([np.log(share / (1 - share)), 0, 0, 0]))
-    bags = [{p for t in tokens(x) for p in _pieces(core(t)) if p} for x in texts]
+    one: dict[str, str] = {}  # texts share the objects of their words
+    bags = [{one.setdefault(p, p) for t in tokens(x) for p in _pieces(core(t)) if p} for x in texts]
+    del one
     toxic, clean = [b for b, v in zip(bags, y) if v], [b for b, v in zip(bags, y) if not v]
     in_toxic, in_clean = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
     innocent = sorted(in_clean)
