@@ -21,16 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, reclaim: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     This cuts lineage: a lost executor costs the re-reading of files, not the recomputing of what made them.
-    The folder goes when the driver ends.
+    The folder goes when the driver ends. With reclaim the driver collects its garbage, upon which Spark
+    deletes the shuffle files of plans that are over; else they stay until the driver's heap is full.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fathom-{name}-{uuid.uuid4().hex}"
     _CREATED.append((spark, path))
     df.write.parquet(path)
+    if reclaim:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
