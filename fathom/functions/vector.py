@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,13 +27,13 @@ def normalize(v: Column) -> Column:
     return F.when(norm == 0, v).otherwise(F.transform(v, lambda x: (x / norm).cast("float")))
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def to_bytes(v: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats."""
     return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
 
-@pandas_udf("array<float>")
+@pandas_udf(ArrayType(FloatType()))
 def from_bytes(b: pd.Series) -> pd.Series:
     """Floats of the whole four-byte groups; bytes left over are ignored."""
     return b.map(lambda x: None if x is None else np.frombuffer(x, "<f4", len(x) // 4))

@@ -72,3 +72,28 @@ def counts_by(parents: DataFrame, key: str, children: dict[str, DataFrame]) -> D
     for name, child in children.items():
         out = out.join(child.groupBy(key).agg(F.count("*").alias(name)), key, "left")
     return out.select(key, *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in children])
+
+
+def rows_where(table: DataFrame, **keys) -> DataFrame:
+    """Point reads: rows of a table whose columns have these values, as a project by root_path or a file by content_hash."""
+    for column, value in keys.items():
+        table = table.where(F.col(column).eqNullSafe(F.lit(value)))
+    return table
+
+
+def listing(table: DataFrame, parent: str, value, order: str) -> DataFrame:
+    """Rows of one parent in order: files of a project by file_path, symbols and chunks of a file by start_line, imports by import_path."""
+    return rows_where(table, **{parent: value}).orderBy(order)
+
+
+def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old with new appended; a key that exists is an error."""
+    if not new.join(old.select(*keys), keys, "left_semi").isEmpty():
+        raise ValueError(f"a row with the same {', '.join(keys)} exists")
+    return old.unionByName(new)
+
+
+def delete_where_in(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, int]:
+    """rows without those ids, and how many went; no ids, none went."""
+    gone = rows.join(ids.select(key).distinct(), key, "left_semi").count()
+    return delete(rows, ids, key), gone

@@ -7,7 +7,7 @@ from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, FloatType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 VERSION = "1.0.1"
 
@@ -19,7 +19,8 @@ _DDL = {
     "embeddings": "id long, chunk_id long, vector array<float>, dimension int, provider string, model string, created_at timestamp",
     "imports": "id long, file_id long, import_path string, alias string",
 }
-TABLES = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_TYPES = {"long": LongType(), "int": IntegerType(), "string": StringType(), "binary": BinaryType(), "boolean": BooleanType(), "timestamp": TimestampType(), "array<float>": ArrayType(FloatType())}
+TABLES = {name: StructType([StructField(c, _TYPES[t]) for c, t in (x.split(" ") for x in ddl.split(", "))]) for name, ddl in _DDL.items()}
 
 #: What an upsert matches on.
 KEYS = {
