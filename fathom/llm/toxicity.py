@@ -33,7 +33,7 @@ NEGATIVES = 12_000
 #: Weighed log-odds that a subsequence must reach to make a word suspect.
 SIGNAL = 11.0
 THRESHOLD = 0.7
-CACHE = 600_000
+CACHE = 300_000
 LONGEST = 64
 
 _INNER = re.compile(r"[\W_]+")
