@@ -18,14 +18,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, FOLDED), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _is(word: str):
+    return lambda x: x == word
+
+
 def term_count(toks: Column, term: str) -> Column:
     """How often a term stands in an array of tokens; a term with blanks is a phrase of adjacent tokens."""
     words = term.split(" ")
     if len(words) == 1:
         return F.size(F.filter(toks, lambda x: x == term))
-    places = F.sequence(F.lit(1), F.size(toks) - (len(words) - 1))
-    match = lambda i: F.forall(F.sequence(F.lit(0), F.lit(len(words) - 1)), lambda k: F.element_at(toks, i + k) == F.element_at(F.array(*map(F.lit, words)), k + 1))
-    return F.when(F.size(toks) >= len(words), F.size(F.filter(places, match))).otherwise(0)
+    found = F.transform(toks, _is(words[0]))
+    for k, word in enumerate(words[1:], 1):  # each place holds whether the phrase so far starts there
+        after = F.slice(F.transform(toks, _is(word)), k + 1, F.greatest(F.size(toks), F.lit(1)))
+        found = F.zip_with(found, after, lambda a, b: a & F.coalesce(b, F.lit(False)))
+    return F.size(F.filter(found, lambda x: x))
 
 
 def idf(rows: Column, having: Column) -> Column:
