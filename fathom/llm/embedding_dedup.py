@@ -172,10 +172,15 @@ def _links(classes: DataFrame, dim: int, threshold: float, trees: int, leaf: int
 
     kind = classes.schema["embedding"].dataType.simpleString()
     routed = materialize(classes.select("node", "embedding", "n").mapInArrow(route, f"node long, embedding {kind}, n long, leaves array<long>"), "routed")
-    dealt = routed.withColumn("leaf", F.explode("leaves"))
+    # how many chunks a leaf needs is joined to (node, leaf) rows, which are few bytes each; vectors are dealt once
     large = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().where(F.col("count") > leaf_limit)
-    # twice the chunks that are needed on average: two of them stay below the limit
-    dealt = dealt.join(large, "leaf", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("count") * 4 / leaf_limit), F.lit(1)).cast("int"))
+    chunked = routed.select("node", F.explode("leaves").alias("leaf")).join(large, "leaf").groupBy("node").agg(
+        # twice the chunks that are needed on average: two of them stay below the limit
+        F.map_from_entries(F.collect_list(F.struct("leaf", F.ceil(F.col("count") * 4 / leaf_limit).cast("int")))).alias("in_large")
+    )
+    has_large = not large.isEmpty()
+    dealt = routed.join(chunked, "node", "left") if has_large else routed.withColumn("in_large", F.lit(None).cast("map<bigint,int>"))
+    dealt = dealt.withColumn("leaf", F.explode("leaves")).withColumn("chunks", F.coalesce(F.element_at("in_large", F.col("leaf")), F.lit(1)))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(9)), F.col("chunks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, "chunk").alias("i"), F.greatest(c, "chunk").alias("j")))
     dealt = dealt.withColumn("p", F.explode(pair)).select("leaf", "node", "embedding", "n", "leaves", "chunk", "p.i", "p.j")
