@@ -111,7 +111,7 @@ class Scorer:
         return {t: max(found[p] for p in x) for t, x in zip(miss, parts)}
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: 1, the highest decision, the mean of the three highest, log of how many are positive. Empty: 1, -2, -2, 0."""
+        """Per text: 1, the three highest decisions, log of how many are positive, and of how many tokens there are. Empty: 1, -2, -2, -2, 0, 0."""
         get, miss, listed = self.known.get, set(), []
         for t in texts:
             ts = tokens(t) if t else []
@@ -124,12 +124,13 @@ class Scorer:
         more = self._learn(list(miss)) if miss else {}
         if len(self.known) + len(more) <= CACHE:
             self.known.update(more)
-        out = np.tile(np.array([1.0, -2.0, -2.0, 0.0]), (len(texts), 1))
+        out = np.tile(np.array([1.0, -2.0, -2.0, -2.0, 0.0, 0.0]), (len(texts), 1))
         for row, (ts, got) in zip(out, listed):
             f = np.array(got if ts is None else [more[c] if x is None else x for c, x in zip(ts, got)])
             if len(f):
-                top = np.partition(f, len(f) - min(3, len(f)))[-3:]
-                row[1:] = max(top.max(), -2), max(top.mean(), -2), np.log1p((f > 0).sum())
+                top = np.sort(np.partition(f, len(f) - min(3, len(f)))[-3:])[::-1]
+                row[1 : 1 + len(top)] = np.clip(top, -2, 1)
+                row[4:] = np.log1p((f > 0.3).sum()), np.log1p(len(f))
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -217,7 +218,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
     y = np.array(labels, dtype=int)
     if len(set(labels)) < 2:
         share = 0.95 if len(y) and y[0] else 0.02
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, np.array([np.log(share / (1 - share)), 0, 0, 0]))
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0]))
     one: dict[str, str] = {}  # texts share the objects of their words
     bags = [{one.setdefault(p, p) for t in tokens(x) for p in _pieces(core(t)) if p} for x in texts]
     del one
@@ -241,12 +242,12 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
             ws = sorted(w for w in ws if odd(w))
             f = word_scores(ws, weights, bias) if ws else np.zeros(0)
             chosen.append({ws[k] for k in np.argsort(-f, kind="stable")[:4] if f[k] > 0})
-    model = Model(weights, bias, np.zeros(4))
+    model = Model(weights, bias, np.zeros(6))
     z = Scorer(model).features(texts)
-    curve = np.zeros(4)
+    curve = np.zeros(6)
     for _ in range(50):  # logistic regression with a small ridge
         p = 1 / (1 + np.exp(-np.clip(z @ curve, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + 0.3 * np.eye(4)
+        h = (z * (p * (1 - p))[:, None]).T @ z + 0.3 * np.eye(6)
         step = np.linalg.solve(h, z.T @ (y - p) - 0.3 * curve)
         curve += step
         if np.abs(step).max() < 1e-6:
