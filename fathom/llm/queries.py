@@ -70,5 +70,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": pipeline}
 
 
+_WORDS = r"""CASE WHEN t IS NULL THEN [] ELSE regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END"""
+
+_CONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM (SELECT doc_id, text AS t FROM documents)),
+    b AS (SELECT coalesce(item_id::VARCHAR, '') AS i, {_WORDS} AS w FROM (SELECT item_id, text AS t FROM benchmark)),
+    bk AS (SELECT i, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k, least(len(w), 10) AS size FROM b WHERE len(w) > 0),
+    bw AS (SELECT DISTINCT i, size, w[k:k + size - 1] AS win FROM bk),
+    sizes AS (SELECT DISTINCT size FROM bw),
+    dk AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, sizes WHERE len(w) >= size),
+    dw AS (SELECT doc_id, k, size, w[k:k + size - 1] AS win FROM dk),
+    hits AS (SELECT doc_id, k, dw.size AS size, i FROM dw JOIN bw ON dw.win = bw.win),
+    places AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM hits) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, i FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(places.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(places.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""
+
+_LINKS = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS len FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.len > 0 AND b.len > 0 WHERE list_dot_product(a.e, b.e) / (a.len * b.len) >= 0.9),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+    low AS (SELECT a, min(b) AS m FROM reach GROUP BY a), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, m = vec_id AS kept FROM embeddings JOIN low ON low.a = vec_id LEFT JOIN degree ON degree.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can express; the others are tested against brute-force versions."""
+    return {"op7_projection_forest": _LINKS, "op9_prefix_decontamination": _CONTAMINATION}

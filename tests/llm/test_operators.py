@@ -485,3 +485,15 @@ def test_pipeline_stages_do_what_their_operators_say(spark):
 @pytest.mark.parametrize("name", list(queries.queries()))
 def test_queries_run(spark, name):
     assert queries.queries()[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    expected = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, SF).select(*expected.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(expected.fetchall())
