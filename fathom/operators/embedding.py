@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import time
+import urllib.request
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -26,6 +29,26 @@ class Provider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+@dataclass
+class HttpProvider:
+    """A service that takes {"model", "input": [...]} and answers {"data": [{"embedding": [...]}, ...]}; the key goes in a bearer header."""
+
+    name: str
+    model: str
+    url: str
+    key: str = ""
+    timeout: float = 30.0
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        body = json.dumps({"model": self.model, "input": texts}).encode()
+        request = urllib.request.Request(self.url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            found = [x["embedding"] for x in json.load(answer)["data"]]
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+        return found
+
+
 def provider_name(env: dict[str, str] | None = None) -> str:
     """The provider that the environment asks for: by name, else by the first key that is set, else the local one."""
     env = os.environ if env is None else env

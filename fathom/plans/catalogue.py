@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import code, text, vector
+from fathom.operators import postings
 from fathom.operators import search as S
 from fathom.operators import tables as T
 from fathom.operators.filters import SearchFilters, apply
@@ -92,6 +93,12 @@ def keyword_min_relevance_after_limit(spark, sf_dir):
     return _keyword(spark, sf_dir, min_relevance=0.875).select("chunk_id", "bm25")
 
 
+@query(f"{bm25_sql(TERMS)} {TOP}")
+def keyword_postings_topk(spark, sf_dir):
+    index = postings.build(A.whole_chunks(spark, sf_dir), ["content"])
+    return S.top(postings.scores(index, TERMS), F.col("bm25"), LIMIT)
+
+
 THREE = ["that", "the", "esat"]
 
 
