@@ -293,6 +293,39 @@ def test_near_passages_are_verified(spark):
     assert got[2]["n_passages"] == got[3]["n_passages"] == 0
 
 
+def similar_places(a, b):
+    """Words of a in views of 50 words that are similar to one of b, by brute force."""
+    views = [[{" ".join(t[s + k : s + k + 5]) for k in range(46)} for s in range(len(t) - 49)] for t in (a, b)]
+    return {w for s, x in enumerate(views[0]) if any(len(x & y) >= 0.8 * len(x | y) - 1e-9 for y in views[1]) for w in range(s, s + 50)}
+
+
+def listed_places(passages):
+    return {w for x in passages.split(",") if x for w in range(*map(int, x.split(":")))}
+
+
+def test_short_near_copies_are_found(spark):
+    rng = random.Random(21)
+    texts, pairs = [], []
+    for length in list(range(50, 63)) * 3:
+        for edit in range(3):
+            a = words_of(rng, length)
+            at = rng.randint(15, length - 16)
+            b = a[:at] + [["other"], ["other", a[at]], []][edit] + a[at + 1 :] + ([["end"], [], ["end"]][edit])
+            around = (rng.randint(0, 1) * 30, rng.randint(0, 1) * 30)
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [a, words_of(rng, around[0]) + b + words_of(rng, around[1])]
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in collected(passage_dedup.near_duplicate_passages(frame))}
+    found = expected = 0
+    for x, y in pairs:
+        for one, two in ((x, y), (y, x)):
+            want = similar_places(texts[one], texts[two])
+            places = listed_places(got[one]["passages"])
+            assert places <= want
+            expected, found = expected + len(want), found + len(places)
+    assert found >= 0.97 * expected > 0  # a pair whose min-hashes all differ is not met
+
+
 def test_passages_of_nothing(empty):
     assert passage_dedup.near_duplicate_passages(empty).count() == 0
 
