@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -326,6 +327,44 @@ def test_short_near_copies_are_found(spark):
     assert found >= 0.97 * expected > 0  # a pair whose min-hashes all differ is not met
 
 
+def test_large_groups_are_compared_whole():
+    rng = np.random.default_rng(3)
+    n, least, width = 400, 46, 91
+    h = rng.integers(1, 2**31 - 1, (n, width)).astype(np.int32) | 1
+    h[:, 25:66] = h[0, 25:66]  # a line that all share, too short for a similar view
+    h[:, 30:60] = np.where(rng.random((n, 30)) < 0.2, h[:, 30:60] ^ (2 * rng.integers(0, 9, (n, 30))), h[:, 30:60])
+    for k in range(1, n, 3):  # and near copies of one another
+        h[k + 1 if k + 1 < n else 0] = h[k]
+        at = rng.integers(20, 65)
+        h[k, at : at + 5] = rng.integers(1, 2**31 - 1, 5) | 1
+    for k in range(0, n, 5):
+        h[k, : rng.integers(0, 45)] = 0
+    h[:, 45] = h[0, 45]
+    u, c = np.arange(n) + 1000, np.full(n, 45)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width), pa.int32()), pa.array(h.ravel()))
+    zero = pa.array(np.zeros(n, np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(u), pa.array(c), flat, zero, zero, zero], ["group", "u", "c", "h", "chunk", "i", "j"])
+    covered, links = defaultdict(set), []
+    for b in passage_dedup._verify(least, 0.8)(iter([batch])):
+        for x, s, e, other in zip(*(col.to_pylist() for col in b.columns)):
+            covered[x - 1000] |= set(range(s, e))
+            links.append((x - 1000, other - 1000))
+    sets = [[(v, set(r[v : v + least])) for v in range(least) if 0 not in r[v : v + least]] for r in h.tolist()]
+    want, near = defaultdict(set), []
+    for a in range(n):
+        for b in range(a):
+            if len(set(h[a].tolist()) & set(h[b].tolist())) < 36:
+                continue
+            for v, x in sets[a]:
+                for w, y in sets[b]:
+                    if len(x & y) >= 0.8 * len(x | y):
+                        want[a] |= set(range(v, v + 50))
+                        want[b] |= set(range(w, w + 50))
+                        near.append((a, b))
+    assert near and dict(covered) == dict(want)
+    assert components(n, links) == components(n, near)
+
+
 def test_passages_of_nothing(empty):
     assert passage_dedup.near_duplicate_passages(empty).count() == 0
 
