@@ -365,6 +365,26 @@ def test_large_groups_are_compared_whole():
     assert components(n, links) == components(n, near)
 
 
+def test_passages_of_connected_texts_are_listed(spark):
+    rng = random.Random(8)
+    footer, texts, want = words_of(rng, 120), [], []
+    for k in range(24):
+        shared, near = words_of(rng, 50 + k), words_of(rng, 60 + k)
+        edited = near[:25] + ["other"] + near[26:]
+        for passage in (shared, near), (shared, edited):
+            texts.append(words_of(rng, 60) + passage[0] + words_of(rng, 60) + passage[1] + words_of(rng, 60) + footer)
+        want += [range(60, 110 + k)] * 2
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in collected(passage_dedup.near_duplicate_passages(frame))}
+    found = 0
+    for k, places in enumerate(want):
+        assert got[k]["component_id"] == 0
+        listed = listed_places(got[k]["passages"])
+        assert listed >= set(places) and listed >= set(range(len(texts[k]) - 120, len(texts[k])))
+        found += set(range(len(texts[k]) - 180 - 59 - (k // 2), len(texts[k]) - 180 - 1)) <= listed
+    assert found >= 46  # similar passages are met by min-hashes
+
+
 def test_passages_of_nothing(empty):
     assert passage_dedup.near_duplicate_passages(empty).count() == 0
 
