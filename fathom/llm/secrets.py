@@ -17,84 +17,107 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # of runs under 24 none counts, so runs from 24 on are the same matches
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Candidates for entropy: runs of 20 characters or more of the base64 and URL-safe alphabets.
+#: The base64 and URL-safe alphabets; candidates for entropy are runs of 20 or more of these characters.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Character classes with the entropy, in bits a character, over which some window of WINDOW must come.
-CLASSES = ((r"^[0-9]+$", 9.0), (r"^[0-9a-fA-F-]+$", 3.0), (r"^[A-Za-z]+$", 9.0), (r"^[A-Za-z0-9]+$", 3.7), (r".", 3.9))
-#: Strings that are no secrets: words joined by dashes or underscores, paths, UUIDs, one character repeated.
+#: Character classes with the entropy, in bits a character, that some window of WINDOW must come to. Of random strings of 24
+#: characters 95 % of digits, 99 % of hexadecimal, 89 % of letters, 99 % of letters and digits and 94 % of all reach it.
+CLASSES = ((r"^[0-9]+$", 2.8), (r"^[0-9a-fA-F-]+$", 3.0), (r"^[A-Za-z]+$", 3.85), (r"^[A-Za-z0-9]+$", 3.7), (r".", 3.9))
+#: Strings that are no secrets: words or numbers joined by dashes and the like, paths, UUIDs, placeholders.
 ALLOW = (
-    r"^[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]*$",
-    r"^[0-9]+([-_/=+]+[0-9]+)*$",
+    r"^[A-Za-z]{1,15}(?:[-_/=+]+[A-Za-z]{1,15})++[-_/=+]*$",
+    r"^[0-9]{1,8}(?:[-_/=+]+[0-9]{1,8})++[-_/=+]*$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^(.)\1+$",
-    r"(?i)(example|placeholder|changeme|your[-_]?)",
+    r"(?i)example|placeholder|changeme|(?:^|[-_])your[-_]",
 )
+#: Running sums are taken over this many matches at a time, so that a text's matches are not copied again for each.
+_BLOCK = 256
+_SPANS = "array<struct<s:int,e:int,v:string>>"
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with value evaluated once, however often use names it, also within lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """Array of (s, e, v): code-point start, end and value of every leftmost non-overlapping match.
 
-    The pieces between matches and the matches themselves alternate, so starts are running sums of lengths.
+    The pieces between matches and the matches themselves alternate, so starts are running sums of lengths:
+    first within blocks of matches, then over blocks.
     """
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    step = lambda acc, x: F.struct(
-        (acc["p"] + F.length(x["a"]) + F.length(x["v"])).cast("int").alias("p"),
-        F.array_append(
-            acc["o"],
-            F.struct((acc["p"] + F.length(x["a"])).cast("int").alias("s"), (acc["p"] + F.length(x["a"]) + F.length(x["v"])).cast("int").alias("e"), x["v"].alias("v")),
-        ).alias("o"),
-    )
-    start = F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("o"))
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda a, v: F.struct(a.alias("a"), v.alias("v")))
-    listed = F.aggregate(pairs, start, step, lambda acc: acc["o"])
-    return F.when(text.rlike(pattern), listed).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
 
+    def step(acc: Column, x: Column) -> Column:
+        s = (acc["p"] + F.length(x["a"])).cast("int")
+        e = (s + F.length(x["v"])).cast("int")
+        return F.struct(e.alias("p"), F.array_append(acc["o"], F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"))).alias("o"))
+
+    def over(acc: Column, b: Column) -> Column:
+        moved = F.transform(b["o"], lambda x: F.struct((x["s"] + acc["p"]).cast("int").alias("s"), (x["e"] + acc["p"]).cast("int").alias("e"), x["v"].alias("v")))
+        return F.struct((acc["p"] + b["p"]).cast("int").alias("p"), F.array_append(acc["o"], moved).alias("o"))
+
+    def start(kind: str) -> Column:
+        return F.struct(F.lit(0).alias("p"), F.array().cast(kind).alias("o"))
+
+    def listed(pairs: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(_BLOCK))
+        blocks = F.transform(firsts, lambda k: F.aggregate(F.slice(pairs, k, F.lit(_BLOCK)), start(_SPANS), step))
+        return F.flatten(F.aggregate(blocks, start(f"array<{_SPANS}>"), over, lambda acc: acc["o"]))
 
-def window_entropy(value: Column, window: int = WINDOW) -> Column:
+    def zipped(found: Column) -> Column:
+        return F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda a, v: F.struct(a.alias("a"), v.alias("v")))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.rlike(pattern), _bound(_bound(found, zipped), listed)).otherwise(F.array().cast(_SPANS))
+
+
+def window_entropy(value: Column, window: int = WINDOW, enough: Column | None = None) -> Column:
     """The highest Shannon entropy, in bits a character, of any run of `window` characters of value.
 
     With c the count of each character, entropy is log2(w) - sum(c log2 c) / w. Each step takes one
-    character in and one out; the counts of those two change and the sum moves by their terms only.
-    Shorter values: the entropy of the whole. Empty: 0. Null: null.
+    character in and one out: two numbers of a fixed array of counts change, and the sum moves by their
+    terms only. One pass over value; once a window has `enough`, the rest costs next to nothing and the
+    result is that window's. Characters outside ALPHABET count as one. Shorter values: the entropy of
+    the whole. Empty: 0. Null: null.
     """
     w = F.least(F.lit(window), F.length(value))
-    chars = F.split(value, "")
     term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    state = lambda counts, s, best: F.struct(counts.alias("counts"), s.alias("s"), best.alias("best"))
-
-    def count(counts: Column, c: Column) -> Column:
-        return F.coalesce(F.element_at(counts, c), F.lit(0))
-
-    def put(counts: Column, c: Column, n: Column) -> Column:
-        rest = F.map_filter(counts, lambda k, _: k != c)
-        return F.map_concat(rest, F.create_map(c, n))
-
-    def step(acc: Column, i: Column) -> Column:
-        new = F.element_at(chars, i)
-        had = count(acc["counts"], new)
-        grown, s1 = put(acc["counts"], new, had + 1), acc["s"] + term(had + 1) - term(had)
-        old = F.when(i > w, F.element_at(chars, F.greatest(i - w, F.lit(1))))
-        left = count(grown, old)
-        counts = F.when(i > w, put(grown, F.coalesce(old, new), left - 1)).otherwise(grown)
-        s2 = F.when(i > w, s1 - term(left) + term(left - 1)).otherwise(s1)
-        h = F.log2(w.cast("double")) - s2 / w
-        return state(counts, s2, F.when(i >= w, F.greatest(acc["best"], h)).otherwise(acc["best"]))
-
-    zero = state(F.create_map().cast("map<string,int>"), F.lit(0.0), F.lit(0.0))
-    run = F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda acc: acc["best"])
+
+    def codes() -> Column:  # 1 to len(ALPHABET), or one more
+        return F.transform(F.split(value, ""), lambda c: F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)), F.lit(len(ALPHABET) + 1)))
+
+    def step(acc: Column, x: Column) -> Column:
+        into, out = x["into"], x["out"]  # out is 0 until the window is full
+        had, left = F.element_at(acc["counts"], into), F.element_at(acc["counts"], F.greatest(out, F.lit(1)))
+        counts = F.transform(acc["counts"], lambda n, i: n + F.when(i + 1 == into, 1).when(i + 1 == out, -1).otherwise(0))
+        moved = acc["s"] + term(had + 1) - term(had) + F.when(out > 0, term(left - 1) - term(left)).otherwise(0.0)
+        same = into == out
+        s, n = F.when(same, acc["s"]).otherwise(moved), acc["n"] + 1
+        h = F.log2(w.cast("double")) - s / w
+        new = F.struct(
+            F.when(same, acc["counts"]).otherwise(counts).alias("counts"), s.alias("s"), n.alias("n"),
+            F.when(n >= w, F.greatest(acc["best"], h)).otherwise(acc["best"]).alias("best"),
+        )
+        return new if enough is None else F.when(acc["best"] >= enough, acc).otherwise(new)
+
+    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(0.0).alias("best"))
+    late = lambda c: F.concat(F.array_repeat(F.lit(0), w), F.slice(c, 1, F.size(c) - w))
+    pairs = _bound(codes(), lambda c: F.zip_with(c, late(c), lambda a, b: F.struct(a.alias("into"), b.alias("out"))))
+    run = F.aggregate(pairs, zero, step, lambda acc: acc["best"])
     return F.when(F.length(value) == 0, F.lit(0.0)).when(value.isNotNull(), run)
 
 
 def _random(v: Column) -> Column:
     """Whether a candidate is no allowed string and random enough for the first class that it fits."""
-    bar = F.lit(9.0)
-    for pattern, bits in reversed(CLASSES):
+    bar = F.lit(CLASSES[-1][1])
+    for pattern, bits in reversed(CLASSES[:-1]):
         bar = F.when(v.rlike(pattern), F.lit(bits)).otherwise(bar)
     allowed = F.lit(False)
     for pattern in ALLOW:
         allowed = allowed | v.rlike(pattern)
-    return F.when(allowed, F.lit(False)).otherwise(window_entropy(v) >= bar)
+    reached = _bound(bar, lambda b: window_entropy(v, enough=b) >= b)
+    return F.when(allowed, F.lit(False)).otherwise(reached)
 
 
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
@@ -136,15 +159,17 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """
     name = "__secrets"
     found = find_secrets(docs, out=name)
+    # spans are sorted by start: each gives the text since the one before, if it starts beyond that, and a mask
     step = lambda acc, x: F.when(x["e"] <= acc["p"], acc).otherwise(
         F.struct(
             x["e"].alias("p"),
-            F.when(x["s"] < acc["p"], acc["t"]).otherwise(F.concat(acc["t"], F.substring(F.col("text"), acc["p"] + 1, x["s"] - acc["p"]), F.lit(mask))).alias("t"),
+            F.when(x["s"] < acc["p"], acc["t"]).otherwise(F.array_append(acc["t"], F.struct(acc["p"].alias("s"), x["s"].alias("e")))).alias("t"),
         )
     )
-    zero = F.struct(F.lit(0).alias("p"), F.lit("").alias("t"))
-    rest = lambda acc: F.concat(acc["t"], F.substring(F.col("text"), acc["p"] + 1, F.length("text")))
-    out = found.withColumn("text", F.when(F.size(name) > 0, F.aggregate(name, zero, step, rest)).otherwise(F.col("text"))).drop(name)
+    zero = F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<s:int,e:int>>").alias("t"))
+    gaps = F.aggregate(name, zero, step, lambda acc: F.array_append(acc["t"], F.struct(acc["p"].alias("s"), F.length("text").alias("e"))))
+    pieces = F.transform(gaps, lambda g: F.substring(F.col("text"), g["s"] + 1, g["e"] - g["s"]))
+    out = found.withColumn("text", F.when(F.size(name) > 0, F.array_join(pieces, mask)).otherwise(F.col("text"))).drop(name)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -541,7 +542,7 @@ def test_secrets(spark, empty):
     assert all("04dbebab91ab" not in (r["text"] or "") and (r["text"] is None) == (texts[r["doc_id"]] is None) for r in masked.collect())
 
 
-@pytest.mark.parametrize("value, found", [("qW3rT9zX0pL5mN8vB2cD7f", True), ("an-ordinary-dashed-word-here", False), ("z" * 30, False), ("123e4567-e89b-12d3-a456-426614174000", False), ("incomprehensibilities", False)])
+@pytest.mark.parametrize("value, found", [("qW3rT9zX0pL5mN8vB2cD7f", True), ("an-ordinary-dashed-word-here", False), ("z" * 30, False), ("123e4567-e89b-12d3-a456-426614174000", False), ("incomprehensibilities", False), ("8301947265019384756201", True), ("2024-11-28-00-00-01-000001", False), ("qWmRtZxKpLvNbDfGhJcYsT", True), ("xyourAbqW3rT9zX0pL5mN8vB", True), ("your-api-key-qW3rT9zX0pL5mN8vB", False), ("thisnameisonlyletters", False)])
 def test_entropy_spans(spark, value, found):
     r = secrets.digest(spark.createDataFrame([(1, f"see {value} here")], "doc_id long, text string")).first()
     assert r["spans"] == (f"entropy:4:{4 + len(value)}" if found else "")
@@ -558,6 +559,38 @@ def test_window_entropy(spark, value):
     assert got == pytest.approx(expected, abs=1e-9)
 
 
+def plain_entropy_spans(text):
+    """The entropy spans of find_secrets() by counting each window anew."""
+    out = []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        v = m.group()
+        bar = next(b for p, b in secrets.CLASSES if re.search(p, v))
+        h = max(-sum(c / 20 * np.log2(c / 20) for c in Counter(v[k : k + 20]).values()) for k in range(len(v) - 19))
+        if h >= bar - 1e-9 and not any(re.search(p, v) for p in secrets.ALLOW):
+            out.append(f"entropy:{m.start()}:{m.end()}")
+    return out
+
+
+def test_long_candidates(spark):
+    rng = random.Random(8)
+    make = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    values = [make("ab", 10_000), make("ab", 9_000) + make(secrets.ALPHABET, 40) + make("ba", 900), make("0123456789", 2_000), make("abcdefghijklmnopqrstuvwxyz", 22), "word-" * 2_000, "=" * 3_000, make("aB3", 300)]
+    texts = [f"x {v} y" for v in values] + [" ".join(values), " ".join(make(secrets.ALPHABET, rng.randint(15, 60)) for _ in range(900))]
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("entropy")] for r in secrets.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: plain_entropy_spans(t) for k, t in enumerate(texts)}
+    assert got[0] == [] and got[1] and got[2]
+
+
+def test_a_megabyte_without_a_blank_ends(spark):
+    rng = random.Random(9)
+    texts = ["xy" * 500_000, "".join(rng.choice(secrets.ALPHABET) for _ in range(1_000_000)), "0123456789abcdef01234567 " * 20_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in secrets.digest(frame).collect()}
+    assert got[0]["spans"] == "" and got[1]["spans"] == "entropy:0:1000000" and got[2]["n_hex"] == 20_000
+    assert time.monotonic() - began < 60
+
+
 # pipeline
 
 
