@@ -2,10 +2,13 @@
 
 A string of LENGTH bytes is found wherever it starts more than once. To build indexes of bounded size
 over any corpus, each window of LENGTH bytes is sent to the place that its own content names: the anchor,
-the smallest of the hashes of its ANCHOR-byte strings. Runs of windows with one anchor form a segment; equal
-segments are one, with a count. Segments that share an anchor go into one index, where matching
-statistics, streamed from the run ends, tell how far the text at each position matches elsewhere.
-Windows that are equal have equal anchors, so none is missed, and every match is a true one.
+the smallest of the hashes of its ANCHORS[0]-byte strings. Runs of windows with one anchor form a segment;
+equal segments are one, with a count. Segments that share an anchor go into one index, where matching
+statistics, streamed from the run ends, tell how far the text at each position matches elsewhere. An
+anchor that too many different segments share is split by content: its segments are cut anew by a longer
+anchor, up to LENGTH bytes, where a segment is one window. Windows that are equal have equal anchors, so
+none is missed. Anchors only bring windows together; within an index bytes are compared, and segments
+and documents are told apart by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -14,15 +17,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.common import materialize, release
 
 LENGTH = 400
-ANCHOR = 100
-#: Bytes of segments in one index; an anchor with more segments than GROUP_LIMIT is counted window by window instead.
+#: Bytes of an anchor, and of those by which the segments of an anchor with more than GROUP_LIMIT of them are cut anew.
+ANCHORS = (100, 250, LENGTH)
+#: Bytes of segments in one index.
 INDEX_BYTES = 2 << 20
 GROUP_LIMIT = 3000
 _STRETCH = 1 << 19
@@ -54,7 +57,7 @@ def _hashes(x: np.ndarray, width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def segments(text: bytes, length: int = LENGTH, anchor: int = ANCHOR):
+def segments(text: bytes, length: int = LENGTH, anchor: int = ANCHORS[0]):
     """(first window, bytes, anchor hash) of the segments of a text: all its windows of `length` bytes, by runs of one anchor."""
     w = length - anchor + 1
     for base in range(0, len(text) - length + 1, _STRETCH):
@@ -150,29 +153,34 @@ def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cut + 1]].tolist(), starts[np.r_[cut, len(starts) - 1]].tolist()))
 
 
+def _digest(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=16).digest()
+
+
 def _scan(length: int, anchor: int):
+    """(u, start, size, a, q): the segments of texts (u, t), with their anchor and the digest of their bytes."""
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                cols: list = [[], [], [], [], []]
+                ids, cols, q = [], [[], [], []], []
                 for u, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if text is None or len(text) < length:
                         continue
                     for first, sizes, names in segments(text, length, anchor):
-                        cols[0].append(np.full(len(first), u, np.int64))
-                        cols[1].append(first)
-                        cols[2].append(sizes.astype(np.int32))
-                        cols[3].append(names.view(np.int64))
-                        cols[4].append(np.array([xxhash.xxh3_64_intdigest(text[s : s + n]) for s, n in zip(first.tolist(), sizes.tolist())], np.uint64).view(np.int64))
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["u", "start", "size", "a", "q"])
+                        ids += [u] * len(first)
+                        for c, x in zip(cols, (first, sizes.astype(np.int32), names.view(np.int64))):
+                            c.append(x)
+                        q += [_digest(text[s : s + n]) for s, n in zip(first.tolist(), sizes.tolist())]
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), *[pa.array(np.concatenate(c)) for c in cols], pa.array(q, pa.binary())], ["u", "start", "size", "a", "q"])
 
     return run
 
 
 def _cut_out(batches):
-    """(a, q, b): the bytes of wanted segments, given by document."""
+    """(a, q, b): the bytes of wanted segments, given by text."""
     for batch in batches:
         for at in range(0, batch.num_rows, 32):
             part = batch.slice(at, 32)
@@ -182,15 +190,15 @@ def _cut_out(batches):
                     a.append(w["a"])
                     q.append(w["q"])
                     b.append(text[w["start"] : w["start"] + w["size"]])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(q, pa.int64()), pa.array(b, pa.binary())], ["a", "q", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(q, pa.binary()), pa.array(b, pa.binary())], ["a", "q", "b"])
 
 
 def _index_groups(length: int, index_bytes: int):
-    """(a, q, lo, hi): repeated windows of segments sorted by anchor; whole groups fill an index until it is large enough."""
+    """(q, lo, hi): repeated windows of segments (a, q, b) sorted by anchor; whole groups fill an index until it is large enough."""
 
     def find(rows: list) -> pa.RecordBatch:
-        out = [(a, q, lo, hi) for (a, q, _), w in zip(rows, repeated_windows([r[2] for r in rows], length)) for lo, hi in _spans(w)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4, ["a", "q", "lo", "hi"])
+        out = [(q, lo, hi) for (_, q, _), w in zip(rows, repeated_windows([r[2] for r in rows], length)) for lo, hi in _spans(w)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 3, (pa.binary(), pa.int64(), pa.int64()))], ["q", "lo", "hi"])
 
     def run(batches):
         rows, size = [], 0
@@ -207,19 +215,6 @@ def _index_groups(length: int, index_bytes: int):
     return run
 
 
-def _windows(length: int):
-    """(a, q, at, w): every window of a segment with a hash, for anchors that too many segments share."""
-
-    def run(batches):
-        for batch in batches:
-            for a, q, b in zip(*(c.to_pylist() for c in batch.columns)):
-                h = _hashes(np.frombuffer(b, np.uint8), length).view(np.int64)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(np.full(n, q)), pa.array(np.arange(n)), pa.array(h)], ["a", "q", "at", "w"])
-
-    return run
-
-
 def _remove(batches):
     for batch in batches:
         out = []
@@ -240,42 +235,50 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_limit: int = GROUP_LIMIT, index_bytes: int = INDEX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(documents, marks): documents (u, doc_id, t) with t the UTF-8 bytes, and per u its repeated byte ranges (s, e), which may overlap."""
-    doc_id = F.col("doc_id").cast("long")
-    raw = docs.select(F.xxhash64(doc_id, F.col("text")).alias("u"), doc_id.alias("doc_id"), F.encode("text", "UTF-8").alias("t"))
-    segs = materialize(raw.select("u", "t").mapInArrow(_scan(length, anchor), "u long, start long, size int, a long, q long"), "segments")
+def _repeated(texts: DataFrame, length: int, anchors: tuple[int, ...], group_limit: int, index_bytes: int) -> DataFrame:
+    """(u, s, e): ranges of texts (u, t) whose windows start from s to e - length and also start elsewhere; u may come again with the same t."""
+    spark = texts.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    segs = materialize(texts.mapInArrow(_scan(length, anchors[0]), "u binary, start long, size int, a long, q binary"), "segments")
+    # the bytes of a segment decide its anchor, so q alone names a kind of segment
     kinds = segs.groupBy("a", "q").agg(F.count("*").alias("n"), F.min(F.struct("u", "start", "size")).alias("one"))
     kinds = materialize(kinds, "kinds")
     shared = kinds.groupBy("a").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("total > 1").select("a", "m")
     known = materialize(kinds.join(shared, "a"), "shared")
     release(kinds)
-    whole = known.where("n > 1").select("a", "q", F.lit(0).cast("long").alias("lo"), (F.col("one.size") - length).cast("long").alias("hi"))
-    wanted = known.where("m > 1").groupBy("one.u").agg(F.collect_list(F.struct("a", "q", "one.start", "one.size", "m")).alias("wanted"))
-    # a row of (doc_id, text) that comes again has the same u: one of them is enough
-    pieces = materialize(raw.select("u", "t").join(wanted, "u").select("t", "wanted").mapInArrow(_cut_out, "a long, q long, b binary").dropDuplicates(["a", "q"]), "pieces")
-    spark = docs.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    over = known.where(F.col("m") > group_limit).select("a").distinct()
-    some = pieces.join(over, "a", "left_anti").repartition(parts, "a").sortWithinPartitions("a")
-    found = some.mapInArrow(_index_groups(length, index_bytes), "a long, q long, lo long, hi long")
-    each = materialize(pieces.join(over, "a", "left_semi").repartition(parts, "a", "q").mapInArrow(_windows(length), "a long, q long, at long, w long"), "windows")
-    again = each.join(each.groupBy("a", "w").count().where("count > 1").select("a", "w"), ["a", "w"], "left_semi")
-    spans = found.unionByName(whole).unionByName(again.select("a", "q", F.col("at").alias("lo"), F.col("at").alias("hi")))
-    by_kind = materialize(spans.groupBy("a", "q").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    marks = segs.join(by_kind, ["a", "q"]).select("u", "start", F.explode("spans").alias("x"))
-    marks = marks.select("u", (F.col("start") + F.col("x.lo")).alias("s"), (F.col("start") + F.col("x.hi") + length).alias("e"))
-    return raw, marks.distinct().groupBy("u").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
+    spans = known.where("n > 1").select("q", F.lit(0).cast("long").alias("lo"), (F.col("one.size") - length).cast("long").alias("hi"))
+    wanted = known.where("m > 1").groupBy("one.u").agg(F.collect_list(F.struct("a", "q", "one.start", "one.size")).alias("wanted"))
+    # of a text that comes again any row gives the bytes
+    pieces = materialize(texts.join(wanted, "u").select("t", "wanted").mapInArrow(_cut_out, "a long, q binary, b binary").dropDuplicates(["q"]), "pieces")
+    large = materialize(known.where(F.col("m") > group_limit).select("a").distinct(), "large") if len(anchors) > 1 else None
+    small = pieces if large is None else pieces.join(large, "a", "left_anti")
+    small = small.repartition(parts, "a").sortWithinPartitions("a")
+    spans = spans.unionByName(small.mapInArrow(_index_groups(length, index_bytes), "q binary, lo long, hi long"))
+    if large is not None and not large.isEmpty():
+        again = _repeated(pieces.join(large, "a", "left_semi").select(F.col("q").alias("u"), F.col("b").alias("t")), length, anchors[1:], group_limit, index_bytes)
+        spans = spans.unionByName(again.select(F.col("u").alias("q"), F.col("s").alias("lo"), (F.col("e") - length).alias("hi")))
+    by_kind = materialize(spans.groupBy("q").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    marks = segs.join(by_kind, "q").select("u", "start", F.explode("spans").alias("x"))
+    return marks.select("u", (F.col("start") + F.col("x.lo")).alias("s"), (F.col("start") + F.col("x.hi") + length).alias("e")).distinct()
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, group_limit: int = GROUP_LIMIT, index_bytes: int = INDEX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(documents, marks): documents (u, doc_id, t) with t the UTF-8 bytes and u a digest of doc_id and t, and per u its repeated byte ranges (s, e), which may overlap."""
+    doc_id, t = F.col("doc_id").cast("long"), F.encode("text", "UTF-8")
+    named = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))
+    raw = docs.select(F.substring(F.unhex(F.sha2(named, 256)), 1, 16).alias("u"), doc_id.alias("doc_id"), t.alias("t"))
+    marks = _repeated(raw.select("u", "t"), length, anchors, group_limit, index_bytes)
+    return raw, marks.groupBy("u").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, **limits) -> DataFrame:
     """Per document (doc_id, n_bytes, n_removed, n_spans, kept_sha256) without the bytes of repeated strings.
 
     A byte goes if some string of `length` bytes over it also starts elsewhere in docs, the same text
     included, judged on the texts as given. Strings never cross documents. Null, empty and shorter texts
     keep all. Repeated rows are copies of each other, so both lose what is long enough. Empty table: no
-    rows. Other columns are ignored. Equal segments are counted before they move, groups that share an
-    anchor are split by content, and oversized ones are counted by window, so no task meets a hot group.
+    rows. Other columns are ignored. Equal segments are counted before they move, and groups that share an
+    anchor are split by longer ones while they are too large, so no task meets a hot group.
     """
     raw, marks = repeats(docs, length, **limits)
     return raw.join(marks, "u", "left").select("doc_id", "t", "marks").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -247,13 +247,25 @@ def test_run_length_index_finds_all_repeats(texts, length):
     assert [x.tolist() for x in suffix_dedup.repeated_windows(texts, length)] == expected
 
 
-@pytest.mark.parametrize("limits", [{}, {"group_limit": 1}, {"index_bytes": 1}])
+@pytest.mark.parametrize("limits", [{}, {"group_limit": 1}, {"group_limit": 1, "anchors": (100, 400)}, {"index_bytes": 1}])
 def test_repeats(docs, rows, limits):
     expected = Counter((r[0], *b) for r, b in zip(rows, brute_repeats([(r[1] or "").encode() for r in rows], 400)))
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in collected(suffix_dedup.remove_repeats(docs, **limits)))
     assert got == expected
 
 
+@pytest.mark.parametrize("limit", [3000, 20, 4])
+def test_repeats_beside_a_hot_passage(spark, limit):
+    """Sixty documents share a passage that is framed by text of their own; some share part of the frame too."""
+    rng = random.Random(12)
+    hot = "".join(rng.choice("abcdef ") for _ in range(700))
+    frame = ["".join(rng.choice("abcdef ") for _ in range(250)) for _ in range(40)]
+    texts = [rng.choice(frame) + "é" * (k % 2) + hot[: rng.choice([420, 700])] + rng.choice(frame) for k in range(60)] + [hot[:405], hot * 3, None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in collected(suffix_dedup.remove_repeats(frame, group_limit=limit)))
+    assert got == [(k, *b) for k, b in enumerate(brute_repeats([(t or "").encode() for t in texts], 400))]
+
+
 def test_repeats_of_nothing(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
