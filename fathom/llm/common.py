@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,52 @@ def _clean_up() -> None:
             return
 
 
+def numbered(docs: DataFrame, *more: str) -> DataFrame:
+    """(u, doc_id, t, more) of docs (doc_id, text): t the text's UTF-8 bytes and u 16 bytes of the SHA-256 of doc_id and text, the same for repeated rows."""
+    doc_id = F.col("doc_id").cast("long")
+    named = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.when(F.col("text").isNull(), ";").otherwise(":"), F.coalesce(F.col("text"), F.lit("")))
+    return docs.select(F.substring(F.unhex(F.sha2(named, 256)), 1, 16).alias("u"), doc_id.alias("doc_id"), F.encode("text", "UTF-8").alias("t"), *more)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number modulo 2^64, and those of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _POWERS.insert(0, np.multiply.accumulate(p))
+        del _POWERS[2:]
+    return _POWERS[1][:n], _POWERS[0][:n]
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread evenly."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_edges(plain: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of a text in which every other byte between words is a blank."""
+    word = np.r_[False, np.frombuffer(plain, np.uint8) != 0x20, False]
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    return edge[::2], edge[1::2]
+
+
+def word_hashes(plain: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word; equal words have equal hashes, the reverse is for callers to verify."""
+    x = np.frombuffer(plain, np.uint8)
+    up, down = powers(len(x) + 1)
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every end of an edge (a, b); component is the smallest node reachable.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import materialize, release
+from fathom.llm.common import materialize, numbered, powers, release
 
 LENGTH = 400
 #: Bytes of an anchor, and of those by which the segments of an anchor with more than GROUP_LIMIT of them are cut anew.
@@ -29,25 +29,12 @@ ANCHORS = (100, 250, LENGTH)
 INDEX_BYTES = 2 << 20
 GROUP_LIMIT = 3000
 _STRETCH = 1 << 19
-_BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 20) - 1)
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS.insert(0, np.multiply.accumulate(p))
-        del _POWERS[2:]
-    return _POWERS[1][:n], _POWERS[0][:n]
 
 
 def _hashes(x: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of every `width` bytes."""
-    up, down = _powers(len(x) + 1)
+    up, down = powers(len(x) + 1)
     sums = np.zeros(len(x) + 1, np.uint64)
     np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)], out=sums[1:])
     h = (sums[width:] - sums[:-width]) * down[: len(x) - width + 1]
@@ -264,9 +251,7 @@ def _repeated(texts: DataFrame, length: int, anchors: tuple[int, ...], group_lim
 
 def repeats(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, group_limit: int = GROUP_LIMIT, index_bytes: int = INDEX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(documents, marks): documents (u, doc_id, t) with t the UTF-8 bytes and u a digest of doc_id and t, and per u its repeated byte ranges (s, e), which may overlap."""
-    doc_id, t = F.col("doc_id").cast("long"), F.encode("text", "UTF-8")
-    named = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))
-    raw = docs.select(F.substring(F.unhex(F.sha2(named, 256)), 1, 16).alias("u"), doc_id.alias("doc_id"), t.alias("t"))
+    raw = numbered(docs)
     marks = _repeated(raw.select("u", "t"), length, anchors, group_limit, index_bytes)
     return raw, marks.groupBy("u").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
 

@@ -495,10 +495,10 @@ def plain_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
 
 
-@pytest.mark.parametrize("block", [1_000_000, 5])
-def test_contamination(spark, docs, rows, block):
+@pytest.mark.parametrize("most", [4_000_000, 5])
+def test_contamination(spark, docs, rows, most):
     ws = rows[2][1].split()
-    items = [(1, " ".join(ws[5:25])), (2, " ".join(ws[18:40])), (3, "long"), (4, None), (5, "..."), (6, " ".join(rows[3][1].split()[:4])), (1, "É É É É É É É É É É"), (None, rows[4][1]), (7, "zzz yyy")]
+    items = [(1, " ".join(ws[5:25])), (2, " ".join(ws[18:40])), (3, "long"), (4, None), (5, "..."), (6, " ".join(rows[3][1].split()[:4])), (1, "É É É É É É É É É É"), (None, rows[4][1]), (7, "zzz yyy"), (8, " ".join(rows[6][1].split()[:2])), (9, " ".join(ws[5:25]))]
     windows = defaultdict(set)
     for i, t in items:
         w = plain_words(t)
@@ -516,8 +516,8 @@ def test_contamination(spark, docs, rows, block):
         expected[d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)] += 1
     bench = spark.createDataFrame(items, "item_id long, text string")
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    assert Counter(tuple(r[n] for n in names) for r in collected(decontaminate.contamination(docs, bench, block_words=block))) == expected
-    kept = decontaminate.drop_contaminated(docs, bench, block_words=block)
+    assert Counter(tuple(r[n] for n in names) for r in collected(decontaminate.contamination(docs, bench, most_keys=most))) == expected
+    kept = decontaminate.drop_contaminated(docs, bench, most_keys=most)
     assert kept.columns == docs.columns and kept.count() == sum(n for k, n in expected.items() if not k[5])
 
 
