@@ -109,7 +109,7 @@ def word_hashes(plain: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every end of an edge (a, b); component is the smallest node reachable.
+    """(node, component) for every end of an edge (a, b), of any type with an order; component is the smallest node reachable.
 
     Alternating large-star and small-star: each round is a few group-bys over the edges, whose
     number never grows, and rounds grow with the logarithm of the diameter. A node of a very large
@@ -117,8 +117,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     a hub join the hub's minimum instead of being listed. Edges live in the shared folder only.
     No edge: no row. Null ends are dropped.
     """
-    e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    e = e.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    e = edges.select("a", "b").where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     e = materialize(e, "edges")
     seen = None
     for _ in range(rounds):

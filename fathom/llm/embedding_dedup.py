@@ -1,7 +1,9 @@
 """Embedding near-duplicates by a forest of random-projection trees with spill overlap.
 
 Each level of each tree projects on a random direction and splits at a node's median; vectors near the
-split go both ways. Vectors are compared within leaves, by exact cosine. A pair may meet in many leaves;
+split go both ways, as near as the data's spread in that direction says, and no more of them than keeps
+a tree's copies of all vectors below COPIES. Trees are added until pairs at the threshold, planted beside
+sampled vectors, meet in some leaf but for MISSED of them. Vectors are compared within leaves, by exact cosine. A pair may meet in many leaves;
 it counts in the smallest leaf the two share, which each can tell from the leaves of both, so that
 neither pairs nor links are ever gathered to be made distinct.
 """
@@ -17,10 +19,17 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import connected_components, materialize
 
-TREES = 6
+#: Trees are added beyond the least number until planted pairs meet; if the most of them miss over twice MISSED, trees
+#: become less deep and leaves larger.
+TREES, MOST_TREES = 6, 20
+MISSED = 0.005
 LEAF = 512
-#: Vectors that a split's place is learned from; they are taken by order of a hash.
+#: Copies of a vector in one tree, on average, at most.
+COPIES = 4.0
+#: Vectors that directions' spreads and splits are learned from; they are taken by order of a hash.
 SAMPLE = 20_000
+#: Levels whose nodes have splits of their own; below, where the sample is thin, one split holds for a level.
+_LEARNED = 11
 #: A leaf beyond this is compared by pairs of chunks, in tasks of their own.
 LEAF_LIMIT = 4096
 _BLOCK = 1024
@@ -30,42 +39,81 @@ class Forest:
     """Random directions by (tree, level), medians by node; depth follows the number of vectors."""
 
     def __init__(self, sample: np.ndarray, rows: int, threshold: float, trees: int = TREES, leaf: int = LEAF, seed: int = 5):
-        dim = sample.shape[1]
         rng = np.random.default_rng(seed)
-        self.margin = 0.36 * math.sqrt(max(0.0, 2 - 2 * threshold) / dim)
         # in the middle a level keeps a little over half of the vectors on either side
         self.depth = max(0, math.ceil(math.log(max(rows, 1) / leaf) / math.log(1 / 0.57))) if rows > 2 * leaf else 0
-        self.depth = min(self.depth, 22)
-        self.directions = rng.standard_normal((trees, self.depth, dim))
-        self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
-        self.splits = [self._learn(sample, d) for d in self.directions]
+        while True:
+            self.directions, self.splits, self.margins, self.missed = [], [], [], 0.0
+            if not self.depth:
+                self._grow(rng, sample, threshold)
+                return
+            pairs = self._planted(rng, sample, threshold)
+            apart = np.ones(len(pairs[0]), bool)
+            while len(self.splits) < trees or (apart.mean() > MISSED and len(self.splits) < MOST_TREES):
+                self._grow(rng, sample, threshold)
+                apart &= ~self._meet(len(self.splits) - 1, *pairs)
+            self.missed = float(apart.mean())
+            if self.missed <= 2 * MISSED:
+                return
+            self.depth = max(0, self.depth - 2)
 
-    def _learn(self, sample: np.ndarray, directions: np.ndarray) -> list[np.ndarray]:
-        splits, node = [], np.zeros(len(sample), np.int64)
+    @staticmethod
+    def _planted(rng: np.random.Generator, sample: np.ndarray, threshold: float, n: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled vectors and for each one of cosine `threshold` to it: half in random directions, half in those of other vectors."""
+        x = sample[rng.integers(0, len(sample), n)]
+        off = rng.standard_normal(x.shape)
+        off[n // 2 :] = sample[rng.integers(0, len(sample), n - n // 2)]
+        off -= (off * x).sum(1, keepdims=True) * x
+        size = np.linalg.norm(off, axis=1, keepdims=True)
+        on = size[:, 0] > 1e-6
+        x, off = x[on], off[on] / size[on]
+        return x, threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * off
+
+    def _grow(self, rng: np.random.Generator, sample: np.ndarray, threshold: float) -> None:
+        """One more tree; where every vector has the same part, as a common mean, the spread and the splits leave it out."""
+        directions = rng.standard_normal((self.depth, sample.shape[1]))
+        directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+        total = math.sqrt(sample.var(axis=0).sum()) if len(sample) else 1.0
+        share = COPIES ** (1 / max(1, self.depth)) - 1
+        splits, margins, node = [], [], np.zeros(len(sample), np.int64)
         for level, d in enumerate(directions):
             p = sample @ d
-            split = np.full(1 << level, np.median(p) if len(p) else 0.0)
-            order = np.lexsort((p, node))
-            starts = np.searchsorted(node[order], np.arange(1 << level))
-            sizes = np.diff(np.r_[starts, len(order)])
-            full = sizes >= 8
-            split[full] = p[order[starts[full] + sizes[full] // 2]]
+            split = np.full(1 << level if level <= _LEARNED else 1, np.median(p) if len(p) else 0.0)
+            if level <= _LEARNED:
+                order = np.lexsort((p, node))
+                starts = np.searchsorted(node[order], np.arange(1 << level))
+                sizes = np.diff(np.r_[starts, len(order)])
+                full = sizes >= 8
+                split[full] = p[order[starts[full] + sizes[full] // 2]]
+            off = p - split[node if level <= _LEARNED else 0]
+            wanted = 0.36 * math.sqrt(max(0.0, 2 - 2 * threshold)) / max(total, 1e-9) * (p.std() if len(p) else 0.0)
+            margins.append(min(wanted, float(np.quantile(np.abs(off), share))) if len(p) else wanted)
             splits.append(split)
-            node = 2 * node + (p >= split[node])
-        return splits
+            node = 2 * node + (off >= 0)
+        self.directions.append(directions)
+        self.splits.append(splits)
+        self.margins.append(margins)
+
+    def _route(self, tree: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for level, (d, split, margin) in enumerate(zip(self.directions[tree], self.splits[tree], self.margins[tree])):
+            off = (x @ d)[row] - split[node if level <= _LEARNED else 0]
+            right, left = off >= -margin, off < margin
+            row, node = np.r_[row[left], row[right]], np.r_[2 * node[left], 2 * node[right] + 1]
+        return row, node
+
+    def _meet(self, tree: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each pair of rows shares a leaf of a tree."""
+        (i, u), (j, v) = self._route(tree, a), self._route(tree, b)
+        both = np.intersect1d((i.astype(np.int64) << self.depth) + u, (j.astype(np.int64) << self.depth) + v)
+        out = np.zeros(len(a), bool)
+        out[both >> self.depth] = True
+        return out
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs, by row and leaf; leaf numbers go through all trees."""
-        rows, leaves = [], []
-        for t, (directions, splits) in enumerate(zip(self.directions, self.splits)):
-            row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for d, split in zip(directions, splits):
-                off = (x @ d)[row] - split[node]
-                right, left = off >= -self.margin, off < self.margin
-                row, node = np.r_[row[left], row[right]], np.r_[2 * node[left], 2 * node[right] + 1]
-            rows.append(row)
-            leaves.append(node + (t << self.depth))
-        row, leaf = np.concatenate(rows), np.concatenate(leaves)
+        routed = [self._route(t, x) for t in range(len(self.splits))]
+        row, leaf = np.concatenate([r for r, _ in routed]), np.concatenate([n + (t << self.depth) for t, (_, n) in enumerate(routed)])
         order = np.lexsort((leaf, row))
         return row[order], leaf[order]
 
@@ -124,12 +172,10 @@ def _compare(leaf: int, x: np.ndarray, weight: np.ndarray, chunk: np.ndarray, cr
 
 
 def _in_leaves(dim: int, threshold: float):
-    kinds = [pa.int64(), pa.int64(), pa.int64()]
-
     def one(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         col = lambda name: table.column(name).chunk(0)
-        node, a, b = (col(c).to_numpy(zero_copy_only=False) for c in ("node", "i", "j"))
+        node, a, b = col("node"), *(col(c).to_numpy(zero_copy_only=False) for c in ("i", "j"))
         lists = col("leaves")
         offsets, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
         offsets = offsets - offsets[0]
@@ -137,8 +183,8 @@ def _in_leaves(dim: int, threshold: float):
             col("leaf")[0].as_py(), unit(col("embedding"), dim), col("n").to_numpy(zero_copy_only=False), col("chunk").to_numpy(zero_copy_only=False),
             bool(a[0] != b[0]), [flat[s:e] for s, e in zip(offsets, offsets[1:])], threshold,
         )
-        on = total > 0
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((node[on], total[on], node[label][on]), kinds)], ["node", "links", "other"])
+        on = np.flatnonzero(total > 0)
+        return pa.RecordBatch.from_arrays([node.take(pa.array(on)), pa.array(total[on]), node.take(pa.array(label[on]))], ["node", "links", "other"])
 
     def run(batches):
         held = None
@@ -171,7 +217,7 @@ def _links(classes: DataFrame, dim: int, threshold: float, trees: int, leaf: int
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(found))], ["node", "embedding", "n", "leaves"])
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    routed = materialize(classes.select("node", "embedding", "n").mapInArrow(route, f"node long, embedding {kind}, n long, leaves array<long>"), "routed")
+    routed = materialize(classes.select("node", "embedding", "n").mapInArrow(route, f"node binary, embedding {kind}, n long, leaves array<long>"), "routed")
     # how many chunks a leaf needs is joined to (node, leaf) rows, which are few bytes each; vectors are dealt once
     large = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().where(F.col("count") > leaf_limit)
     chunked = routed.select("node", F.explode("leaves").alias("leaf")).join(large, "leaf").groupBy("node").agg(
@@ -186,7 +232,7 @@ def _links(classes: DataFrame, dim: int, threshold: float, trees: int, leaf: int
     dealt = dealt.withColumn("p", F.explode(pair)).select("leaf", "node", "embedding", "n", "leaves", "chunk", "p.i", "p.j")
     dealt = dealt.withColumn("group", F.xxhash64("leaf", "i", "j"))
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_in_leaves(dim, threshold), "node long, links long, other long")
+    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_in_leaves(dim, threshold), "node binary, links long, other binary")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES, leaf: int = LEAF, leaf_limit: int = LEAF_LIMIT) -> DataFrame:
@@ -194,27 +240,31 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, trees: int = TRE
 
     vectors (vec_id, embedding). Equal vectors are one class, linked among each other and compared once.
     Null, empty and zero vectors and those with null or non-finite components link with nothing, nor do
-    vectors of different lengths. Repeated rows each count. A null vec_id keeps itself. Empty table: no
-    rows. Other columns are ignored. Recall depends on trees, not on group sizes: all of a leaf is compared.
+    vectors of different lengths. Links are between rows: a vec_id that comes again, with the same vector
+    or another, is another vector each time. A null vec_id names no component: component_id is the smallest
+    one that is not null, else null, and such a row is kept if there is none. Empty table: no rows. Other
+    columns are ignored. Recall depends on trees, not on group sizes: all of a leaf is compared.
     """
     kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     ok = F.coalesce(F.col("embedding").isNotNull() & finite, F.lit(False))
-    classes = materialize(v.where(ok).groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).select(
-        F.coalesce("vec_id", F.lit(-1)).alias("node"), "embedding", "n"), "classes")
+    # equal vectors have one node: 16 bytes of the SHA-256 of their numbers in full
+    node = F.substring(F.unhex(F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256)), 1, 16)
+    sound = v.where(ok).withColumn("node", node)
+    classes = materialize(sound.groupBy("node").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("low"), F.count("*").alias("n")), "classes")
+    alone = v.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = None
-    for dim in [r[0] for r in classes.select(F.size("embedding")).distinct().collect()]:
+    for dim in [r[0] for r in classes.groupBy(F.size("embedding")).count().where("count > 1").collect()]:
         some = _links(classes.where(F.size("embedding") == dim), dim, threshold, trees, leaf, leaf_limit)
         found = some if found is None else found.unionByName(some)
-    alone = v.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if found is None:
-        return alone
+        found = classes.select("node", F.lit(0).cast("long").alias("links"), F.col("node").alias("other")).limit(0)
     found = materialize(found, "links")
     comps = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.join(sums, "node", "left").join(comps, "node", "left").select(
-        "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")
-    )
-    linked = v.where(ok).join(named, "embedding").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
-    return linked.unionByName(alone)
+    named = classes.select("node", "low", "n").join(sums, "node", "left").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    least = named.groupBy("c").agg(F.min("low").alias("component_id"))
+    named = named.join(least, "c").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    kept = F.when(F.col("vec_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("vec_id") == F.col("component_id"))
+    return sound.select("vec_id", "node").join(named, "node").select("vec_id", "n_links", "component_id", kept.alias("kept")).unionByName(alone)

@@ -429,6 +429,39 @@ def test_links_of_vectors(spark, limits):
     assert all(got[k] == {"vec_id": k, "n_links": 0, "component_id": k, "kept": True} for k in (302, 303, 304, 305, 306, 307))
 
 
+def test_ids_of_vectors(spark):
+    """Null, repeated and negative ids, and columns with clashing names, against all pairs."""
+    axis = lambda k, near=None: [1.0 if x == k else (0.3 if x == near else 0.0) for x in range(8)]
+    rows = [(None, axis(0)), (None, axis(1)), (-1, axis(2)), (7, axis(2, 3)), (1, axis(4)), (1, axis(5)), (2, axis(4, 6)), (3, axis(5, 6)), (None, axis(7)), (9, axis(7, 0)), (5, axis(6)), (5, axis(6))]
+    frame = spark.createDataFrame([(i, v, b"x", 1, 1) for i, v in rows], "vec_id long, embedding array<double>, node binary, n int, component_id int")
+    got = Counter(tuple(r) for r in embedding_dedup.near_duplicates(frame).collect())
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T >= 0.9
+    label = components(len(rows), np.argwhere(near).tolist())
+    low = [min((i for i, _ in (rows[x] for x in range(len(rows)) if label[x] == label[k]) if i is not None), default=None) for k in range(len(rows))]
+    assert got == Counter((i, int(near[k].sum()) - 1, low[k], low[k] is None if i is None else i == low[k]) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("shape", ["isotropic", "decaying", "mean"])
+def test_forest_finds_planted_pairs(shape):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((6000, 64)) * (0.93 ** np.arange(64) if shape == "decaying" else 1) + (1.5 * (np.arange(64) % 3 == 0) if shape == "mean" else 0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal((1500, 64))
+    off -= (off * x[:1500]).sum(1, keepdims=True) * x[:1500]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.93, (1500, 1))
+    both = np.r_[x, c * x[:1500] + np.sqrt(1 - c * c) * off]
+    forest = embedding_dedup.Forest(both[rng.permutation(len(both))[:4000]], 200_000, 0.9)
+    row, leaf = forest.leaves(both)
+    seen = defaultdict(set)
+    for r, n in zip(row.tolist(), leaf.tolist()):
+        seen[r].add(n)
+    assert np.mean([bool(seen[k] & seen[6000 + k]) for k in range(1500)]) >= 0.97
+    assert len(row) <= 1.3 * embedding_dedup.COPIES * len(forest.splits) * len(both)
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
