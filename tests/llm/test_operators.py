@@ -340,6 +340,60 @@ def test_short_near_copies_are_found(spark):
     assert found >= 0.97 * expected > 0  # a pair whose min-hashes all differ is not met
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 6), min_size=5, max_size=60), st.integers(2, 5))
+def test_compact_windows_are_those_of_the_tree(values, least):
+    h = np.array(values, np.uint64) << np.uint64(40)
+    got = list(zip(*(x.tolist() for x in passage_dedup.compact_windows(h, least))))
+    for left, root, right in got:
+        assert right - left + 1 >= least and all(values[k] >= values[root] for k in range(left, right + 1))
+        assert left == 0 or values[left - 1] < values[root]
+        assert right == len(values) - 1 or values[right + 1] < values[root]
+    for k in range(len(values) - least + 1):  # every passage holds a root that is its smallest
+        low = min(values[k : k + least])
+        assert any(k <= root < k + least and values[root] == low and left <= k and k + least - 1 <= right for left, root, right in got)
+
+
+def test_passages_equal_brute_force(spark):
+    """Equal passages whole, beside runs of one word and repeated lines; nothing but similar passages."""
+    rng = random.Random(31)
+    line, runs = words_of(rng, 12), [["one"] * n for n in (52, 60, 110)]
+    blocks = [words_of(rng, n) for n in (50, 51, 60, 75, 130)] + runs + [line * 6, line * 9]
+    texts = [rng.choice(["", "lead "]) + " ".join(w for _ in range(rng.randint(1, 3)) for w in words_of(rng, rng.randint(0, 25)) + rng.choice(blocks)) for _ in range(18)]
+    split = [t.split() for t in texts]
+    want, may = [set() for _ in texts], [set() for _ in texts]
+    views = [defaultdict(list) for _ in texts]
+    for k, w in enumerate(split):
+        for s in range(len(w) - 49):
+            views[k][tuple(w[s : s + 50])].append(s)
+    for a, b in itertools.permutations(range(len(texts)), 2):
+        for x in views[a].keys() & views[b].keys():
+            for s in views[a][x]:
+                want[a] |= set(range(s, s + 50))
+        may[a] |= similar_places(split[a], split[b])
+    got = {r["doc_id"]: r for r in collected(passage_dedup.near_duplicate_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))}
+    for k in range(len(texts)):
+        assert want[k] <= listed_places(got[k]["passages"]) <= may[k]
+        assert got[k]["n_dup_words"] == len(listed_places(got[k]["passages"])) and got[k]["n_words"] == len(split[k])
+
+
+def test_shifted_near_passages_are_found(spark):
+    rng = random.Random(17)
+    texts = []
+    for k in range(60):
+        passage = words_of(rng, 100)
+        edited = passage.copy()
+        for at in sorted(rng.sample(range(10, 90, 12), 2 + 2 * (k % 2))):
+            edited[at] = "other"
+        texts += [words_of(rng, rng.randint(0, 70)) + passage + words_of(rng, 40), words_of(rng, rng.randint(0, 70)) + edited + words_of(rng, 40)]
+    got = {r["doc_id"]: r for r in collected(passage_dedup.near_duplicate_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")))}
+    expected = found = 0
+    for k in range(0, len(texts), 2):
+        want = similar_places(texts[k], texts[k + 1])
+        expected, found = expected + bool(want), found + bool(want and got[k]["n_passages"])
+    assert found >= 0.95 * expected > 0
+
+
 def test_large_groups_are_compared_whole():
     rng = np.random.default_rng(3)
     n, least, width = 400, 46, 91
