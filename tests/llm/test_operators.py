@@ -410,7 +410,7 @@ def test_large_groups_are_compared_whole():
     u, c = np.arange(n) + 1000, np.full(n, 45)
     flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width), pa.int32()), pa.array(h.ravel()))
     zero = pa.array(np.zeros(n, np.int32))
-    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(u), pa.array(c), flat, zero, zero, zero], ["group", "u", "c", "h", "chunk", "i", "j"])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(u), pa.array(c), flat, zero, zero, zero, zero], ["group", "u", "c", "h", "chunk", "i", "j", "more"])
     covered, links = defaultdict(set), []
     for b in passage_dedup._verify(least, 0.8)(iter([batch])):
         for x, s, e, other in zip(*(col.to_pylist() for col in b.columns)):
