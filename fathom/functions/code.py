@@ -79,3 +79,8 @@ def package_context(package: Column, imports: Column) -> Column:
     line = lambda i: F.concat(F.lit("\t"), F.when(F.coalesce(i["alias"], F.lit("")) != "", F.concat(i["alias"], F.lit(" "))).otherwise(""), F.lit('"'), i["path"], F.lit('"\n'))
     block = F.when(F.size(imports) > 0, F.concat(F.lit("\nimport (\n"), F.array_join(F.transform(imports, line), ""), F.lit(")\n"))).otherwise("")
     return F.concat(F.lit("package "), package, F.lit("\n"), block)
+
+
+def context_text(before: Column, after: Column) -> Column:
+    """What a search result shows around a chunk: the text before, a blank line, the text after."""
+    return F.concat(F.coalesce(before, F.lit("")), F.lit("\n\n"), F.coalesce(after, F.lit("")))

@@ -3,19 +3,42 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and what the tokenizer folds them to; parameters of the keyword score.
-ACCENTED = "éèêóñçüäöíáàâëîïôûùúã"
-FOLDED = "eeeoncuaoiaaaeiiouuua"
+# Parameters of the keyword score.
 K1, B = 1.2, 0.75
 
 
+def _folding() -> dict[str, str]:
+    """Lower-case Latin letters that are an ASCII letter with one mark, by that letter; the long s, dotted or not, is an s. Letters with two marks stay."""
+    table = {"ſ": "s", "ẛ": "s"}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        parts = unicodedata.normalize("NFD", c.lower())
+        if len(c.lower()) == 1 and len(parts) == 2 and parts[0].isascii() and unicodedata.category(parts[1]) == "Mn":
+            table[c.lower()] = parts[0]
+    return table
+
+
+_FOLDING = _folding()
+#: Marks that stand by themselves are dropped.
+_MARKS = "[\u0300-\u036f]"
+
+
+def folded(text: Column) -> Column:
+    """Lower case, Latin diacritics removed."""
+    return F.regexp_replace(F.translate(F.lower(text), "".join(_FOLDING), "".join(_FOLDING.values())), _MARKS, "")
+
+
+def folded_text(text: str) -> str:
+    return re.sub(_MARKS, "", text.lower().translate(str.maketrans(_FOLDING)))
+
+
 def tokens(text: Column) -> Column:
     """Maximal runs of letters and digits, lower-cased, diacritics removed."""
-    return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, FOLDED), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def _is(word: str):
@@ -52,9 +75,8 @@ def relevance(bm25: Column) -> Column:
 
 def query_terms(query: str) -> list[str]:
     """Terms of a query; words joined by underscores are a phrase. All must match."""
-    table = str.maketrans(ACCENTED, FOLDED)
     out = []
-    for bare in re.findall(r"[^\W]+", query.lower().translate(table)):
+    for bare in re.findall(r"[^\W]+", folded_text(query)):
         if words := re.findall(r"[^\W_]+", bare):
             out.append(" ".join(words))
     return list(dict.fromkeys(out))

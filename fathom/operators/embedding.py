@@ -60,6 +60,30 @@ def provider_name(env: dict[str, str] | None = None) -> str:
     return next((p for p, key in (("jina", "JINA_API_KEY"), ("openai", "OPENAI_API_KEY")) if env.get(key)), "local")
 
 
+# Model and address of the remote services.
+SERVICES = {
+    "jina": ("jina-embeddings-v3", "https://api.jina.ai/v1/embeddings", "JINA_API_KEY"),
+    "openai": ("text-embedding-3-small", "https://api.openai.com/v1/embeddings", "OPENAI_API_KEY"),
+}
+
+
+def from_env(env: dict[str, str] | None = None) -> HttpProvider | None:
+    """The provider that the environment asks for, None for the local one; a remote one needs its key."""
+    env = os.environ if env is None else env
+    name = provider_name(env)
+    if name == "local":
+        return None
+    model, url, key = SERVICES[name]
+    if not env.get(key):
+        raise ValueError(f"{name} needs {key}")
+    return HttpProvider(name, model, url, env[key])
+
+
+def validate(texts: DataFrame) -> DataFrame:
+    """(batch_id, texts, rejected) of texts (batch_id, content): a batch with an empty text is rejected whole."""
+    return texts.groupBy("batch_id").agg(F.count("*").alias("texts"), F.bool_or(F.coalesce(F.length("content") == 0, F.lit(True))).alias("rejected"))
+
+
 def retry(call: Callable[[], list], attempts: int = 3, first: float = 0.1, most: float = 5.0) -> list:
     """The call's result; after a failure again, each time after twice the wait."""
     wait = first

@@ -1,55 +1,95 @@
-"""A stored inverted index: postings clustered by term, lengths by row, statistics in one row."""
+"""A stored inverted index: postings with positions, clustered by term; lengths by row; corpus statistics in one row."""
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
 
+#: Tables of an index and how they are laid out.
+TABLES = {
+    "postings": "term string, chunk_id long, col int, positions array<int>, dl int",
+    "lengths": "chunk_id long, dl int",
+    "corpus": "rows long, tokens long",
+}
+
 
 def build(rows: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
-    """postings (term, chunk_id, tf), lengths (chunk_id, dl), statistics (rows, mean) of rows (chunk_id, columns)."""
-    toks = F.flatten(F.array(*[T.tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]))
-    tokenized = rows.select("chunk_id", toks.alias("toks"))
-    lengths = tokenized.select("chunk_id", F.size("toks").alias("dl"))
-    return {
-        "postings": tokenized.select("chunk_id", F.explode("toks").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf")),
-        "lengths": lengths,
-        "statistics": lengths.agg(F.count("*").alias("rows"), F.avg("dl").alias("mean")),
-    }
+    """The index of rows (chunk_id, columns): a posting for each term, row and column, with the row's length in tokens."""
+    toks = [F.struct(F.lit(c).alias("col"), T.tokens(F.coalesce(F.col(name).cast("string"), F.lit(""))).alias("toks")) for c, name in enumerate(columns)]
+    each = rows.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.array(*toks).alias("cols"))
+    each = each.withColumn("dl", F.aggregate("cols", F.lit(0), lambda n, x: n + F.size(x["toks"])))
+    flat = each.select("chunk_id", "dl", F.explode("cols").alias("x")).select("chunk_id", "dl", "x.col", F.posexplode("x.toks").alias("pos", "term"))
+    # a row's tokens are in one task, so nearly all grouping is done before the shuffle
+    postings = flat.groupBy("term", "chunk_id", "col", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return {"postings": postings.select("term", "chunk_id", "col", "positions", "dl"), "lengths": each.select("chunk_id", "dl"), "corpus": corpus(each)}
+
+
+def corpus(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("rows"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("tokens"))
+
+
+def clustered(postings: DataFrame) -> DataFrame:
+    """By ranges of terms and sorted, so that a term's rows are few row groups, which their statistics single out."""
+    return postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
 
 
 def write(index: dict[str, DataFrame], path: str) -> None:
-    """Postings are laid out by ranges of terms and sorted, so that a term's rows are few row groups that statistics single out."""
-    index["postings"].repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
+    clustered(index["postings"]).write.parquet(f"{path}/postings")
     index["lengths"].write.parquet(f"{path}/lengths")
-    index["statistics"].write.parquet(f"{path}/statistics")
+    corpus(index["lengths"].sparkSession.read.parquet(f"{path}/lengths")).write.parquet(f"{path}/corpus")
 
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "statistics")}
+    return {t: spark.read.schema(ddl).parquet(f"{path}/{t}") for t, ddl in TABLES.items()}
 
 
-def update(index: dict[str, DataFrame], rows: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
-    """The index with the rows of these ids replaced; only their texts are read again."""
+def update(index: dict[str, DataFrame], rows: DataFrame, columns: list[str], gone: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The index with the rows of these ids replaced, and those of `gone` (chunk_id) removed; only new texts are read."""
     new, ids = build(rows, columns), rows.select("chunk_id")
+    ids = ids if gone is None else ids.unionByName(gone.select("chunk_id"))
     out = {t: index[t].join(ids, "chunk_id", "left_anti").unionByName(new[t]) for t in ("postings", "lengths")}
-    return out | {"statistics": out["lengths"].agg(F.count("*").alias("rows"), F.avg("dl").alias("mean"))}
+    return out | {"corpus": corpus(out["lengths"])}
+
 
+def _less(k: int):
+    return lambda x: x - k
 
-def scores(index: dict[str, DataFrame], terms: list[str], digits: int = 9) -> DataFrame:
-    """(chunk_id, bm25) of rows that hold every one of the terms, which are single tokens.
 
-    The filter on terms reaches the scan of the postings; how many rows have a term is a count of its
-    postings, one row for each term of the query.
+def counts(index: dict[str, DataFrame], terms: list[str]) -> DataFrame:
+    """(chunk_id, dl, f0, f1, ...): how often each term stands in rows that have any of their words.
+
+    A term with blanks is a phrase: its words stand next to each other in one column. The filter on words
+    reaches the scan of the postings; texts are not read.
     """
-    found = index["postings"].where(F.col("term").isin(*terms))
-    having = found.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(index["statistics"]))
-    scored = found.join(F.broadcast(having), "term").join(index["lengths"], "chunk_id")
-    part = F.round(T.term_score(T.idf(F.col("rows"), F.col("n")), F.col("tf"), F.col("dl"), F.col("mean")), 12)
-    each = [F.coalesce(F.max(F.when(F.col("term") == t, part)), F.lit(0.0)) for t in terms]  # summed in the query's order
-    return scored.groupBy("chunk_id").agg(F.count("*").alias("k"), F.round(-reduce(add, each), digits).alias("bm25")).where(F.col("k") == len(terms)).drop("k")
+    words = list(dict.fromkeys(w for t in terms for w in t.split(" ")))
+    found = index["postings"].where(F.col("term").isin(*words))
+    own = found.groupBy("chunk_id", "col").agg(F.max("dl").alias("dl"), *[F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{k}") for k, w in enumerate(words)])
+
+    def count(term: str):
+        places = [F.col(f"p{words.index(w)}") for w in term.split(" ")]
+        # where the phrase starts: each word's positions, less its own place in the phrase
+        shifted = [F.transform(p, _less(k)) for k, p in enumerate(places)]
+        return F.coalesce(F.size(reduce(F.array_intersect, shifted)), F.lit(0)) if len(places) > 1 else F.coalesce(F.size(places[0]), F.lit(0))
+
+    has = lambda t: reduce(and_, [F.col(f"p{words.index(w)}").isNotNull() for w in t.split(" ")])
+    each = own.select("chunk_id", "dl", *[F.when(has(t), count(t)).otherwise(0).alias(f"f{k}") for k, t in enumerate(terms)])
+    return each.groupBy("chunk_id").agg(F.max("dl").alias("dl"), *[F.sum(f"f{k}").alias(f"f{k}") for k in range(len(terms))])
+
+
+def scores(index: dict[str, DataFrame], terms: list[str], candidates: DataFrame | None = None, digits: int = 9) -> DataFrame:
+    """(chunk_id, bm25) of rows that hold every term: lower is better. Statistics are over all rows; candidates (chunk_id) then narrow."""
+    if not terms:
+        raise ValueError("a query needs a term")
+    counted = counts(index, terms)
+    having = counted.agg(*[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(terms))])
+    totals = index["corpus"].select(F.col("rows"), (F.col("tokens") / F.col("rows")).alias("mean"))
+    found = counted.where(reduce(and_, [F.col(f"f{k}") > 0 for k in range(len(terms))]))
+    found = found if candidates is None else found.join(candidates.select("chunk_id"), "chunk_id", "left_semi")
+    found = found.crossJoin(F.broadcast(having)).crossJoin(F.broadcast(totals))  # one row each
+    part = lambda k: F.round(T.term_score(T.idf(F.col("rows"), F.col(f"n{k}")), F.col(f"f{k}"), F.col("dl"), F.col("mean")), 12)
+    return found.select("chunk_id", F.round(-reduce(add, map(part, range(len(terms)))), digits).alias("bm25"))

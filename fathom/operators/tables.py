@@ -97,3 +97,8 @@ def delete_where_in(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFram
     """rows without those ids, and how many went; no ids, none went."""
     gone = rows.join(ids.select(key).distinct(), key, "left_semi").count()
     return delete(rows, ids, key), gone
+
+
+def health(counts: DataFrame) -> DataFrame:
+    """counts (embeddings, indexed, chunks) with flags: that the store could be read, whether there are vectors, and whether the keyword index has a row for each chunk."""
+    return counts.withColumns({"database_accessible": F.lit(True), "embeddings_available": F.col("embeddings") > 0, "fts_indexes_built": F.coalesce("indexed", F.lit(0)) == F.col("chunks")})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fathom import schema
 from fathom.functions.text import sanitize_text
 from fathom.operators import tables as T
+from fathom.operators.embedding import Provider, from_env
 from fathom.operators.filters import SearchFilters
 from fathom.plans.index import IndexingInProgress, Store, index_tree, project_id
 from fathom.plans.search import ResultCache, Searcher, SearchRequest
@@ -28,10 +29,19 @@ class ApiError(Exception):
 
 
 class Engine:
-    """The engine over one store."""
+    """The engine over one store. provider embeds chunks and queries; by default the environment decides, see embedding.from_env()."""
 
-    def __init__(self, spark: SparkSession, store_path: str):
+    def __init__(self, spark: SparkSession, store_path: str, provider: Provider | None = None):
         self.spark, self.store, self.cache = spark, Store(spark, store_path), ResultCache()
+        self.provider = provider or from_env()
+
+    def search_symbols(self, args: dict) -> list[dict]:
+        """Symbols of an indexed project that match all words of args["query"]."""
+        project = self._project(self._path(args))
+        if project is None:
+            raise ApiError(NOT_INDEXED, "the project is not indexed")
+        found = Searcher(self._tables, provider=self.provider).symbols(args.get("query") or "", project["id"], int(args.get("limit", 10)))
+        return [r.asDict() for r in found.select("name", "kind", "signature", "scope", "bm25").collect()]
 
     @cached_property
     def _tables(self):
@@ -49,7 +59,7 @@ class Engine:
     def index_codebase(self, args: dict) -> dict:
         path, began = self._path(args), time.monotonic()
         try:
-            s = index_tree(self.spark, self.store, path, bool(args.get("force_reindex", False)), bool(args.get("include_tests", True)), bool(args.get("include_vendor", False)), bool(args.get("prune", False)))
+            s = index_tree(self.spark, self.store, path, bool(args.get("force_reindex", False)), bool(args.get("include_tests", True)), bool(args.get("include_vendor", False)), bool(args.get("prune", False)), self.provider)
         except IndexingInProgress as e:
             raise ApiError(IN_PROGRESS, "indexing is in progress") from e
         self.__dict__.pop("_tables", None)
@@ -89,7 +99,7 @@ class Engine:
             raise ApiError(INVALID_PARAMS, f"unknown mode {mode}")
         filters = self._filters(args.get("filters"))
         try:
-            response = Searcher(self._tables, self.cache).search(SearchRequest(sanitize_text(query), project["id"], limit, mode, filters, use_cache=True))
+            response = Searcher(self._tables, self.cache, self.provider).search(SearchRequest(sanitize_text(query), project["id"], limit, mode, filters, use_cache=True))
         except ValueError as e:
             raise ApiError(INTERNAL, str(e)) from e
         results = [
@@ -110,9 +120,11 @@ class Engine:
         vectors = t["embeddings"].select(F.col("chunk_id").alias("id")).join(chunks, "id")
         n = T.counts_by(files, "project_id", {"files": files, "symbols": t["symbols"].select("file_id").join(files, "file_id"), "chunks": chunks, "embeddings": vectors}).first()
         count = lambda k: n[k] if n else 0
+        indexed = t["corpus"].select(F.col("rows").alias("indexed")).crossJoin(t["chunks"].agg(F.count("*").alias("chunks")))
+        flags = T.health(indexed.withColumn("embeddings", F.lit(count("embeddings")))).select("database_accessible", "embeddings_available", "fts_indexes_built")
         return {
             "indexed": True,
             "project": {"path": path, "module": project["module_name"], "go_version": project["go_version"], "last_indexed_at": project["last_indexed_at"].strftime("%Y-%m-%dT%H:%M:%SZ")},
             "statistics": {"files_count": count("files"), "symbols_count": count("symbols"), "chunks_count": count("chunks"), "embeddings_count": count("embeddings"), "index_size_mb": f"{self.store.bytes() / (1 << 20):.2f}"},
-            "health": {"database_accessible": True, "embeddings_available": count("embeddings") > 0, "fts_indexes_built": True},
+            "health": flags.first().asDict(),
         }

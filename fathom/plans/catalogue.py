@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom import schema
 from fathom.functions import code, text, vector
-from fathom.operators import postings
+from fathom.operators import chunking, embedding, postings
 from fathom.operators import search as S
 from fathom.operators import tables as T
 from fathom.operators.filters import SearchFilters, apply
@@ -23,7 +24,7 @@ _SQL: dict[str, str] = {}
 
 TERMS = ["that", "esat"]
 LIMIT = 10
-FOLD = f"translate(lower({{}}), '{text.ACCENTED}', '{text.FOLDED}')"
+FOLD = "strip_accents(lower({}))"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -70,8 +71,22 @@ def bm25_sql(terms: list[str], source: str = "SELECT doc_id AS chunk_id, lang AS
         scored AS (SELECT d.*, round(-({part}), 9) AS bm25 FROM d, s WHERE {every} AND {where})"""
 
 
-def _keyword(spark: SparkSession, sf_dir: str, terms: list[str] = TERMS, limit: int = LIMIT, candidates=lambda df: df, **more) -> DataFrame:
-    return S.keyword_search(A.whole_chunks(spark, sf_dir), ["content"], terms, limit, candidates, **more)
+def _keyword(spark: SparkSession, sf_dir: str, terms: list[str] = TERMS, limit: int = LIMIT, filters: SearchFilters | None = None, **more) -> DataFrame:
+    """Through the written index; without filters only its postings are read."""
+    candidates = apply(A.whole_chunks(spark, sf_dir), filters) if filters else None
+    return S.indexed_search(A.keyword_index(spark, sf_dir), terms, limit, candidates, **more)
+
+
+@query(f"SELECT count(*) AS rows, sum(len({_tok('text')}))::BIGINT AS tokens FROM documents")
+def keyword_index_corpus(spark, sf_dir):
+    """The one row of statistics; the first query of a session over a folder writes the index."""
+    return A.keyword_index(spark, sf_dir)["corpus"]
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS chunks, count(*) AS places FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 20")
+def keyword_index_terms(spark, sf_dir):
+    p = A.keyword_index(spark, sf_dir)["postings"]
+    return p.groupBy("term").agg(F.count("*").alias("chunks"), F.sum(F.size("positions")).alias("places")).where("chunks >= 20")
 
 
 TOP = f"SELECT chunk_id, bm25 FROM scored ORDER BY bm25, chunk_id LIMIT {LIMIT}"
@@ -95,8 +110,15 @@ def keyword_min_relevance_after_limit(spark, sf_dir):
 
 @query(f"{bm25_sql(TERMS)} {TOP}")
 def keyword_postings_topk(spark, sf_dir):
-    index = postings.build(A.whole_chunks(spark, sf_dir), ["content"])
-    return S.top(postings.scores(index, TERMS), F.col("bm25"), LIMIT)
+    """After an update of the written index: a tenth of the rows replaced by themselves."""
+    rows = A.whole_chunks(spark, sf_dir).where("chunk_id % 10 = 0")
+    return S.top(postings.scores(postings.update(A.keyword_index(spark, sf_dir), rows, ["content"]), TERMS), F.col("bm25"), LIMIT)
+
+
+@query(f"{bm25_sql(TERMS)} {TOP}")
+def keyword_scan_topk(spark, sf_dir):
+    """Without an index: every text is tokenized."""
+    return S.keyword_search(A.whole_chunks(spark, sf_dir), ["content"], TERMS, LIMIT).select("chunk_id", "bm25")
 
 
 THREE = ["that", "the", "esat"]
@@ -104,17 +126,17 @@ THREE = ["that", "the", "esat"]
 
 @query(f"{bm25_sql(THREE)} SELECT chunk_id, bm25 FROM scored")
 def keyword_multi_term_and(spark, sf_dir):
-    return S.keyword_scores(A.whole_chunks(spark, sf_dir), ["content"], THREE).select("chunk_id", "bm25")
+    return postings.scores(A.keyword_index(spark, sf_dir), THREE)
 
 
 @query(f"{bm25_sql(['que'], where='package_name IN (' + chr(39) + 'es' + chr(39) + ')')} {TOP}")
 def keyword_package_filter(spark, sf_dir):
-    return _keyword(spark, sf_dir, ["que"], candidates=lambda df: apply(df, SearchFilters(packages=["es"]))).select("chunk_id", "bm25")
+    return _keyword(spark, sf_dir, ["que"], filters=SearchFilters(packages=["es"])).select("chunk_id", "bm25")
 
 
 @query(f"{bm25_sql(['of the'])} SELECT chunk_id, bm25 FROM scored")
 def phrase_match(spark, sf_dir):
-    return S.keyword_scores(A.whole_chunks(spark, sf_dir), ["content"], text.query_terms("of_the")).select("chunk_id", "bm25")
+    return postings.scores(A.keyword_index(spark, sf_dir), text.query_terms("of_the"))
 
 
 def _dot(a: str, b: str) -> str:
@@ -212,14 +234,14 @@ def hybrid_one_arm_empty(spark, sf_dir):
     return _fused(spark, sf_dir, 60, 2 * LIMIT, ["zzznone"], LIMIT).select("chunk_id", "rank", "rrf_score")
 
 
-@query(f"{_rrf_sql(60, 2 * LIMIT, cut=LIMIT)} SELECT cut.chunk_id, rank, coalesce(quality, -1) AS symbol_quality, coalesce(toxic, -1) AS symbol_toxic, file_path, '' || chr(10) || chr(10) || '' AS context FROM cut JOIN raw USING (chunk_id) LEFT JOIN labels ON doc_id = cut.chunk_id")
+@query(f"{_rrf_sql(60, 2 * LIMIT, cut=LIMIT)} SELECT cut.chunk_id, rank, coalesce(quality, -1) AS symbol_quality, coalesce(toxic, -1) AS symbol_toxic, file_path, package_name || chr(10) || chr(10) || split_part(file_path, '/', 1) AS context FROM cut JOIN raw USING (chunk_id) LEFT JOIN labels ON doc_id = cut.chunk_id")
 def hydrate_results(spark, sf_dir):
     hits = _fused(spark, sf_dir, 60, 2 * LIMIT, cut=LIMIT)
-    chunks = A.whole_chunks(spark, sf_dir).select("chunk_id", "file_id", "symbol_id")
+    chunks = A.whole_chunks(spark, sf_dir).select("chunk_id", "file_id", "symbol_id", "package_name", "project")
     symbols = A.symbols(spark, sf_dir).select(F.col("id").alias("symbol_id"), F.col("quality").alias("symbol_quality"), F.col("toxic").alias("symbol_toxic"))
     out = S.hydrate(hits, chunks, A.files(spark, sf_dir).select("file_id", "file_path"), symbols)
     missing = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
-    return out.select("chunk_id", "rank", missing("symbol_quality"), missing("symbol_toxic"), "file_path", F.concat(F.lit(""), F.lit("\n\n"), F.lit("")).alias("context"))
+    return out.select("chunk_id", "rank", missing("symbol_quality"), missing("symbol_toxic"), "file_path", code.context_text(F.col("package_name"), F.col("project")).alias("context"))
 
 
 def _flagged(spark, sf_dir) -> DataFrame:
@@ -241,12 +263,12 @@ def glob_filter(spark, sf_dir):
     return apply(A.whole_chunks(spark, sf_dir), SearchFilters(file_pattern="src1*/[ed]*/?*5.txt")).select("chunk_id", "file_path")
 
 
-@query(f"""WITH {Q_CTE}, c AS (SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND {PATH} GLOB 'src*.txt' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 OR toxic = 1 OR quality = 1 AND toxic = 1))
-    SELECT vec_id AS chunk_id, round({_sim('embedding')}, 9) AS similarity FROM embeddings JOIN c ON doc_id = vec_id, qv WHERE {_sim('embedding')} >= -0.5 ORDER BY {_sim('embedding')} DESC, vec_id LIMIT {LIMIT}""")
+@query(f"""WITH {Q_CTE}, c AS (SELECT doc_id FROM documents WHERE doc_id % 6 IN (0, 1, 3) AND lang IN ('en', 'de') AND {PATH} GLOB 'src*.txt' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 OR toxic = 1))
+    SELECT vec_id AS chunk_id, round({_sim('embedding')}, 9) AS similarity FROM embeddings JOIN c ON doc_id = vec_id, qv WHERE {_sim('embedding')} >= 0.02 ORDER BY {_sim('embedding')} DESC, vec_id LIMIT {LIMIT}""")
 def combined_filters(spark, sf_dir):
-    filters = SearchFilters(symbol_types=["package"], file_pattern="src*.txt", ddd_patterns=["service", "handler"], packages=["en", "de"], min_relevance=-0.5)
+    filters = SearchFilters(symbol_types=["function", "struct", "package"], file_pattern="src*.txt", ddd_patterns=["service", "handler"], packages=["en", "de"], min_relevance=0.02, resolve_kinds=True)
     chunks = apply(A.whole_chunks(spark, sf_dir), filters, _flagged(spark, sf_dir)).select("chunk_id")
-    return _nearest(spark, sf_dir, A.vectors(spark, sf_dir).join(chunks, "chunk_id", "left_semi"), min_relevance=0.0).where(F.col("similarity") >= filters.min_relevance)
+    return _nearest(spark, sf_dir, A.vectors(spark, sf_dir).join(chunks, "chunk_id", "left_semi"), min_relevance=filters.min_relevance)
 
 
 PART = "SELECT p_partkey AS chunk_id, p_name AS c0, p_brand AS c1, p_type AS c2 FROM part"
@@ -292,7 +314,10 @@ def status_counts(spark, sf_dir):
 
 @query(f"{STATUS_SQL} SELECT project, true AS database_accessible, embeddings > 0 AS embeddings_available, true AS fts_indexes_built FROM st")
 def status_health_flags(spark, sf_dir):
-    return _status(spark, sf_dir).select("project", F.lit(True).alias("database_accessible"), (F.col("embeddings") > 0).alias("embeddings_available"), F.lit(True).alias("fts_indexes_built"))
+    owner = A.files(spark, sf_dir).select(F.col("file_id").alias("chunk_id"), "project")
+    indexed = A.keyword_index(spark, sf_dir)["lengths"].join(owner, "chunk_id").groupBy("project").agg(F.count("*").alias("indexed"))
+    whole = _status(spark, sf_dir).drop("chunks").withColumnRenamed("files", "chunks").join(indexed, "project", "left")
+    return T.health(whole).select("project", "database_accessible", "embeddings_available", "fts_indexes_built")
 
 
 @query(f"{STATUS_SQL} SELECT project, files AS total_files, chunks AS total_chunks FROM st")
@@ -395,11 +420,15 @@ def chunk_by_line_range(spark, sf_dir):
     SELECT file_id, start_line, start_line AS end_line, 'function' AS chunk_type, md5(content) AS content FROM s
     UNION ALL SELECT doc_id, 1, len(string_split(text, chr(10)))::BIGINT, 'package', md5(text) FROM documents WHERE doc_id NOT IN (SELECT file_id FROM s)""")
 def chunk_package_fallback(spark, sf_dir):
-    lines = A.line_chunks(spark, sf_dir)
-    own = lines.where(F.col("content").rlike("^[A-Z].*[.]$") & (F.octet_length("content") <= 120))
-    one = own.select("file_id", "start_line", F.col("start_line").alias("end_line"), F.lit("function").alias("chunk_type"), F.md5("content").alias("content"))
-    rest = T.without(A.files(spark, sf_dir), own.select("file_id").distinct(), "file_id")
-    return one.unionByName(rest.select("file_id", F.lit(1).cast("long").alias("start_line"), F.size(F.split("text", "\n", -1)).cast("long").alias("end_line"), F.lit("package").alias("chunk_type"), F.md5("text").alias("content")))
+    """Documents as parsed files whose declarations are their short sentences."""
+    line = lambda x, k: F.struct(
+        x.alias("name"), F.lit("function").alias("kind"), F.lit("").alias("signature"), F.lit("").alias("doc_comment"), F.lit("").alias("receiver"),
+        (k + 1).alias("start_line"), F.lit(1).alias("start_col"), (k + 1).alias("end_line"), F.lit(1).alias("end_col"),
+    )
+    lines = F.split("text", "\n", -1)
+    own = F.filter(F.transform(lines, line), lambda s: s["name"].rlike("^[A-Z].*[.]$") & (F.octet_length(s["name"]) <= 120))
+    parsed = A.files(spark, sf_dir).select("file_id", F.col("package_name").alias("package"), F.array().cast("array<struct<path:string,alias:string>>").alias("imports"), own.alias("symbols"), F.col("text").alias("content"), F.size(lines).alias("lines"))
+    return chunking.chunks(parsed).select("file_id", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "chunk_type", F.md5("content").alias("content"))
 
 
 @query("SELECT doc_id AS chunk_id, (strlen(text) + strlen(lang)) // 4 AS token_count FROM documents")
@@ -440,8 +469,9 @@ def local_embedding(spark, sf_dir):
 
 @query("SELECT conv_id AS batch_id, count(*) AS texts, bool_or(strlen(trim(text)) < 60) AS rejected FROM conversations GROUP BY conv_id")
 def embedding_batch_validation(spark, sf_dir):
-    c = A.read(spark, sf_dir, "conversations")
-    return c.groupBy(F.col("conv_id").alias("batch_id")).agg(F.count("*").alias("texts"), F.bool_or(F.octet_length(F.trim("text")) < 60).alias("rejected"))
+    short = F.octet_length(F.trim("text")) < 60  # stands for an empty text
+    c = A.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("batch_id"), F.when(short, "").otherwise(F.col("text")).alias("content"))
+    return embedding.validate(c)
 
 
 @query("SELECT n_nationkey AS request, sha256(n_name || '|' || CASE WHEN n_regionkey = 0 THEN 'hybrid' WHEN n_regionkey = 1 THEN 'vector' ELSE 'keyword' END || '|' || n_regionkey || '|filters:function,method|*.go||' || n_name || '|0.50' || '|10|60') AS query_hash FROM nation")
@@ -487,11 +517,100 @@ def scope_exported(spark, sf_dir):
     return _names(spark).select("name", code.scope(F.col("name")).alias("scope"))
 
 
-@query("""SELECT n_name AS struct_name, string_agg('// Method: ' || s_name, chr(10) ORDER BY s_suppkey) AS context FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""")
+@query("""SELECT n_name AS name, string_agg('// Method: func ' || s_name, chr(10) ORDER BY s_suppkey) AS context FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name
+    UNION ALL SELECT s_name, '// Receiver: type ' || n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey""")
 def related_context(spark, sf_dir):
-    methods = A.read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("m"))
-    out = A.read(spark, sf_dir, "nation").join(methods, "n_nationkey")
-    return out.select(F.col("n_name").alias("struct_name"), F.array_join(F.transform("m", lambda x: F.concat(F.lit("// Method: "), x["s_name"])), "\n").alias("context"))
+    nation, columns = A.read(spark, sf_dir, "nation"), ["file_id", "name", "kind", "signature", "receiver", "start_line"]
+    named = lambda df, *c: df.select(*[x.alias(n) for x, n in zip((F.lit(1), *c), columns)])
+    structs = named(nation, F.col("n_name"), F.lit("struct"), F.concat(F.lit("type "), "n_name"), F.lit(None).cast("string"), F.lit(0).cast("long"))
+    supplier = A.read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    methods = named(supplier, F.col("s_name"), F.lit("method"), F.concat(F.lit("func "), "s_name"), F.col("n_name"), F.col("s_suppkey").cast("long"))
+    return chunking.related(structs.unionByName(methods)).select("name", "context")
+
+
+@query("SELECT 'r' || n_regionkey || '.go' AS file_path, 'lib/' || n_nationkey AS import_path, CASE WHEN n_nationkey % 2 = 0 THEN 'n' || n_nationkey ELSE '' END AS alias FROM nation")
+def parse_imports(spark, sf_dir):
+    return A.region_sources(spark, sf_dir).select("file_path", F.explode("imports").alias("i")).select("file_path", F.col("i.path").alias("import_path"), F.col("i.alias").alias("alias"))
+
+
+@query("SELECT 'lib/' || n_nationkey AS import_path, CASE WHEN n_nationkey % 2 = 0 THEN 'n' || n_nationkey ELSE '' END AS alias FROM nation WHERE n_regionkey = 2 ORDER BY import_path")
+def list_imports_by_file(spark, sf_dir):
+    return T.listing(parse_imports(spark, sf_dir), "file_path", "r2.go", "import_path").select("import_path", "alias")
+
+
+_DECLARED = """WITH s AS (SELECT 'n' || s_nationkey || '.go' AS file_path, s_suppkey AS k, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) * 6 AS off FROM supplier)"""
+
+
+@query(f"""{_DECLARED} SELECT file_path, 'S' || k || 'Repository' AS name, 'struct' AS kind, '' AS receiver, 3 + off AS start_line, 5 + off AS end_line, true AS is_repository, 'exported' AS scope FROM s
+    UNION ALL SELECT file_path, 'bal' || k, 'field', 'S' || k || 'Repository', 4 + off, 4 + off, false, 'unexported' FROM s
+    UNION ALL SELECT file_path, 'Find' || k, 'method', 'S' || k || 'Repository', 7 + off, 7 + off, false, 'exported' FROM s""")
+def parse_symbols(spark, sf_dir):
+    parsed = A.supplier_sources(spark, sf_dir)
+    out = chunking.symbols(parsed.withColumn("file_id", F.col("file_path")))
+    line = lambda c: F.col(c).cast("long").alias(c)
+    return out.select(F.col("file_id").alias("file_path"), "name", "kind", F.coalesce("receiver", F.lit("")).alias("receiver"), line("start_line"), line("end_line"), "is_repository", "scope")
+
+
+@query(f"""{_DECLARED} SELECT name, start_line FROM (SELECT file_path, 'S' || k || 'Repository' AS name, 3 + off AS start_line FROM s UNION ALL SELECT file_path, 'bal' || k, 4 + off FROM s UNION ALL SELECT file_path, 'Find' || k, 7 + off FROM s)
+    WHERE file_path = 'n3.go' ORDER BY start_line""")
+def list_symbols_by_file(spark, sf_dir):
+    return T.listing(parse_symbols(spark, sf_dir), "file_path", "n3.go", "start_line").select("name", "start_line")
+
+
+@query(f"""{_DECLARED} SELECT file_path, 'type' AS chunk_type, 3 + off AS start_line, 5 + off AS end_line, md5('type S' || k || 'Repository struct {{' || chr(10) || chr(9) || 'bal' || k || ' float64' || chr(10) || '}}') AS content FROM s
+    UNION ALL SELECT file_path, 'method', 7 + off, 7 + off, md5('func (s *S' || k || 'Repository) Find' || k || '(id int) error {{ return nil }}') FROM s""")
+def chunk_declarations(spark, sf_dir):
+    out = chunking.chunks(A.supplier_sources(spark, sf_dir).withColumn("file_id", F.col("file_path")))
+    return out.select(F.col("file_id").alias("file_path"), "chunk_type", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.md5("content").alias("content"))
+
+
+@query("SELECT doc_id AS chunk_id, md5(text) AS content FROM documents WHERE doc_id = 42")
+def get_chunk(spark, sf_dir):
+    return T.rows_where(A.whole_chunks(spark, sf_dir), chunk_id=42).select("chunk_id", F.md5("content").alias("content"))
+
+
+@query(f"SELECT doc_id AS file_id FROM documents WHERE source = 'src3' AND {PATH} = (SELECT min({PATH}) FROM documents WHERE source = 'src3')")
+def get_file_by_path(spark, sf_dir):
+    files = A.files(spark, sf_dir)
+    first = files.where("project = 'src3'").agg(F.min("file_path").alias("file_path"))
+    return T.rows_where(files.join(first, "file_path", "left_semi"), project="src3").select("file_id")
+
+
+@query("SELECT doc_id AS id, quality, toxic FROM labels WHERE doc_id = (SELECT min(doc_id) FROM labels)")
+def get_symbol(spark, sf_dir):
+    s = A.symbols(spark, sf_dir)
+    return s.join(s.agg(F.min("id").alias("id")), "id", "left_semi")
+
+
+@query("SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS start_line, md5(unnest(string_split(text, chr(10)))) AS content FROM documents WHERE doc_id = 7")
+def list_chunks_by_file(spark, sf_dir):
+    return T.listing(A.line_chunks(spark, sf_dir), "file_id", 7, "start_line").select("start_line", F.md5("content").alias("content"))
+
+
+@query("SELECT source AS project, sum(len(string_split(text, chr(10))))::BIGINT AS remaining FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY source")
+def delete_chunks_by_file(spark, sf_dir):
+    files = A.symbols(spark, sf_dir).where("toxic = 1").select(F.col("id").alias("file_id"))
+    return T.delete(A.line_chunks(spark, sf_dir), files, "file_id").groupBy("project").agg(F.count("*").alias("remaining"))
+
+
+@query("""WITH gone AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT 'symbols' AS table_name, (SELECT count(*) FROM labels WHERE doc_id NOT IN (FROM gone)) AS remaining
+    UNION ALL SELECT 'chunks', (SELECT count(*) FROM documents WHERE doc_id NOT IN (FROM gone)) UNION ALL SELECT 'embeddings', (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (FROM gone))""")
+def delete_symbols_by_file(spark, sf_dir):
+    """Symbols go, with them the chunks that are linked to them, and with those their vectors."""
+    tables = {
+        "symbols": A.symbols(spark, sf_dir).withColumn("file_id", F.col("id")), "chunks": A.whole_chunks(spark, sf_dir).withColumn("id", F.col("chunk_id")),
+        "embeddings": A.vectors(spark, sf_dir).withColumn("id", F.col("chunk_id")),
+    }
+    left = T.cascade(tables, "symbols", tables["symbols"].where("toxic = 1").select("id"))
+    rows = [df.agg(F.count("*").alias("remaining")).withColumn("table_name", F.lit(t)) for t, df in left.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("SELECT source AS root_path, count(*) AS total_files FROM documents GROUP BY source UNION ALL SELECT url, 0 FROM pages WHERE page_id < 3")
+def insert_projects(spark, sf_dir):
+    old = A.files(spark, sf_dir).groupBy(F.col("project").alias("root_path")).agg(F.count("*").alias("total_files"))
+    new = A.read(spark, sf_dir, "pages").where("page_id < 3").select(F.col("url").alias("root_path"), F.lit(0).cast("long").alias("total_files"))
+    return T.insert_new(old, new, ["root_path"])
 
 
 @query("""SELECT page_id AS file_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS import_path FROM pages""")
@@ -505,8 +624,7 @@ MIGRATIONS = ["1.0.0", "1.0.1", "1.0.10", "1.1.0", "0.9.9", "2.0.0"]
 
 @query("SELECT version FROM (VALUES " + ", ".join(f"('{v}')" for v in MIGRATIONS) + ") t(version) WHERE list_transform(string_split(version, '.'), lambda x: x::INT) > [1, 0, 1]")
 def semver_pending_migrations(spark, sf_dir):
-    v = spark.createDataFrame([(x,) for x in MIGRATIONS], "version string")
-    return v.where(F.transform(F.split("version", r"\."), lambda x: x.cast("int")) > F.array(F.lit(1), F.lit(0), F.lit(1)))
+    return spark.createDataFrame([(v,) for v in schema.pending("1.0.1", MIGRATIONS)], "version string")
 
 
 GO_MOD = ["module example.com/shop", "", "go 1.21", "require (", "\tx.y/z v1.0.0", ")", "  go 1.25.4", "// module none"]

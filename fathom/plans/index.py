@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom import schema
-from fathom.operators import chunking, embedding
+from fathom.operators import chunking, embedding, postings
 from fathom.operators import tables as T
 from fathom.sources import go_files
 
@@ -41,7 +41,8 @@ class Store:
         """Tables of the latest snapshot, or of one; empty ones if there is none."""
         versions = self.versions()
         if not versions:
-            return {t: self.spark.createDataFrame([], s) for t, s in schema.TABLES.items()}
+            none = {t: self.spark.createDataFrame([], s) for t, s in schema.TABLES.items()}
+            return none | {"corpus": postings.corpus(none["lengths"])}
         at = f"{self.base}/v{version if version is not None else versions[-1]}"
         return {t: self.spark.read.schema(s).parquet(f"{at}/{t}") for t, s in schema.TABLES.items()}
 
@@ -52,7 +53,8 @@ class Store:
         staging = f"{self.base}/_staging-{n}"
         self.fs.delete(self.jpath(staging), True)
         for t, s in schema.TABLES.items():
-            tables[t].select(*[F.col(f.name).cast(f.dataType) for f in s]).write.parquet(f"{staging}/{t}")
+            rows = tables[t].select(*[F.col(f.name).cast(f.dataType) for f in s])
+            (postings.clustered(rows) if t == "postings" else rows).write.parquet(f"{staging}/{t}")
         if not self.fs.rename(self.jpath(staging), self.jpath(f"{self.base}/v{n}")):
             raise OSError(f"snapshot {n} could not be committed")
         for old in versions[: max(0, len(versions) + 1 - keep)]:
@@ -101,7 +103,7 @@ def _index(spark, store, root, force, tests, vendor, prune, provider) -> Statist
     old, pid, now = store.read(), project_id(spark, root), F.current_timestamp()
     found = go_files.discover(spark, root, tests, vendor).cache()
     stored = old["files"].where(F.col("project_id") == pid).select("file_path", F.col("content_hash").alias("__old"), F.lit(True).alias("__known"))
-    status = found.join(F.broadcast(stored), "file_path", "left")
+    status = found.join(stored, "file_path", "left")
     same = F.lit(False) if force else F.coalesce(F.col("__old").eqNullSafe(F.col("content_hash")) & F.col("__known"), F.lit(False))
     status = status.withColumn("status", F.when(F.col("error").isNotNull(), "failed").when(same, "unchanged").otherwise("changed"))
     changed = status.where("status = 'changed'").withColumn("project_id", F.lit(pid)).withColumn("file_id", _id("project_id", "file_path"))
@@ -117,7 +119,7 @@ def _index(spark, store, root, force, tests, vendor, prune, provider) -> Statist
     kept = chunks.join(vectors.select(F.col("chunk_id").alias("id")), "id", "left_semi")  # a chunk without a vector goes
     imports = parsed.select("file_id", F.posexplode("imports").alias("seq", "i")).select(_id("file_id", "seq").alias("id"), "file_id", F.col("i.path").alias("import_path"), F.col("i.alias").alias("alias"))
 
-    touched = parsed.select(F.col("file_id").alias("id"))
+    touched, old_chunks = parsed.select(F.col("file_id").alias("id")), old["chunks"].select("id")
     if prune:
         gone = old["files"].where(F.col("project_id") == pid).join(found.select("file_path"), "file_path", "left_anti").select("id")
         old = T.cascade(old, "files", gone)
@@ -128,6 +130,10 @@ def _index(spark, store, root, force, tests, vendor, prune, provider) -> Statist
     out = {t: base[t].unionByName(fit(t, new[t])) for t in ("symbols", "chunks", "embeddings", "imports")}
     out["files"] = T.merge(base["files"], fit("files", new["files"]), schema.KEYS["files"], keep=["id", "created_at"])
 
+    # the keyword index follows its chunks: postings of rows that went go, only new texts are tokenized
+    gone = old_chunks.join(base["chunks"].select("id"), "id", "left_anti").select(F.col("id").alias("chunk_id"))
+    out |= postings.update({t: old[t] for t in postings.TABLES}, fit("chunks", kept).withColumnRenamed("id", "chunk_id"), list(schema.INDEXED), gone)
+
     total = out["files"].where(F.col("project_id") == pid).select(F.col("id").alias("file_id"))
     counts = total.agg(F.count("*").alias("total_files")).crossJoin(out["chunks"].join(total, "file_id", "left_semi").agg(F.count("*").alias("total_chunks")))
     mod = Path(root) / "go.mod"

@@ -11,10 +11,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from fathom.functions import code
 from fathom.functions import text as T
 from fathom.functions.vector import local_embedding
 from fathom.operators import filters as filtering
 from fathom.operators import search as S
+from fathom.operators.embedding import Provider, retry
 from fathom.operators.filters import SearchFilters
 from fathom.schema import MODES
 
@@ -93,29 +95,41 @@ class ResultCache:
 
 
 class Searcher:
-    """Searches an index given as tables: chunks, files, embeddings, symbols."""
+    """Searches an index given as tables: chunks, files, embeddings, symbols and the keyword index.
 
-    def __init__(self, tables: dict[str, DataFrame], cache: ResultCache | None = None):
-        self.tables, self.cache = tables, cache or ResultCache()
+    provider embeds queries; it must be the one that the vectors come from. Without one that is the local expression.
+    """
+
+    def __init__(self, tables: dict[str, DataFrame], cache: ResultCache | None = None, provider: Provider | None = None):
+        self.tables, self.cache, self.provider = tables, cache or ResultCache(), provider
 
     def _candidates(self, request: SearchRequest) -> DataFrame:
         t = self.tables
         files = t["files"].where(F.col("project_id") == request.project_id).select(F.col("id").alias("file_id"), "file_path", "package_name")
         chunks = t["chunks"].select(F.col("id").alias("chunk_id"), "file_id", "symbol_id", "chunk_type")
-        return filtering.apply(chunks.join(F.broadcast(files), "file_id"), request.filters, t["symbols"]).select("chunk_id")
+        return filtering.apply(chunks.join(files, "file_id"), request.filters, t["symbols"]).select("chunk_id")
 
     def _vector_arm(self, request: SearchRequest, limit: int) -> DataFrame:
-        vectors = self.tables["embeddings"].select("chunk_id", "vector").join(self._candidates(request), "chunk_id", "left_semi")
-        query = vectors.sparkSession.range(1).select(local_embedding(F.lit(request.query)).alias("q"))
+        stored = self.tables["embeddings"].where(F.col("provider") == (self.provider.name if self.provider else "local"))
+        vectors = stored.select("chunk_id", "vector").join(self._candidates(request), "chunk_id", "left_semi")
+        q = F.array(*map(F.lit, retry(lambda: self.provider.embed([request.query]))[0])).cast("array<float>") if self.provider else local_embedding(F.lit(request.query))
+        query = vectors.sparkSession.range(1).select(q.alias("q"))
         return S.vector_search(vectors, query, limit, request.filters.min_relevance if request.filters else 0.0)
 
     def _text_arm(self, request: SearchRequest, limit: int) -> DataFrame:
-        rows = self.tables["chunks"].select(F.col("id").alias("chunk_id"), "content", "context_before", "context_after")
         terms = T.query_terms(request.query)
         if not terms:
             raise ValueError("the query has no term")
-        keep = lambda df: df.join(self._candidates(request), "chunk_id", "left_semi")
-        return S.keyword_search(rows, ["content", "context_before", "context_after"], terms, limit, keep, request.filters.min_relevance if request.filters else 0.0)
+        return S.indexed_search(self.tables, terms, limit, self._candidates(request), request.filters.min_relevance if request.filters else 0.0)
+
+    def symbols(self, query: str, project_id: int, limit: int = DEFAULT_LIMIT) -> DataFrame:
+        """(symbol columns, bm25): symbols of a project by name, signature and comment, best first."""
+        t = self.tables
+        files = t["files"].where(F.col("project_id") == project_id).select(F.col("id").alias("file_id"))
+        rows = t["symbols"].withColumnRenamed("id", "chunk_id")
+        keep = lambda df: df.join(files, "file_id", "left_semi")
+        found = S.keyword_scores(rows, ["name", "signature", "doc_comment"], T.query_terms(query), keep)
+        return S.top(found, F.col("bm25").asc(), limit).withColumnRenamed("chunk_id", "id")
 
     def plan(self, request: SearchRequest) -> DataFrame:
         """One plan: hits (chunk_id, score, rank) joined with chunk, file and symbol."""
@@ -137,7 +151,7 @@ class Searcher:
             else:
                 hits = S.hybrid_search(vector, text, request.limit, request.rrf_k).withColumnRenamed("rrf_score", "relevance_score")
         t = self.tables
-        chunks = t["chunks"].select(F.col("id").alias("chunk_id"), "file_id", "symbol_id", "content", "chunk_type", "start_line", "end_line", F.concat(F.coalesce("context_before", F.lit("")), F.lit("\n\n"), F.coalesce("context_after", F.lit(""))).alias("context"))
+        chunks = t["chunks"].select(F.col("id").alias("chunk_id"), "file_id", "symbol_id", "content", "chunk_type", "start_line", "end_line", code.context_text(F.col("context_before"), F.col("context_after")).alias("context"))
         files = t["files"].select(F.col("id").alias("file_id"), "file_path", "package_name")
         symbols = t["symbols"].select(F.col("id").alias("symbol_id"), F.struct(F.col("name"), F.col("kind"), F.col("signature"), F.col("scope")).alias("symbol"))
         return S.hydrate(hits, chunks, files, symbols).orderBy("rank")

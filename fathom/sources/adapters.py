@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.operators import postings
+from fathom.schema import CHUNK_TYPES
+from fathom.sources import go_files
+
+#: Written keyword indexes of this process by application and folder.
+_INDEXES: dict[tuple[str, str], str] = {}
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,7 +29,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, file_id, symbol_id, chunk_type, package_name, file_path, content): a chunk for each document."""
-    return files(spark, sf_dir).select(F.col("file_id").alias("chunk_id"), "file_id", F.col("file_id").alias("symbol_id"), F.lit("package").alias("chunk_type"), "package_name", "file_path", "project", F.col("text").alias("content"))
+    return files(spark, sf_dir).select(F.col("file_id").alias("chunk_id"), "file_id", F.col("file_id").alias("symbol_id"), F.element_at(F.array(*map(F.lit, CHUNK_TYPES)), (F.col("file_id") % len(CHUNK_TYPES) + 1).cast("int")).alias("chunk_type"), "package_name", "file_path", "project", F.col("text").alias("content"))
 
 
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,3 +50,49 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> DataFrame
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, quality, toxic): two flags of a symbol."""
     return read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The keyword index over all documents, written once for a session and folder, and deleted when the process ends.
+
+    It lies in the folder that spark.checkpoint.dir names, or in the warehouse, which executors share as well.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{base.rstrip('/')}/keyword-index-{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}-{uuid.uuid4().hex[:8]}"
+        postings.write(postings.build(whole_chunks(spark, sf_dir), ["content"]), path)
+        _INDEXES[key] = path
+        atexit.register(_delete, spark, path)
+    return postings.read(spark, _INDEXES[key])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None:  # else the session ended before
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _parsed(files: DataFrame) -> DataFrame:
+    """Sources (file_path, content) with what the parser finds in them."""
+    files = files.withColumn("content", F.encode("content", "UTF-8"))
+    return go_files.parse(files).join(files, "file_path")
+
+
+def region_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parsed source for each region that imports a package for each nation, those of even keys by an alias."""
+    alias = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(" "))).otherwise("")
+    line = F.concat(F.lit("\t"), alias, F.lit('"lib/'), F.col("n_nationkey").cast("string"), F.lit('"\n'))
+    lines = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("l"))
+    name = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))
+    return _parsed(lines.select(F.concat(name, F.lit(".go")).alias("file_path"), F.concat(F.lit("package "), name, F.lit("\n\nimport (\n"), "l", F.lit(")\n")).alias("content")))
+
+
+def supplier_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parsed source for each nation that declares a struct and a method for each supplier."""
+    key = F.col("s_suppkey").cast("string")
+    text = F.format_string("type S%sRepository struct {\n\tbal%s float64\n}\n\nfunc (s *S%sRepository) Find%s(id int) error { return nil }\n\n", key, key, key, key)
+    texts = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", text.alias("t")))), lambda x: x["t"]), "").alias("l"))
+    name = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
+    return _parsed(texts.select(F.concat(name, F.lit(".go")).alias("file_path"), F.concat(F.lit("package "), name, F.lit("\n\n"), "l").alias("content")))

@@ -80,3 +80,28 @@ def test_stored_postings_score_as_the_text_does(spark, tmp_path):
     assert {r["chunk_id"]: r["bm25"] for r in postings.scores(index, ["quick", "fox"]).collect()} == expected
     changed = postings.update(index, spark.createDataFrame([(1, "nothing")], "chunk_id long, content string"), ["content"])
     assert {r["chunk_id"] for r in postings.scores(changed, ["quick", "fox"]).collect()} == {2}
+
+
+def test_postings_find_phrases_within_a_column(spark):
+    rows = spark.createDataFrame([(1, "user name of the user name", "x"), (2, "name user", "name"), (3, "user", "name"), (4, "a user name", "user name user"), (5, None, ""), (6, "user of name", "")], "chunk_id long, content string, context_before string")
+    columns, terms = ["content", "context_before"], ["user name"]
+    index = postings.build(rows, columns)
+    expected = {r["chunk_id"]: r["bm25"] for r in S.keyword_scores(rows, columns, terms).collect()}
+    assert expected.keys() == {1, 4} and {r["chunk_id"]: r["bm25"] for r in postings.scores(index, terms).collect()} == expected
+    only = spark.createDataFrame([(4,)], "chunk_id long")
+    assert {r["chunk_id"]: r["bm25"] for r in postings.scores(index, terms, only).collect()} == {4: expected[4]}
+
+
+def test_only_postings_of_the_terms_are_read(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"word{k} common") for k in range(50)], "chunk_id long, content string")
+    postings.write(postings.build(rows, ["content"]), str(tmp_path / "i"))
+    plan = postings.scores(postings.read(spark, str(tmp_path / "i")), ["word7", "common"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [common,word7])]" in plan or "PushedFilters: [In(term, [word7,common])]" in plan
+
+
+@pytest.mark.parametrize("env, name", [({}, None), ({"OPENAI_API_KEY": "x"}, "openai"), ({"FATHOM_EMBEDDING_PROVIDER": "jina", "JINA_API_KEY": "y"}, "jina")])
+def test_remote_provider_from_environment(env, name):
+    p = embedding.from_env(env)
+    assert (p.name if p else None) == name
+    with pytest.raises(ValueError):
+        embedding.from_env({"FATHOM_EMBEDDING_PROVIDER": "jina"})

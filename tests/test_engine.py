@@ -57,6 +57,36 @@ def test_only_changed_files_are_indexed_again(engine):
     assert "Fixed" in names and "Kept" not in names and "OrderAggregate" in names
 
 
+def test_the_keyword_index_follows_the_chunks(engine):
+    found = lambda q: engine.search_code({"path": engine.root, "query": q, "search_mode": "keyword"})["results"]
+    assert found("Fixed") and not found("Kept")
+    t = engine.store.read()
+    ids = {r["id"] for r in t["chunks"].select("id").collect()}
+    assert {r["chunk_id"] for r in t["lengths"].collect()} == ids and t["corpus"].first()["rows"] == len(ids)
+    assert engine.get_status({"path": engine.root})["health"] == {"database_accessible": True, "embeddings_available": True, "fts_indexes_built": True}
+    # a path is a term of its context: the index covers the text before a chunk too
+    assert found("context")
+
+
+def test_symbols_are_searched(engine):
+    assert {r["name"] for r in engine.search_symbols({"path": engine.root, "query": "handle"})} >= {"Handle"}
+    assert engine.search_symbols({"path": engine.root, "query": "nothinglikethis"}) == []
+
+
+def test_queries_are_embedded_by_the_provider_of_the_vectors(spark, engine, tmp_path):
+    class Lengths:  # tasks get a class of a function by value
+        name, model = "lengths", "m"
+
+        def embed(self, texts):
+            return [[float(len(t)), 1.0] for t in texts]
+
+    own = Engine(spark, str(tmp_path / "s"), Lengths())
+    own.index_codebase({"path": engine.root})
+    assert {r["provider"] for r in own.store.read()["embeddings"].select("provider").collect()} == {"lengths"}
+    assert own.search_code({"path": engine.root, "query": "anything", "search_mode": "vector"})["results"]
+    assert not Engine(spark, str(tmp_path / "s")).search_code({"path": engine.root, "query": "anything", "search_mode": "vector"})["results"]
+
+
 def test_merge_keeps_and_overwrites(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, k string, v string")
     new = spark.createDataFrame([(9, "b", "z"), (3, "c", None)], "id int, k string, v string")

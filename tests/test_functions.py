@@ -31,6 +31,23 @@ def test_keyword_score_equals_fts5(spark):
     assert all(got[k] == pytest.approx(expected[k], abs=1e-6) for k in got)
 
 
+def test_letters_fold_as_in_fts5(spark):
+    import unicodedata
+
+    letters = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.category(c).startswith("L")]
+    words = [f"x{c}x" for c in letters] + ["Ångström", "Škoda", "žluťoučký", "e\u0301a", "b\u0327c\u030c", "\u0301", "ß", "Ǻ"]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE f USING fts5(c)")
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(f, instance)")
+    con.executemany("INSERT INTO f(rowid, c) VALUES (?, ?)", list(enumerate(words, 1)))
+    expected = {}
+    for term, doc in con.execute("SELECT term, doc FROM v"):
+        expected.setdefault(doc, []).append(term)
+    rows = spark.createDataFrame(list(enumerate(words, 1)), "id int, w string").select("id", text.tokens(F.col("w")).alias("t")).collect()
+    assert {r["id"]: r["t"] for r in rows if r["t"]} == expected
+    assert all(text.query_terms(words[k - 1]) == t for k, t in expected.items())
+
+
 def test_query_terms_make_phrases_of_underscores():
     assert text.query_terms("User_Name École, (a*)") == ["user name", "ecole", "a"]
     assert text.query_terms("!!") == []

@@ -28,10 +28,11 @@ def test_declarations_of_a_file():
 @pytest.mark.parametrize(
     "source, package, names",
     [
-        ("package test\n\ntype Config struct {\n\tValue string\n// no brace\n\nfunc Valid() {}\n", "test", {"Config"}),
-        ('package mytest\n\nimport "fmt"\n\ntype Invalid struct {\n\tBad syntax here\n}\n\ntype Valid struct {\n\tGood string\n}\n', "mytest", {"Valid"}),
-        ('package functest\n\nconst S = "open\n\nfunc ValidFunc() {\n}\n', "functest", {"ValidFunc"}),
-        ("package p\n\nfunc Broken( {\n}\n\nfunc After() {}\n", "p", {"After"}),
+        ("package depot\n\ntype Crate struct {\n\tWeight int\n\tLabel string\n\nvar limit = 4\n", "depot", {"Crate"}),
+        ("package depot\n\ntype Shelf interface {\n\tPut(c Crate\n}\n\ntype Lamp struct {\n\tWatts uint8\n}\n", "depot", {"Lamp"}),
+        ("package depot\n\nvar note = `never closed\n\nfunc Lost() {}\n", "depot", set()),
+        ("package depot\n\nfunc (d *Dock Load() {\n}\n\nfunc Unload(n int) error { return nil }\n", "depot", {"Unload"}),
+        ("package depot\n\nfunc Weigh() { x := [3}int{} }\n\nconst Tare = 7\n", "depot", {"Tare"}),
         ("", "", set()),
     ],
 )
