@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add, and_
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +19,42 @@ TABLES = {
 }
 
 
-def build(rows: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
-    """The index of rows (chunk_id, columns): a posting for each term, row and column, with the row's length in tokens."""
+def _inverted(marked: bool):
+    """Postings of tokenized rows (chunk_id, cols, dl); a row's terms are all in one place, so nothing is shuffled. Marked: and one of the empty term for each row."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out: list[list] = [[], [], [], [], []]
+                for chunk, cols, dl in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    for x in cols + [{"col": -1, "toks": None}] * marked:
+                        found: dict[str, list[int]] = {} if x["toks"] is not None else {"": []}
+                        for k, term in enumerate(x["toks"] or ()):
+                            found.setdefault(term, []).append(k)
+                        out[0] += found
+                        out[3] += found.values()
+                        for col, value in zip((out[1], out[2], out[4]), (chunk, x["col"], dl)):
+                            col += [value] * len(found)
+                kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["term", "chunk_id", "col", "positions", "dl"])
+
+    return run
+
+
+def _tokenized(rows: DataFrame, columns: list[str]) -> DataFrame:
     toks = [F.struct(F.lit(c).alias("col"), T.tokens(F.coalesce(F.col(name).cast("string"), F.lit(""))).alias("toks")) for c, name in enumerate(columns)]
     each = rows.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.array(*toks).alias("cols"))
-    each = each.withColumn("dl", F.aggregate("cols", F.lit(0), lambda n, x: n + F.size(x["toks"])))
-    flat = each.select("chunk_id", "dl", F.explode("cols").alias("x")).select("chunk_id", "dl", "x.col", F.posexplode("x.toks").alias("pos", "term"))
-    # a row's tokens are in one task, so nearly all grouping is done before the shuffle
-    postings = flat.groupBy("term", "chunk_id", "col", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return {"postings": postings.select("term", "chunk_id", "col", "positions", "dl"), "lengths": each.select("chunk_id", "dl"), "corpus": corpus(each)}
+    return each.withColumn("dl", F.aggregate("cols", F.lit(0), lambda n, x: n + F.size(x["toks"])))
+
+
+def _postings(rows: DataFrame, columns: list[str], marked: bool = False) -> DataFrame:
+    return _tokenized(rows, columns).mapInArrow(_inverted(marked), TABLES["postings"])
+
+
+def build(rows: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
+    """The index of rows (chunk_id, columns): a posting for each term, row and column, with the row's length in tokens."""
+    lengths = _tokenized(rows, columns).select("chunk_id", "dl")
+    return {"postings": _postings(rows, columns), "lengths": lengths, "corpus": corpus(lengths)}
 
 
 def corpus(lengths: DataFrame) -> DataFrame:
@@ -34,14 +62,17 @@ def corpus(lengths: DataFrame) -> DataFrame:
 
 
 def clustered(postings: DataFrame) -> DataFrame:
-    """By ranges of terms and sorted, so that a term's rows are few row groups, which their statistics single out."""
-    return postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+    """By terms and sorted, so that a term's rows are few row groups, which their statistics single out; the adaptive plan splits very common terms."""
+    return postings.hint("rebalance", "term").sortWithinPartitions("term", "chunk_id")
 
 
-def write(index: dict[str, DataFrame], path: str) -> None:
-    clustered(index["postings"]).write.parquet(f"{path}/postings")
-    index["lengths"].write.parquet(f"{path}/lengths")
-    corpus(index["lengths"].sparkSession.read.parquet(f"{path}/lengths")).write.parquet(f"{path}/corpus")
+def write(rows: DataFrame, columns: list[str], path: str) -> None:
+    """Write the index of rows; each text is tokenized once."""
+    spark = rows.sparkSession
+    clustered(_postings(rows, columns, True)).write.parquet(f"{path}/postings")
+    marks = spark.read.schema(TABLES["postings"]).parquet(f"{path}/postings").where(F.col("term") == "")
+    marks.select("chunk_id", "dl").write.parquet(f"{path}/lengths")
+    corpus(spark.read.schema(TABLES["lengths"]).parquet(f"{path}/lengths")).write.parquet(f"{path}/corpus")
 
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:

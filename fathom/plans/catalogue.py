@@ -85,7 +85,7 @@ def keyword_index_corpus(spark, sf_dir):
 
 @query(f"WITH t AS (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS chunks, count(*) AS places FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 20")
 def keyword_index_terms(spark, sf_dir):
-    p = A.keyword_index(spark, sf_dir)["postings"]
+    p = A.keyword_index(spark, sf_dir)["postings"].where("term <> ''")
     return p.groupBy("term").agg(F.count("*").alias("chunks"), F.sum(F.size("positions")).alias("places")).where("chunks >= 20")
 
 

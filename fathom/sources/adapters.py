@@ -61,7 +61,10 @@ def keyword_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     if key not in _INDEXES:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         path = f"{base.rstrip('/')}/keyword-index-{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}-{uuid.uuid4().hex[:8]}"
-        postings.write(postings.build(whole_chunks(spark, sf_dir), ["content"]), path)
+        rows = whole_chunks(spark, sf_dir).select("chunk_id", "content")
+        if len(rows.inputFiles()) < (tasks := spark.sparkContext.defaultParallelism):  # a small table in few files
+            rows = rows.repartition(tasks)
+        postings.write(rows, ["content"], path)
         _INDEXES[key] = path
         atexit.register(_delete, spark, path)
     return postings.read(spark, _INDEXES[key])

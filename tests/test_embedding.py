@@ -74,7 +74,7 @@ def test_chunks_of_declarations_and_whole_files(spark):
 
 def test_stored_postings_score_as_the_text_does(spark, tmp_path):
     rows = spark.createDataFrame([(1, "quick brown fox"), (2, "quick quick fox jumps"), (3, "lazy"), (4, "fox"), (5, "a b c"), (6, "d e")], "chunk_id long, content string")
-    postings.write(postings.build(rows, ["content"]), str(tmp_path / "i"))
+    postings.write(rows, ["content"], str(tmp_path / "i"))
     expected = {r["chunk_id"]: r["bm25"] for r in S.keyword_scores(rows, ["content"], ["quick", "fox"]).collect()}
     index = postings.read(spark, str(tmp_path / "i"))
     assert {r["chunk_id"]: r["bm25"] for r in postings.scores(index, ["quick", "fox"]).collect()} == expected
@@ -94,7 +94,7 @@ def test_postings_find_phrases_within_a_column(spark):
 
 def test_only_postings_of_the_terms_are_read(spark, tmp_path):
     rows = spark.createDataFrame([(k, f"word{k} common") for k in range(50)], "chunk_id long, content string")
-    postings.write(postings.build(rows, ["content"]), str(tmp_path / "i"))
+    postings.write(rows, ["content"], str(tmp_path / "i"))
     plan = postings.scores(postings.read(spark, str(tmp_path / "i")), ["word7", "common"])._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(term, [common,word7])]" in plan or "PushedFilters: [In(term, [word7,common])]" in plan
 
