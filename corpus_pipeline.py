@@ -42,7 +42,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Neither a trained classifier, nor components, nor tokenizing is SQL; tests hold each stage against a brute-force version.
+#: Neither a trained classifier, nor components, nor tokenizing is SQL; the operators are tested against brute-force versions.
 ORACLE_SQL = None
 
 

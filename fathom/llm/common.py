@@ -14,16 +14,18 @@ _CREATED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a fresh temporary one only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset and Spark runs in one process, as in tests, a fresh temporary one; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="fathom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, reclaim: bool = False) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, reclaim: bool = False, write=lambda df, path: df.write.parquet(path)) -> DataFrame:
+    """Write df to the shared folder, as Parquet by default, and read it back.
 
     This cuts lineage: a lost executor costs the re-reading of files, not the recomputing of what made them.
     The folder goes when the driver ends. With reclaim the driver collects its garbage, upon which Spark
@@ -32,7 +34,7 @@ def materialize(df: DataFrame, name: str, reclaim: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fathom-{name}-{uuid.uuid4().hex}"
     _CREATED.append((spark, path))
-    df.write.parquet(path)
+    write(df, path)
     if reclaim:
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

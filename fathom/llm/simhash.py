@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import connected_components, materialize
+from fathom.llm.common import connected_components, materialize, numbered
 
 SEED = 42
 BLOCKS = 7
@@ -52,14 +52,14 @@ def fingerprint(text: bytes | None, width: int = 4, block: int = 1 << 18) -> int
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long. One row per document, one pass, no shuffle."""
+    """(u, doc_id, fp): fp is the fingerprint's 64 bits as a signed long, u a digest of doc_id and text. One row per document, one pass, no shuffle."""
 
     def scan(batches):
         for batch in batches:
-            fps = [fingerprint(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(t, width) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(fps, np.uint64).view(np.int64))], ["u", "doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("t")).mapInArrow(scan, "doc_id long, fp long")
+    return numbered(docs).mapInArrow(scan, "u binary, doc_id long, fp long")
 
 
 def embed(fps: np.ndarray) -> np.ndarray:
@@ -197,6 +197,14 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int = BLOCKS, cell_lim
     return near
 
 
+def _components(docs: DataFrame, distance: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of all rows, (fp, c) of each distinct fingerprint with its component)."""
+    fps = materialize(fingerprints(docs, width), "fingerprints")
+    nodes = materialize(fps.select("fp").distinct(), "nodes")
+    comps = materialize(connected_components(links(nodes, distance)), "components")
+    return fps, nodes.join(comps, nodes.fp == comps.node, "left").select("fp", F.coalesce("component", "fp").alias("c"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
     """Per document (doc_id, fingerprint, component_id), linking fingerprints at most `distance` bits apart.
 
@@ -205,16 +213,30 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
     fingerprint zero and link like any other. Repeated rows each return; a null doc_id never names a
     component. Empty table: no rows. Other columns are ignored.
     """
-    fps = materialize(fingerprints(docs, width), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    comps = materialize(connected_components(links(nodes, distance)), "components")
-    named = nodes.join(comps, nodes.fp == comps.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
+    fps, named = _components(docs, distance, width)
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    named = named.join(first, "fp")
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
     by_fp = named.join(least, "c").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
-    """docs, all columns, without those whose component has a smaller doc_id; cases as in near_duplicates()."""
-    lost = near_duplicates(docs, distance, width).where("doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs["doc_id"] == lost["__lost"], "left_anti")
+    """docs, all columns, with one row of each component: of the smallest doc_id, of rows that share it of the smallest digest of the text.
+
+    Rows without a doc_id come last. Of rows that repeat doc_id and text throughout one stays, any of
+    them if other columns differ. Links and other cases as in near_duplicates().
+    """
+    fps, named = _components(docs, distance, width)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "u")
+    own = fps.groupBy("fp").agg(F.min(rank).alias("best"))
+    best = own.join(named, "fp").groupBy("c").agg(F.min("best").alias("best"))
+    winners = materialize(best.select(F.col("best.u").alias("u")), "winners")
+    again = fps.join(winners, "u", "left_semi").groupBy("u").count().where("count > 1").select("u")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    rows = numbered(whole.select("__row", F.col("__row.doc_id").alias("doc_id"), F.col("__row.text").alias("text")), "__row").select("u", "__row")
+    kept = rows.join(winners, "u", "left_semi")
+    if not again.isEmpty():
+        again = materialize(again, "again")
+        kept = kept.join(again, "u", "left_anti").unionByName(kept.join(again, "u", "left_semi").groupBy("u").agg(F.first("__row").alias("__row")))
+    return kept.select("__row.*")

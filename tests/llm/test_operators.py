@@ -217,6 +217,17 @@ def test_shuffle_keeps_all_rows_and_is_the_same_again(docs, rows, empty):
     assert sharding.digest(empty).count() == 0
 
 
+def test_many_equal_rows_are_spread(spark):
+    rows = [(5, "same", "a")] * 3000 + [(None, None, "b")] * 500 + [(None, None, "c")] + [(k, f"text {k}", "d") for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    out = sharding.external_shuffle(frame, 4, bucket_bytes=200, hot_copies=100).select("row.*", "shard", "slot").collect()
+    assert Counter((r["doc_id"], r["text"], r["lang"]) for r in out) == Counter(rows)
+    for k in range(4):
+        mine = sorted(r["slot"] for r in out if r["shard"] == k)
+        assert mine == list(range(len(mine))) and abs(len(mine) - len(rows) / 4) < 1
+        assert 400 < sum(r["doc_id"] == 5 for r in out if r["shard"] == k) < 1100
+
+
 def test_shards_are_written_with_all_columns(docs, rows, spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), 3, bucket_bytes=20_000)
     back = spark.read.parquet(str(tmp_path / "out"))
@@ -575,6 +586,23 @@ def test_near_duplicate_documents(docs, rows, empty):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= set(first.values())
 
 
+def test_one_row_of_each_near_duplicate_group_stays(spark, docs, rows, empty):
+    more = [(None, "only without an id " * 9, "en", "s", 1, 3, 0.5, 7)] * 3 + [rows[2]] * 4 + [(400, rows[2][1], "de", "s", 1, 3, 0.5, 7), (2, "another text of the same id " * 3, "en", "s", 1, 3, 0.5, 7)]
+    every = rows + more
+    frame = spark.createDataFrame(every, DOCS).repartition(3)
+    got = [tuple(r) for r in simhash.drop_near_duplicates(frame).collect()]
+    fps = [plain_fingerprint(r[1]) for r in every]
+    label = components(len(every), [(a, b) for a in range(len(every)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4])
+    groups = defaultdict(list)
+    for k, r in enumerate(every):
+        groups[label[k]].append(r)
+    assert len(got) == len(groups)
+    for g in groups.values():
+        low = min((r[0] for r in g if r[0] is not None), default=None)
+        assert sum(r in got for r in set(g)) == 1 and any(r in got and r[0] == low for r in g)
+    assert simhash.drop_near_duplicates(empty).count() == 0
+
+
 # decontamination
 
 
