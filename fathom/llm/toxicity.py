@@ -13,6 +13,7 @@ its highest words through a logistic curve.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -263,20 +264,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled documents of each label, by order of a hash of doc_id; held-out ids never.
 
     labels (doc_id, toxic): rows with a null are passed over, repeated ids count once and as toxic if any row does.
+    Of a document that repeats a doc_id the text that comes first in order is learned from.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taken = [known.where(c).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample) for c in ("toxic > 0", "toxic <= 0")]
     rows = taken[0].unionByName(taken[1]).withColumnRenamed("doc_id", "__id")
-    texts = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("__id")).select("doc_id", "toxic", "text").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("__id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
 
     def words(batches):
         for batch in batches:
             found = [" ".join(sorted({c for t in tokens(x or "") if (c := core(t))})) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["doc_id", "toxic", "words"])
 
-    got = sorted((r.doc_id, r.words, int(r.toxic > 0)) for r in texts.mapInArrow(words, "doc_id long, toxic int, words string").collect())
-    return fit([r[1] for r in got], [r[2] for r in got])
+    def learn(batches):  # a task, not the driver, holds the sample
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        got = sorted((doc, words, int(toxic > 0)) for doc, toxic, words in rows)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in got], [r[2] for r in got]))], pa.binary())], ["model"])
+
+    bags = texts.mapInArrow(words, "doc_id long, toxic int, words string")
+    row = bags.repartition(1).mapInArrow(learn, "model binary").first()  # of 2 * sample rows at most
+    return pickle.loads(bytes(row.model)) if row else fit([], [])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
