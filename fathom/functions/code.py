@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +45,16 @@ def scope(name: Column) -> Column:
     return F.when(name.rlike(r"^\p{Lu}"), "exported").otherwise("unexported")
 
 
+def is_exported(name: Column, scope: Column) -> Column:
+    """Whether a declaration is visible outside its package: by its scope and by its name."""
+    return (scope == "exported") & name.rlike(r"^\p{Lu}")
+
+
+def is_pattern(flags: list[Column]) -> Column:
+    """Whether a declaration has any of the eight pattern flags."""
+    return reduce(or_, flags)
+
+
 def chunk_type(kind: Column) -> Column:
     """The chunk type of a kind of declaration; function for those that make no chunks."""
     out = F.lit("function")

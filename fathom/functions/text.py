@@ -73,8 +73,23 @@ def relevance(bm25: Column) -> Column:
     return 1 / (1 + F.abs(bm25) / 50)
 
 
-def query_terms(query: str) -> list[str]:
-    """Terms of a query; words joined by underscores are a phrase. All must match."""
+class QuerySyntaxError(ValueError):
+    """A query that a strict full-text parser does not take."""
+
+
+def escape(query: Column) -> Column:
+    """A backslash before quotes, asterisks, parentheses and the operators in capitals."""
+    return F.regexp_replace(F.regexp_replace(query, r'(["*()])', r"\\$1"), r"\b(AND|OR|NOT|NEAR)\b", r"\\$1")
+
+
+def query_terms(query: str, strict: bool = False) -> list[str]:
+    """Terms of a query; words joined by underscores are a phrase. All must match.
+
+    Punctuation parts words. With strict, anything but letters, digits, underscores and blanks is an error,
+    and so are the operators in capitals.
+    """
+    if strict and (bad := re.search(r"[^\w\s]|\b(?:AND|OR|NOT|NEAR)\b", query)):
+        raise QuerySyntaxError(f"{bad.group()!r} at {bad.start()} is no plain term")
     out = []
     for bare in re.findall(r"[^\W]+", folded_text(query)):
         if words := re.findall(r"[^\W_]+", bare):

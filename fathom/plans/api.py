@@ -22,6 +22,22 @@ INVALID_PARAMS, INTERNAL, NOT_FOUND, IN_PROGRESS, NOT_INDEXED, EMPTY_QUERY = -32
 SEARCH_KINDS = ("function", "method", "struct", "interface", "type", "const", "var")
 
 
+def flag(args: dict, name: str, default: bool) -> bool:
+    """A boolean argument; what is missing or of another type is the default."""
+    return args[name] if isinstance(args.get(name), bool) else default
+
+
+def number(args: dict, name: str, default: float) -> float:
+    """A numeric argument, likewise; booleans are no numbers."""
+    value = args.get(name)
+    return value if isinstance(value, (int, float)) and not isinstance(value, bool) else default
+
+
+def string(args: dict, name: str, default: str = "") -> str:
+    """A string argument, likewise."""
+    return args[name] if isinstance(args.get(name), str) else default
+
+
 class ApiError(Exception):
     def __init__(self, code: int, message: str):
         super().__init__(message)
@@ -40,7 +56,7 @@ class Engine:
         project = self._project(self._path(args))
         if project is None:
             raise ApiError(NOT_INDEXED, "the project is not indexed")
-        found = Searcher(self._tables, provider=self.provider).symbols(args.get("query") or "", project["id"], int(args.get("limit", 10)))
+        found = Searcher(self._tables, provider=self.provider).symbols(string(args, "query"), project["id"], int(number(args, "limit", 10)))
         return [r.asDict() for r in found.select("name", "kind", "signature", "scope", "bm25").collect()]
 
     @cached_property
@@ -49,7 +65,7 @@ class Engine:
 
     def _path(self, args: dict) -> str:
         try:
-            return check_path(args.get("path") or "")
+            return check_path(string(args, "path"))
         except PathProblem as e:
             raise ApiError(NOT_FOUND if "no Go file" in str(e) else INVALID_PARAMS, str(e)) from e
 
@@ -59,7 +75,7 @@ class Engine:
     def index_codebase(self, args: dict) -> dict:
         path, began = self._path(args), time.monotonic()
         try:
-            s = index_tree(self.spark, self.store, path, bool(args.get("force_reindex", False)), bool(args.get("include_tests", True)), bool(args.get("include_vendor", False)), bool(args.get("prune", False)), self.provider)
+            s = index_tree(self.spark, self.store, path, flag(args, "force_reindex", False), flag(args, "include_tests", True), flag(args, "include_vendor", False), flag(args, "prune", False), self.provider)
         except IndexingInProgress as e:
             raise ApiError(IN_PROGRESS, "indexing is in progress") from e
         self.__dict__.pop("_tables", None)
@@ -80,19 +96,19 @@ class Engine:
         for p in given.get("ddd_patterns", []):
             if p not in schema.PATTERNS:
                 raise ApiError(INVALID_PARAMS, f"unknown pattern {p}")
-        least = float(given.get("min_relevance", 0.0))
+        least = float(number(given, "min_relevance", 0.0))
         if not 0 <= least <= 1:
             raise ApiError(INVALID_PARAMS, "min_relevance lies between 0 and 1")
-        return SearchFilters(list(given.get("symbol_types", [])), given.get("file_pattern", ""), list(given.get("ddd_patterns", [])), list(given.get("packages", [])), least, bool(given.get("resolve_kinds", False)))
+        return SearchFilters(list(given.get("symbol_types", [])), string(given, "file_pattern"), list(given.get("ddd_patterns", [])), list(given.get("packages", [])), least, flag(given, "resolve_kinds", False))
 
     def search_code(self, args: dict) -> dict:
-        path, query = self._path(args), (args.get("query") or "").strip()
+        path, query = self._path(args), string(args, "query").strip()
         if not query:
             raise ApiError(EMPTY_QUERY, "the query is empty")
         project = self._project(path)
         if project is None:
             raise ApiError(NOT_INDEXED, "the project is not indexed")
-        limit, mode = int(args.get("limit", 10)), args.get("search_mode", "hybrid")
+        limit, mode = int(number(args, "limit", 10)), string(args, "search_mode", "hybrid")
         if not 1 <= limit <= 100:
             raise ApiError(INVALID_PARAMS, "limit lies between 1 and 100")
         if mode not in schema.MODES:

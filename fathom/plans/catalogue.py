@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from fathom import schema
 from fathom.functions import code, text, vector
-from fathom.operators import chunking, embedding, postings
+from fathom.operators import chunking, embedding, migrations, postings
 from fathom.operators import search as S
 from fathom.operators import tables as T
 from fathom.operators.filters import SearchFilters, apply
 from fathom.sources import adapters as A
+from fathom.streaming.watch import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -657,3 +658,131 @@ def file_discovery(spark, sf_dir):
     from fathom.sources.go_files import discover
 
     return discover(spark, FIXTURES).select("file_path", "size_bytes", F.lower(F.hex("content_hash")).alias("content_hash"))
+
+
+@query("SELECT doc_id AS file_id, lang AS package_name, md5(text) AS content FROM documents WHERE doc_id = 11")
+def get_file_by_id(spark, sf_dir):
+    return T.rows_where(A.files(spark, sf_dir), file_id=11).select("file_id", "package_name", F.md5("text").alias("content"))
+
+
+@query("SELECT source AS root_path, count(*) AS total_files FROM documents WHERE source = 'src1' GROUP BY source")
+def get_project(spark, sf_dir):
+    projects = A.files(spark, sf_dir).groupBy(F.col("project").alias("root_path")).agg(F.count("*").alias("total_files"))
+    return T.rows_where(projects, root_path="src1")
+
+
+@query("SELECT vec_id AS chunk_id, len(embedding)::BIGINT AS dimension, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE vec_id = 5")
+def get_embedding(spark, sf_dir):
+    found = T.rows_where(A.vectors(spark, sf_dir), chunk_id=5)
+    return found.select("chunk_id", F.size("vector").cast("long").alias("dimension"), F.round(F.element_at("vector", 1).cast("double"), 6).alias("first"))
+
+
+@query("SELECT label, count(*) AS remaining FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY label")
+def delete_embeddings(spark, sf_dir):
+    gone = A.symbols(spark, sf_dir).where("quality = 1").select(F.col("id").alias("chunk_id"))
+    return T.delete(A.vectors(spark, sf_dir), gone, "chunk_id").groupBy("label").agg(F.count("*").alias("remaining"))
+
+
+LINKS = """SELECT page_id AS file_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS import_path FROM pages"""
+
+
+@query(f"SELECT * FROM ({LINKS}) WHERE file_id NOT IN (SELECT page_id FROM pages WHERE url LIKE '%1%')")
+def delete_imports_by_file(spark, sf_dir):
+    gone = A.read(spark, sf_dir, "pages").where(F.col("url").contains("1")).select(F.col("page_id").alias("file_id"))
+    return T.delete(imports_explode(spark, sf_dir), gone, "file_id")
+
+
+@query(f"SELECT file_id, import_path, count(*) AS copies FROM (SELECT * FROM ({LINKS}) UNION ALL SELECT * FROM ({LINKS} WHERE page_id < 50)) GROUP BY ALL")
+def insert_imports(spark, sf_dir):
+    """Imports are appended, so what is stored twice stands there twice."""
+    links = imports_explode(spark, sf_dir)
+    return links.unionByName(links.where("file_id < 50")).groupBy("file_id", "import_path").agg(F.count("*").alias("copies"))
+
+
+@query("""WITH l AS (SELECT doc_id AS file_id, source AS project, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS start_line, unnest(string_split(text, chr(10))) AS content FROM documents),
+    new AS (SELECT file_id, start_line + CASE WHEN quality = 0 THEN 0 ELSE 100000 END AS start_line, content || '!' AS content FROM l JOIN labels ON doc_id = file_id WHERE toxic = 1 OR quality = 1)
+    SELECT coalesce(l.file_id, new.file_id) AS file_id, coalesce(l.start_line, new.start_line) AS start_line, md5(coalesce(new.content, l.content)) AS content, CASE WHEN l.file_id IS NULL THEN 2 ELSE 1 END AS created, CASE WHEN new.file_id IS NULL THEN 1 ELSE 2 END AS updated
+    FROM l FULL JOIN new ON l.file_id = new.file_id AND l.start_line = new.start_line""")
+def upsert_chunks(spark, sf_dir):
+    lines = A.line_chunks(spark, sf_dir)
+    at = lambda df, n: df.select("file_id", "start_line", "content", F.lit(n).alias("created"), F.lit(n).alias("updated"))
+    more = lines.join(A.symbols(spark, sf_dir).where("toxic = 1 OR quality = 1"), F.col("file_id") == F.col("id"))
+    more = more.withColumn("start_line", F.col("start_line") + F.when(F.col("quality") == 0, 0).otherwise(100_000)).withColumn("content", F.concat("content", F.lit("!")))
+    merged = T.merge(at(lines, 1), at(more, 2), schema.KEYS["chunks"][:2], keep=["created"])
+    return merged.select("file_id", "start_line", F.md5("content").alias("content"), "created", "updated")
+
+
+@query("""WITH new AS (SELECT conv_id, role, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE turn >= 1 GROUP BY conv_id, role), old AS (SELECT conv_id, role, text, turn FROM conversations WHERE turn < 2)
+    SELECT coalesce(new.conv_id, old.conv_id) AS file_id, coalesce(new.role, old.role) AS name, md5(coalesce(new.text, old.text)) AS signature, coalesce(old.turn, new.turn) AS created FROM old FULL JOIN new ON old.conv_id = new.conv_id AND old.role = new.role""")
+def upsert_symbols(spark, sf_dir):
+    """Of a batch that names a symbol twice the later one counts; a symbol that exists keeps when it was created."""
+    turns = A.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("role").alias("name"), F.col("text").alias("signature"), F.col("turn").alias("created"))
+    new = T.last_writer(turns.where("created >= 1"), ["file_id", "name"], "created")
+    merged = T.merge(turns.where("created < 2"), new, ["file_id", "name"], keep=["created"])
+    return merged.select("file_id", "name", F.md5("signature").alias("signature"), "created")
+
+
+@query("SELECT event_type AS version FROM events ORDER BY ts DESC, event_type DESC LIMIT 1")
+def latest_migration(spark, sf_dir):
+    return migrations.latest(A.read(spark, sf_dir, "events").select(F.col("event_type").alias("version"), F.col("ts").alias("applied_at")))
+
+
+@query(f"""SELECT name, regexp_matches(name, '^\\p{{Lu}}') AS is_exported, regexp_matches(name, '(Aggregate|AggregateRoot|Entity|VO|ValueObject|Repository|Repo|Service|Command|Cmd|Query|Handler)$')
+    OR regexp_matches(name, 'Order|User|Product|Account|Customer|Item') AS is_pattern FROM (VALUES {VALUES}) t(id, name)""")
+def symbol_predicates(spark, sf_dir):
+    name = F.col("name")
+    flags = list(code.patterns(name, F.lit("struct")).values())
+    return _names(spark).select("name", code.is_exported(name, code.scope(name)).alias("is_exported"), code.is_pattern(flags).alias("is_pattern"))
+
+
+KINDS_SQL = "[" + ", ".join(f"'{k}'" for k in [*KINDS, "macro"]) + "]"
+PARTS_SQL = f"SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_name END AS name, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_brand END AS package_name, {KINDS_SQL}[p_partkey % 9 + 1] AS kind, CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS receiver, p_size % 5 AS start_line, p_size % 7 AS end_line FROM part"
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    """Parts as declarations, many of them unsound."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    return A.read(spark, sf_dir, "part").select(
+        key.alias("id"), F.when(key % 7 == 0, "").otherwise(F.col("p_name")).alias("name"), F.when(key % 11 == 0, "").otherwise(F.col("p_brand")).alias("package_name"),
+        F.element_at(F.array(*map(F.lit, [*KINDS, "macro"])), (key % 9 + 1).cast("int")).alias("kind"), F.when(size % 2 == 0, F.col("p_type")).otherwise("").alias("receiver"),
+        (size % 5).alias("start_line"), (size % 7).alias("end_line"), F.lit("exported").alias("scope"),
+    )
+
+
+@query(f"SELECT id, name <> '' AND package_name <> '' AND kind <> 'macro' AND (kind = 'method') = (receiver <> '') AND start_line > 0 AND end_line >= start_line AS valid FROM ({PARTS_SQL})")
+def validate_symbols(spark, sf_dir):
+    return _parts(spark, sf_dir).select("id", schema.valid_symbol().alias("valid"))
+
+
+@query(f"SELECT id, name <> '' AND kind IN ('function', 'method', 'type') AND start_line > 0 AND end_line >= start_line AS valid FROM ({PARTS_SQL})")
+def validate_chunks(spark, sf_dir):
+    chunks = _parts(spark, sf_dir).withColumnsRenamed({"name": "content", "kind": "chunk_type"})
+    return chunks.select("id", schema.valid_chunk().alias("valid"))
+
+
+@query("SELECT p_partkey AS id, p_size % 3 = 0 OR p_size % 3 = 1 AND p_partkey % 2 = 0 AS entity_like FROM part")
+def entity_like_fields(spark, sf_dir):
+    """Parts as structs of two fields: name, and ID, customerId or idle."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    second = F.when(size % 3 == 0, "ID").when((size % 3 == 1) & (key % 2 == 0), "customerId").otherwise("idle")
+    fields = F.array(F.lit("name"), second)
+    return A.read(spark, sf_dir, "part").select(key.alias("id"), code.entity_like(fields).alias("entity_like"))
+
+
+@query(r"""SELECT doc_id AS chunk_id, md5(regexp_replace(regexp_replace(text || ' AND (x) "NOT* NEARBY', '(["*()])', '\\\1', 'g'), '\b(AND|OR|NOT|NEAR)\b', '\\\1', 'g')) AS escaped FROM documents""")
+def escape_query(spark, sf_dir):
+    return A.whole_chunks(spark, sf_dir).select("chunk_id", F.md5(text.escape(F.concat("content", F.lit(' AND (x) "NOT* NEARBY')))).alias("escaped"))
+
+
+@query("""SELECT 'n' || s_nationkey || '.go' AS file_path, 'package' AS chunk_type, 1::BIGINT AS start_line, md5('package n' || s_nationkey || chr(10) || chr(10) || string_agg('type S' || s_suppkey || 'Repository struct {' || chr(10) || chr(9) || 'bal' || s_suppkey || ' float64' || chr(10) || '}' || chr(10) || chr(10)
+    || 'func (s *S' || s_suppkey || 'Repository) Find' || s_suppkey || '(id int) error { return nil }' || chr(10) || chr(10), '' ORDER BY s_suppkey)) AS content FROM supplier GROUP BY s_nationkey""")
+def chunk_package_strategy(spark, sf_dir):
+    out = chunking.chunks(A.supplier_sources(spark, sf_dir).withColumn("file_id", F.col("file_path")), strategy="package")
+    return out.select(F.col("file_id").alias("file_path"), "chunk_type", F.col("start_line").cast("long").alias("start_line"), F.md5("content").alias("content"))
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_event_counts(spark, sf_dir):
+    """The streaming aggregation over a table that is at rest."""
+    events = A.read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return windowed_counts(events, window="1 hour").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")

@@ -38,6 +38,7 @@ class SearchRequest:
     rrf_k: int = S.RRF_K
     use_cache: bool = False
     ttl: float = TTL
+    strict: bool = False
 
     def __post_init__(self):
         if not self.query:
@@ -54,7 +55,7 @@ class SearchRequest:
         parts = [self.query, self.mode, str(self.project_id)]
         if f:
             parts += ["filters:" + ",".join(f.symbol_types), f.file_pattern, ",".join(f.ddd_patterns), ",".join(f.packages), f"{f.min_relevance:.2f}"]
-        return hashlib.sha256("|".join([*parts, str(self.limit), str(self.rrf_k)]).encode()).hexdigest()
+        return hashlib.sha256("|".join([*parts, str(self.limit), str(self.rrf_k), *["strict"] * self.strict]).encode()).hexdigest()
 
 
 @dataclass
@@ -93,6 +94,15 @@ class ResultCache:
         with self.lock:
             self.rows.clear()
 
+    def resize(self, size: int) -> None:
+        """Another capacity; the least recently used results above it go."""
+        if size <= 0:
+            raise ValueError("a cache holds one result at least")
+        with self.lock:
+            self.size = size
+            while len(self.rows) > size:
+                self.rows.popitem(last=False)
+
 
 class Searcher:
     """Searches an index given as tables: chunks, files, embeddings, symbols and the keyword index.
@@ -117,7 +127,7 @@ class Searcher:
         return S.vector_search(vectors, query, limit, request.filters.min_relevance if request.filters else 0.0)
 
     def _text_arm(self, request: SearchRequest, limit: int) -> DataFrame:
-        terms = T.query_terms(request.query)
+        terms = T.query_terms(request.query, request.strict)
         if not terms:
             raise ValueError("the query has no term")
         return S.indexed_search(self.tables, terms, limit, self._candidates(request), request.filters.min_relevance if request.filters else 0.0)
@@ -140,6 +150,8 @@ class Searcher:
         else:
             try:
                 text = self._text_arm(request, 2 * request.limit)
+            except T.QuerySyntaxError:
+                raise
             except ValueError:  # a query without a term still has a vector
                 if request.filters and request.filters.ddd_patterns:
                     self._candidates(request)

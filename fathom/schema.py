@@ -60,8 +60,9 @@ def valid_chunk() -> Column:
 
 
 def valid_symbol() -> Column:
-    """Whether a row of symbols is sound: a name, a known kind and scope, lines in order."""
-    return reduce(and_, [F.length("name") > 0, F.col("kind").isin(*SYMBOL_KINDS), F.col("scope").isin(*SCOPES), F.col("start_line") > 0, F.col("end_line") >= F.col("start_line")])
+    """Whether a row of symbols is sound: a name, a package, a known kind and scope, a receiver for methods alone, lines in order."""
+    receiver = (F.col("kind") == "method") == (F.coalesce("receiver", F.lit("")) != "")
+    return reduce(and_, [F.length("name") > 0, F.length("package_name") > 0, F.col("kind").isin(*SYMBOL_KINDS), F.col("scope").isin(*SCOPES), receiver, F.col("start_line") > 0, F.col("end_line") >= F.col("start_line")])
 
 
 def parse_version(version: str) -> tuple[int, int, int]:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.operators import tables as T
-from fathom.plans.api import EMPTY_QUERY, INVALID_PARAMS, NOT_INDEXED, ApiError, Engine
+from fathom.plans.api import EMPTY_QUERY, INVALID_PARAMS, NOT_INDEXED, ApiError, Engine, flag, number, string
 from fathom.plans.index import FIXTURES
 from fathom.plans.search import ResultCache
 from fathom.streaming.watch import watch
@@ -121,3 +121,21 @@ def test_watch_merges_micro_batches(spark, tmp_path):
         watch(spark.readStream.schema("k string, n int").parquet(str(source)), target, str(tmp_path / "check"), ["k"], "n").awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(f"{target}/b1").collect())) == [("a", 2), ("b", 5)]
     assert spark.read.parquet(f"{target}/b0").agg(F.sum("n")).first()[0] == 3
+
+
+def test_a_smaller_cache_drops_the_oldest():
+    c = ResultCache(3)
+    for k in "abc":
+        c.put(k, [k], 60)
+    c.get("a")
+    c.resize(2)
+    assert c.get("b") is None and c.get("a") == ["a"] and c.get("c") == ["c"]
+    with pytest.raises(ValueError):
+        c.resize(0)
+
+
+def test_arguments_of_another_type_count_as_missing():
+    args = {"a": "false", "b": True, "c": 3, "d": None}
+    assert [flag(args, k, False) for k in "abce"] == [False, True, False, False]
+    assert [number(args, k, 7) for k in "abcd"] == [7, 7, 3, 7]
+    assert [string(args, k, "x") for k in "abcd"] == ["false", "x", "x", "x"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom import schema
 from fathom.functions import code, text, vector
+from fathom.operators import migrations
 from fathom.operators import search as S
 
 
@@ -53,6 +54,22 @@ def test_query_terms_make_phrases_of_underscores():
     assert text.query_terms("!!") == []
 
 
+@pytest.mark.parametrize("query", ["a*", '"a b"', "(a)", "a AND b", "user-name", "a.b", "content:a"])
+def test_strict_queries_are_refused(query):
+    with pytest.raises(text.QuerySyntaxError):
+        text.query_terms(query, strict=True)
+    assert text.query_terms(query)
+
+
+def test_strict_takes_plain_words():
+    assert text.query_terms("and User_Name École", strict=True) == ["and", "user name", "ecole"]
+
+
+def test_escape(spark):
+    row = spark.createDataFrame([('a* "b" (NOT c) NOTE AND',)], "q string").select(text.escape(F.col("q"))).first()
+    assert row[0] == 'a\\* \\"b\\" \\(\\NOT c\\) NOTE \\AND'
+
+
 def test_sanitizer():
     assert text.sanitize_text('  a"b*(c)  é  d-e_f.g ') == "a b c d-e_f.g"
 
@@ -80,6 +97,22 @@ def test_versions(a, b):
     assert schema.pending(a, [b, a]) == [b]
 
 
+def test_migrations_go_up_in_order_and_down_one_at_a_time(spark):
+    step = lambda v: migrations.Migration(v, lambda t: t | {"a": t["a"].withColumn(f"c{v}", F.lit(1))}, lambda t: t | {"a": t["a"].drop(f"c{v}")})
+    known = [step(v) for v in ("1.0.10", "1.0.2", "0.9.0")]
+    log = spark.createDataFrame([], migrations.LOG)
+    assert migrations.latest(log).first()[0] is None
+    tables, log = migrations.apply({"a": spark.range(1)}, log, known)
+    assert tables["a"].columns == ["id", "c0.9.0", "c1.0.2", "c1.0.10"]
+    assert migrations.apply(tables, spark.createDataFrame([("1.0.2", None)], migrations.LOG), known)[0]["a"].columns == ["id", "c0.9.0", "c1.0.2", "c1.0.10"]
+    tables, log = migrations.rollback(tables, log, known)
+    assert tables["a"].columns == ["id", "c0.9.0", "c1.0.2"] and sorted(r[0] for r in log.select("version").collect()) == ["0.9.0", "1.0.2"]
+    with pytest.raises(ValueError):
+        migrations.rollback(tables, log, known[:1])
+    with pytest.raises(ValueError):
+        migrations.rollback(tables, spark.createDataFrame([], migrations.LOG), known)
+
+
 def test_lines_and_contexts(spark):
     df = spark.createDataFrame([("a\nb\nc", "", "x")], "t string, before string, content string")
     row = df.select(
