@@ -64,6 +64,26 @@ def _clean_up() -> None:
             return
 
 
+#: A side of a join is broadcast up to this many rows, which are counted first.
+BROADCAST_ROWS = 100_000
+_SALTS = 64
+
+
+def small_join(large: DataFrame, small: DataFrame, on, spread: str) -> DataFrame:
+    """large joined with small, which has one row for each key; on takes both and gives the condition, an equality.
+
+    small is written and counted. Up to BROADCAST_ROWS rows it is broadcast. Beyond, each of its rows is copied
+    to _SALTS parts and large is dealt to these by its column `spread`, so that a key with a large share of
+    the rows is read by as many tasks.
+    """
+    small = materialize(small, "small")
+    if small.count() <= BROADCAST_ROWS:
+        return large.join(F.broadcast(small), on(large, small))
+    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    large = large.withColumn("_dealt", F.pmod(F.xxhash64(spread), F.lit(_SALTS)).cast("int"))
+    return large.join(small, on(large, small) & (large["_dealt"] == small["_salt"])).drop("_salt", "_dealt")
+
+
 def numbered(docs: DataFrame, *more: str) -> DataFrame:
     """(u, doc_id, t, more) of docs (doc_id, text): t the text's UTF-8 bytes and u 16 bytes of the SHA-256 of doc_id and text, the same for repeated rows."""
     doc_id = F.col("doc_id").cast("long")

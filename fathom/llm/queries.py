@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import decontaminate, embedding_dedup, packing, passage_dedup, pii, secrets, sharding, simhash, suffix_dedup, toxicity
+from fathom.llm import decontaminate, divergence, embedding_dedup, html_extract, packing, passage_dedup, pii, secrets, sharding, simhash, suffix_dedup, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op10_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_equal_average_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_min_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -97,6 +109,51 @@ SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, m = vec_id AS kept
 """
 
 
+def _codes(rounds: int = 6) -> str:
+    """Integer vectors, their first 16 as codebooks, `rounds` assignments and means, the last assignment."""
+    sql = """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS MATERIALIZED (SELECT vec_id, label, k AS part, e[k * len(e) // 8 + 1:(k + 1) * len(e) // 8] AS x FROM v, range(8) t(k)),
+    b0 AS MATERIALIZED (SELECT part, (row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1) AS entry, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16)),
+"""
+    near = "    a{k} AS MATERIALIZED (SELECT vec_id, label, part, x, arg_min(entry, far * 16 + entry) AS entry, min(far) AS far FROM (SELECT p.*, entry, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS far FROM p JOIN b{k} ON b{k}.part = p.part) GROUP BY ALL)"
+    mean = """    s{k} AS (SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n FROM a{k}, range(1, 257) r(i) WHERE i <= len(x) GROUP BY ALL),
+    m{k} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM s{k} GROUP BY ALL),
+    b{n} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (part, entry)),"""
+    for k in range(rounds):
+        sql += near.format(k=k) + ",\n" + mean.format(k=k, n=k + 1) + "\n"
+    sql += near.format(k=rounds)
+    return f"""{sql},
+    out AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM a{rounds} GROUP BY ALL)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256 FROM out
+"""
+
+
+_DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+    v AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+    groups AS (SELECT DISTINCT lang, source FROM d),
+    own AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    sums AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM groups LEFT JOIN own USING (lang, source) GROUP BY ALL),
+    shares AS MATERIALIZED (SELECT lang, source, term, coalesce(own.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(own.n, 0) + 2) // (sums.total + 2 * v) AS p, 1 + 1000000000::HUGEINT * (kept.n + 2) // (v.total + 2 * v) AS q FROM sums JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN own USING (lang, source, term)),
+    apart AS (SELECT lang, a.source AS source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+    pairs AS (SELECT a.lang AS lang, a.source AS source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM shares WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+#: The tables' pages have one article each, whose text is all of their main text.
+_ARTICLES = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS h FROM pages),
+    b AS (SELECT page_id, url, list_transform(regexp_split_to_array(h, '</?(?:p|h[1-6])(?:\s[^>]*)?>'), lambda x: trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?[A-Za-z][^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS bs FROM a),
+    t AS (SELECT page_id, url, array_to_string(list_filter(bs, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the others are tested against brute-force versions."""
-    return {"op7_projection_forest": _LINKS, "op9_prefix_decontamination": _CONTAMINATION}
+    return {"op7_projection_forest": _LINKS, "op9_prefix_decontamination": _CONTAMINATION, "op11_equal_average_codes": _codes(), "op12_source_divergence": _DIVERGENCE, "op13_min_cut_extraction": _ARTICLES}
