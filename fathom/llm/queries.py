@@ -148,7 +148,7 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 #: The tables' pages have one article each, whose text is all of their main text.
 _ARTICLES = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS h FROM pages),
-    b AS (SELECT page_id, url, list_transform(regexp_split_to_array(h, '</?(?:p|h[1-6])(?:\s[^>]*)?>'), lambda x: trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?[A-Za-z][^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS bs FROM a),
+    b AS (SELECT page_id, url, list_transform(regexp_split_to_array(h, '</?(?:p|h[1-6])(?:\s[^>]*)?>'), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?[A-Za-z][^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS bs FROM a),
     t AS (SELECT page_id, url, array_to_string(list_filter(bs, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM t
 """
