@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import BROADCAST_ROWS, materialize, small_join
+from fathom.llm.common import BROADCAST_ROWS, materialize, release, small_join
 
 MIN_DOCUMENTS = 10
 UNIT = 1_000_000_000
@@ -30,7 +30,7 @@ HELD = 500_000
 HELD_BYTES = 64 << 20
 #: ASCII letters as lower case, all other ASCII as blanks; the bytes of other characters stay.
 FOLD = bytes(c if c > 0x7F else c | 0x20 if chr(c).isalpha() else 0x20 for c in range(256))
-_COUNTED = "lang string, source string, h long, n long, df long, term string, named boolean"
+_COUNTED = "lang string, source string, h long, n long, df long, term string, split string"
 
 
 def terms(text: str) -> list[bytes]:
@@ -38,8 +38,11 @@ def terms(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
-def _scan(bits: int):
-    """Counts (lang, source, digest, occurrences, documents, term) of a task's documents; named is set on one row for each term and batch written."""
+def _scan(bits: int, shared: frozenset[int] | bool = False):
+    """Counts (lang, source, digest, occurrences, documents) of the terms of a task's documents.
+
+    term is on one row for each term and batch written, split on the rows of all terms whose digest is in shared, or on all rows if that is True.
+    """
     mask = (1 << bits) - 1
 
     def rows(held: dict[tuple[str, str], tuple[Counter, Counter]]):
@@ -47,12 +50,13 @@ def _scan(bits: int):
         for (lang, source), (n, df) in held.items():
             names = list(n)
             h = np.fromiter((xxhash.xxh3_64_intdigest(t) & mask for t in names), np.uint64, len(names)).view(np.int64)
-            named = [t not in seen for t in names]
+            term = [t if t not in seen else None for t in names]
+            split = names if shared is True else [t if x in shared else None for t, x in zip(names, h.tolist())] if shared else [None] * len(names)
             seen.update(names)
             k = len(names)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array(h), pa.array(list(n.values()), pa.int64()), pa.array([df[t] for t in names], pa.int64()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(named, pa.bool_())],
-                ["lang", "source", "h", "n", "df", "term", "named"],
+                [pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array(h), pa.array(list(n.values()), pa.int64()), pa.array([df[t] for t in names], pa.int64()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(split, pa.binary()).cast(pa.string())],
+                ["lang", "source", "h", "n", "df", "term", "split"],
             )
 
     def run(batches):
@@ -127,16 +131,14 @@ def _block_pairs(df: DataFrame) -> DataFrame:
 
 def _counts(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     """(counts (lang, source, h, split, n, df), names (h, lo, hi)); split is a term's string where others share its digest, else null."""
-    counted = materialize(docs.mapInArrow(_scan(bits), _COUNTED), "counted")
-    names = materialize(counted.where("named").groupBy("h").agg(F.min("term").alias("lo"), F.max("term").alias("hi")), "names")
-    shared = names.where("lo <> hi").select("h", F.lit(True).alias("shared"))
-    n = shared.count()
-    if n:
-        rows = counted.join(F.broadcast(shared) if n <= BROADCAST_ROWS else shared, "h", "left")
-        rows = rows.select("lang", "source", "h", F.when(F.col("shared"), F.col("term")).alias("split"), "n", "df")
-    else:
-        rows = counted.select("lang", "source", "h", F.lit(None).cast("string").alias("split"), "n", "df")
-    return rows.groupBy("lang", "source", "h", "split").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), names
+    compact = lambda df, path: df.write.option("compression", "zstd").parquet(path)
+    counted = materialize(docs.mapInArrow(_scan(bits), _COUNTED), "counted", write=compact)
+    names = materialize(counted.where("term is not null").groupBy("h").agg(F.min("term").alias("lo"), F.max("term").alias("hi")), "names")
+    shared = [r["h"] for r in names.where("lo <> hi").select("h").limit(BROADCAST_ROWS + 1).collect()]
+    if shared:  # texts are read again; beyond the bound every term is told apart by its string
+        release(counted)
+        counted = materialize(docs.mapInArrow(_scan(bits, frozenset(shared) if len(shared) <= BROADCAST_ROWS else True), _COUNTED), "counted", write=compact)
+    return counted.groupBy("lang", "source", "h", "split").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), names
 
 
 def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP, bits: int = 64) -> DataFrame:
