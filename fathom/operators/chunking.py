@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +52,71 @@ def related(symbols: DataFrame) -> DataFrame:
     line = F.concat(F.lit("// Method: "), "method_signature")
     of_struct = joined.groupBy("file_id", "name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_line", line.alias("l")))), lambda x: x["l"]), "\n").alias("context"))
     return of_struct.unionByName(joined.select("file_id", F.col("method").alias("name"), F.concat(F.lit("// Receiver: "), "signature").alias("context")))
+
+
+#: Bytes of a token, and the costs of a cut: for each open brace, if no blank line is before it, and for each piece.
+TOKEN_BYTES, IN_BRACE, NO_BLANK, PIECE = 4, 10, 3, 5
+
+
+def cuts(lines: list[str], most: int) -> list[int]:
+    """Where each piece of lines begins, so that no piece is over `most` tokens unless it is one line, at the least cost.
+
+    Before every line the least cost of what came before is the least over the places where the last piece
+    may begin; these form a window that only moves on, so that its least is kept in a queue: linear in the lines.
+    """
+    n, bytes_before, depth = len(lines), [0], [0]
+    for line in lines:
+        bytes_before.append(bytes_before[-1] + len(line.encode()) + 1)
+        depth.append(max(0, depth[-1] + line.count("{") - line.count("}")))
+    fits = lambda i, j: (bytes_before[j] - bytes_before[i] - 1) // TOKEN_BYTES <= most  # noqa: E731  lines i to j - 1
+    # best[i] is the cost of pieces for the lines before i, with a cut there
+    best, back, window, low = [0] * (n + 1), [0] * (n + 1), deque([0]), 0
+    for j in range(1, n + 1):
+        while low < j - 1 and not fits(low, j):
+            low += 1
+        while window[0] < low:
+            window.popleft()
+        back[j] = window[0]
+        best[j] = best[back[j]] + PIECE
+        if j < n:
+            best[j] += IN_BRACE * depth[j] + NO_BLANK * bool(lines[j - 1].strip())
+            while window and best[window[-1]] > best[j]:
+                window.pop()
+            window.append(j)
+    out, j = [], n
+    while j > 0:
+        j = back[j]
+        out.append(j)
+    return out[::-1]
+
+
+def split_large(chunks: DataFrame, most: int = 1000) -> DataFrame:
+    """chunks (id, content, start_line, other columns) with those of over `most` tokens cut into pieces at lines; piece numbers them from 0.
+
+    The cuts are where they cost least: at blank lines rather than between others, outside of braces rather
+    than inside. Joined by line feeds the pieces are the whole chunk; a piece is over the bound only if it is
+    one line. start_line and end_line are the piece's own. Chunks within the bound and null contents stay as
+    they are. Optional: an indexing run leaves chunks whole.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for key, content, start in zip(batch["__id"], batch["content"], batch["start_line"]):
+                lines = content.split("\n")
+                at = cuts(lines, most)
+                rows += [(key, k, "\n".join(lines[a:b]), start + a, start + b - 1) for k, (a, b) in enumerate(zip(at, [*at[1:], len(lines)]))]
+            yield pd.DataFrame(rows, columns=["__id", "piece", "content", "start_line", "end_line"])
+
+    large = F.octet_length("content") >= TOKEN_BYTES * (most + 1)
+    whole = chunks.where(~F.coalesce(large, F.lit(False))).withColumn("piece", F.lit(0))
+    over = chunks.where(large)
+    kind = dict(chunks.dtypes)["id"]
+    lines = dict(chunks.dtypes)["start_line"]
+    found = over.select(F.col("id").alias("__id"), "content", "start_line").mapInPandas(run, f"__id {kind}, piece int, content string, start_line {lines}, end_line {lines}")
+    rest = over.drop("content", "start_line", "end_line").join(found, F.col("id") == F.col("__id")).drop("__id")
+    if "token_count" in rest.columns:
+        rest = rest.withColumn("token_count", code.token_count(F.col("content"), F.coalesce("context_before", F.lit("")), F.coalesce("context_after", F.lit(""))))
+    if "content_hash" in rest.columns:
+        rest = rest.withColumn("content_hash", code.content_hash(F.col("content")))
+    return whole.unionByName(rest, allowMissingColumns=True)

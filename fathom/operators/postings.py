@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from operator import add, and_
 
@@ -13,30 +14,35 @@ from fathom.functions import text as T
 
 #: Tables of an index and how they are laid out.
 TABLES = {
-    "postings": "term string, chunk_id long, col int, positions array<int>, dl int",
+    "postings": "term string, chunk_id long, col int, f int, positions array<int>, dl int",
     "lengths": "chunk_id long, dl int",
     "corpus": "rows long, tokens long",
 }
 
 
 def _inverted(marked: bool):
-    """Postings of tokenized rows (chunk_id, cols, dl); a row's terms are all in one place, so nothing is shuffled. Marked: and one of the empty term for each row."""
+    """Postings of tokenized rows (chunk_id, cols, dl); a row's terms are all in one place, so nothing is shuffled. Marked: and one of the empty term for each row.
+
+    f is how often the row has the term in all of its columns, on the first of the term's postings; on others it is 0.
+    """
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for chunk, cols, dl in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    often = Counter(t for x in cols for t in x["toks"] or ())
                     for x in cols + [{"col": -1, "toks": None}] * marked:
                         found: dict[str, list[int]] = {} if x["toks"] is not None else {"": []}
                         for k, term in enumerate(x["toks"] or ()):
                             found.setdefault(term, []).append(k)
                         out[0] += found
-                        out[3] += found.values()
-                        for col, value in zip((out[1], out[2], out[4]), (chunk, x["col"], dl)):
+                        out[3] += [often.pop(t, 0) for t in found]
+                        out[4] += found.values()
+                        for col, value in zip((out[1], out[2], out[5]), (chunk, x["col"], dl)):
                             col += [value] * len(found)
-                kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["term", "chunk_id", "col", "positions", "dl"])
+                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["term", "chunk_id", "col", "f", "positions", "dl"])
 
     return run
 
@@ -47,14 +53,15 @@ def _tokenized(rows: DataFrame, columns: list[str]) -> DataFrame:
     return each.withColumn("dl", F.aggregate("cols", F.lit(0), lambda n, x: n + F.size(x["toks"])))
 
 
-def _postings(rows: DataFrame, columns: list[str], marked: bool = False) -> DataFrame:
+def postings_of(rows: DataFrame, columns: list[str], marked: bool = False) -> DataFrame:
+    """(term, chunk_id, col, f, positions, dl) of rows (chunk_id, columns)."""
     return _tokenized(rows, columns).mapInArrow(_inverted(marked), TABLES["postings"])
 
 
 def build(rows: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
     """The index of rows (chunk_id, columns): a posting for each term, row and column, with the row's length in tokens."""
     lengths = _tokenized(rows, columns).select("chunk_id", "dl")
-    return {"postings": _postings(rows, columns), "lengths": lengths, "corpus": corpus(lengths)}
+    return {"postings": postings_of(rows, columns), "lengths": lengths, "corpus": corpus(lengths)}
 
 
 def corpus(lengths: DataFrame) -> DataFrame:
@@ -69,7 +76,7 @@ def clustered(postings: DataFrame) -> DataFrame:
 def write(rows: DataFrame, columns: list[str], path: str) -> None:
     """Write the index of rows; each text is tokenized once."""
     spark = rows.sparkSession
-    clustered(_postings(rows, columns, True)).write.parquet(f"{path}/postings")
+    clustered(postings_of(rows, columns, True)).write.parquet(f"{path}/postings")
     marks = spark.read.schema(TABLES["postings"]).parquet(f"{path}/postings").where(F.col("term") == "")
     marks.select("chunk_id", "dl").write.parquet(f"{path}/lengths")
     corpus(spark.read.schema(TABLES["lengths"]).parquet(f"{path}/lengths")).write.parquet(f"{path}/corpus")

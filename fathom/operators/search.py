@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as T
 from fathom.functions import vector as V
-from fathom.operators import postings
+from fathom.operators import segments
 
 RRF_K = 60
 
@@ -62,9 +62,9 @@ def keyword_search(rows: DataFrame, columns: list[str], terms: list[str], limit:
     return best.where(F.col("relevance_score") >= min_relevance) if min_relevance > 0 else best
 
 
-def indexed_search(index: dict[str, DataFrame], terms: list[str], limit: int, candidates: DataFrame | None = None, min_relevance: float = 0.0) -> DataFrame:
-    """keyword_search() over a stored index: no text is read."""
-    best = top(postings.scores(index, terms, candidates), F.col("bm25").asc(), limit)
+def indexed_search(index: segments.Index, terms: list[str], limit: int, candidates: DataFrame | None = None, min_relevance: float = 0.0) -> DataFrame:
+    """keyword_search() over a stored index: no text is read, and only blocks of rows that may be among the best."""
+    best = top(segments.plan_top(index, terms, limit, candidates).scored, F.col("bm25").asc(), limit)
     best = best.withColumn("relevance_score", T.relevance(F.col("bm25")))
     return best.where(F.col("relevance_score") >= min_relevance) if min_relevance > 0 else best
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-from functools import cached_property
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +12,10 @@ from fathom.functions.text import sanitize_text
 from fathom.operators import tables as T
 from fathom.operators.embedding import Provider, from_env
 from fathom.operators.filters import SearchFilters
-from fathom.plans.index import IndexingInProgress, Store, index_tree, project_id
+from fathom.plans.index import index_tree, project_id
+from fathom.plans.results import StoredResults
 from fathom.plans.search import ResultCache, Searcher, SearchRequest
+from fathom.plans.store import WORDS, IndexingInProgress, Store
 from fathom.sources.go_files import PathProblem, check_path
 
 # Error codes of the wire protocol, kinds that a search may name.
@@ -45,23 +46,36 @@ class ApiError(Exception):
 
 
 class Engine:
-    """The engine over one store. provider embeds chunks and queries; by default the environment decides, see embedding.from_env()."""
+    """The engine over one store. provider embeds chunks and queries; by default the environment decides, see embedding.from_env(). With keep_results results of searches are stored beside the snapshot and serve other processes too."""
 
-    def __init__(self, spark: SparkSession, store_path: str, provider: Provider | None = None):
+    def __init__(self, spark: SparkSession, store_path: str, provider: Provider | None = None, keep_results: bool = False):
         self.spark, self.store, self.cache = spark, Store(spark, store_path), ResultCache()
         self.provider = provider or from_env()
+        self.results = StoredResults(self.store) if keep_results else None
+        self._read: tuple | None = None
 
     def search_symbols(self, args: dict) -> list[dict]:
         """Symbols of an indexed project that match all words of args["query"]."""
-        project = self._project(self._path(args))
+        path = self._path(args)
+        project = self._project(path)
         if project is None:
             raise ApiError(NOT_INDEXED, "the project is not indexed")
-        found = Searcher(self._tables, provider=self.provider).symbols(string(args, "query"), project["id"], int(number(args, "limit", 10)))
+        found = Searcher(self._tables(path), provider=self.provider).symbols(string(args, "query"), project["id"], int(number(args, "limit", 10)))
         return [r.asDict() for r in found.select("name", "kind", "signature", "scope", "bm25").collect()]
 
-    @cached_property
-    def _tables(self):
-        return self.store.read()
+    def _tables(self, path: str) -> dict:
+        """A project's tables in the latest snapshot, and the keyword indexes. Tables are made anew once another writer, maybe in another process, has committed; then results kept so far go."""
+        version = (self.store.versions() or [0])[-1]
+        if self._read and self._read[0] != version:
+            self._read = None
+            self.cache.clear()
+        if self._read is None:
+            self._read = (version, self.store.snapshot(), {})
+        _, snapshot, by_path = self._read
+        if path not in by_path:
+            pid = project_id(self.spark, path)
+            by_path[path] = self.store.read(snapshot=snapshot, project=pid) | {n: self.store.index(snapshot, n) for n in WORDS}
+        return by_path[path]
 
     def _path(self, args: dict) -> str:
         try:
@@ -70,7 +84,7 @@ class Engine:
             raise ApiError(NOT_FOUND if "no Go file" in str(e) else INVALID_PARAMS, str(e)) from e
 
     def _project(self, path: str):
-        return next(iter(self._tables["projects"].where(F.col("root_path") == path).limit(1).collect()), None)
+        return next(iter(self._tables(path)["projects"].where(F.col("root_path") == path).limit(1).collect()), None)
 
     def index_codebase(self, args: dict) -> dict:
         path, began = self._path(args), time.monotonic()
@@ -78,7 +92,7 @@ class Engine:
             s = index_tree(self.spark, self.store, path, flag(args, "force_reindex", False), flag(args, "include_tests", True), flag(args, "include_vendor", False), flag(args, "prune", False), self.provider)
         except IndexingInProgress as e:
             raise ApiError(IN_PROGRESS, "indexing is in progress") from e
-        self.__dict__.pop("_tables", None)
+        self._read = None
         self.cache.clear()
         out = {"indexed": True, "files_indexed": s.files_indexed, "files_skipped": s.files_skipped, "files_failed": s.files_failed, "symbols_extracted": s.symbols_extracted, "chunks_created": s.chunks_created, "duration_ms": int((time.monotonic() - began) * 1000)}
         if s.errors:
@@ -115,7 +129,7 @@ class Engine:
             raise ApiError(INVALID_PARAMS, f"unknown mode {mode}")
         filters = self._filters(args.get("filters"))
         try:
-            response = Searcher(self._tables, self.cache, self.provider).search(SearchRequest(sanitize_text(query), project["id"], limit, mode, filters, use_cache=True))
+            response = Searcher(self._tables(path), self.cache, self.provider, self.results, self._read[0]).search(SearchRequest(sanitize_text(query), project["id"], limit, mode, filters, use_cache=True))
         except ValueError as e:
             raise ApiError(INTERNAL, str(e)) from e
         results = [
@@ -130,13 +144,14 @@ class Engine:
         project = self._project(path)
         if project is None:
             return {"indexed": False, "path": path, "message": "The project has not been indexed."}
-        t, mine = self._tables, F.col("project_id") == project_id(self.spark, path)
+        t, mine = self._tables(path), F.col("project_id") == project["id"]
         files = t["files"].where(mine).select(F.col("id").alias("file_id"), "project_id")
         chunks = t["chunks"].select("id", "file_id").join(files, "file_id")
         vectors = t["embeddings"].select(F.col("chunk_id").alias("id")).join(chunks, "id")
         n = T.counts_by(files, "project_id", {"files": files, "symbols": t["symbols"].select("file_id").join(files, "file_id"), "chunks": chunks, "embeddings": vectors}).first()
         count = lambda k: n[k] if n else 0
-        indexed = t["corpus"].select(F.col("rows").alias("indexed")).crossJoin(t["chunks"].agg(F.count("*").alias("chunks")))
+        everywhere = self.store.read()["chunks"]  # the index is over all projects
+        indexed = t["chunk_words"].corpus.select(F.col("rows").alias("indexed")).crossJoin(everywhere.agg(F.count("*").alias("chunks")))
         flags = T.health(indexed.withColumn("embeddings", F.lit(count("embeddings")))).select("database_accessible", "embeddings_available", "fts_indexes_built")
         return {
             "indexed": True,

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from fathom import schema
 from fathom.functions import code, text, vector
-from fathom.operators import chunking, embedding, migrations, postings
+from fathom.operators import chunking, embedding, migrations, postings, vector_cells
 from fathom.operators import search as S
 from fathom.operators import tables as T
 from fathom.operators.filters import SearchFilters, apply
 from fathom.sources import adapters as A
+from fathom.sources.trees import read_tree
 from fathom.streaming.watch import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,12 +82,12 @@ def _keyword(spark: SparkSession, sf_dir: str, terms: list[str] = TERMS, limit:
 @query(f"SELECT count(*) AS rows, sum(len({_tok('text')}))::BIGINT AS tokens FROM documents")
 def keyword_index_corpus(spark, sf_dir):
     """The one row of statistics; the first query of a session over a folder writes the index."""
-    return A.keyword_index(spark, sf_dir)["corpus"]
+    return A.keyword_index(spark, sf_dir).corpus
 
 
 @query(f"WITH t AS (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS chunks, count(*) AS places FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 20")
 def keyword_index_terms(spark, sf_dir):
-    p = A.keyword_index(spark, sf_dir)["postings"].where("term <> ''")
+    p = A.keyword_index(spark, sf_dir).live("postings").where("term <> ''")
     return p.groupBy("term").agg(F.count("*").alias("chunks"), F.sum(F.size("positions")).alias("places")).where("chunks >= 20")
 
 
@@ -113,7 +114,24 @@ def keyword_min_relevance_after_limit(spark, sf_dir):
 def keyword_postings_topk(spark, sf_dir):
     """After an update of the written index: a tenth of the rows replaced by themselves."""
     rows = A.whole_chunks(spark, sf_dir).where("chunk_id % 10 = 0")
-    return S.top(postings.scores(postings.update(A.keyword_index(spark, sf_dir), rows, ["content"]), TERMS), F.col("bm25"), LIMIT)
+    return S.top(postings.scores(postings.update(A.keyword_index(spark, sf_dir).tables(), rows, ["content"]), TERMS), F.col("bm25"), LIMIT)
+
+
+REPLACED = "SELECT doc_id AS chunk_id, CASE WHEN doc_id % 10 = 0 THEN replace(text, 'that', 'esat') ELSE text END AS c0 FROM documents"
+
+
+@query(f"{bm25_sql(TERMS, REPLACED)} {TOP}")
+def keyword_replaced_topk(spark, sf_dir):
+    """After a tenth of the rows got other texts: the index has a second segment and deletions, its first segment is as it was."""
+    old = A.whole_chunks(spark, sf_dir).where("chunk_id % 10 = 0").select("chunk_id", "content")
+    new = old.withColumn("content", F.replace("content", F.lit("that"), F.lit("esat")))
+    return S.indexed_search(A.keyword_index(spark, sf_dir).replace(old, new, ["content"]), TERMS, LIMIT).select("chunk_id", "bm25")
+
+
+@query(f"{bm25_sql(['the', 'of'])} {TOP}")
+def keyword_common_topk(spark, sf_dir):
+    """Words that most rows have: blocks of rows that cannot be among the best are not read."""
+    return _keyword(spark, sf_dir, ["the", "of"]).select("chunk_id", "bm25")
 
 
 @query(f"{bm25_sql(TERMS)} {TOP}")
@@ -127,7 +145,7 @@ THREE = ["that", "the", "esat"]
 
 @query(f"{bm25_sql(THREE)} SELECT chunk_id, bm25 FROM scored")
 def keyword_multi_term_and(spark, sf_dir):
-    return postings.scores(A.keyword_index(spark, sf_dir), THREE)
+    return postings.scores(A.keyword_index(spark, sf_dir).tables(), THREE)
 
 
 @query(f"{bm25_sql(['que'], where='package_name IN (' + chr(39) + 'es' + chr(39) + ')')} {TOP}")
@@ -137,7 +155,7 @@ def keyword_package_filter(spark, sf_dir):
 
 @query(f"{bm25_sql(['of the'])} SELECT chunk_id, bm25 FROM scored")
 def phrase_match(spark, sf_dir):
-    return postings.scores(A.keyword_index(spark, sf_dir), text.query_terms("of_the"))
+    return postings.scores(A.keyword_index(spark, sf_dir).tables(), text.query_terms("of_the"))
 
 
 def _dot(a: str, b: str) -> str:
@@ -162,6 +180,13 @@ def vector_cosine_topk(spark, sf_dir):
     return _nearest(spark, sf_dir)
 
 
+@query(V_TOP.format(where="true", limit=LIMIT))
+def vector_cells_topk(spark, sf_dir):
+    """The same from vectors stored by cell: cells that cannot hold one of the nearest are not read."""
+    q = A.query_vector(spark, sf_dir).first()["q"]
+    return vector_cells.nearest(A.cells(spark, sf_dir), q, LIMIT).select("chunk_id", F.round("similarity", 9).alias("similarity"))
+
+
 @query(V_TOP.format(where=f"{_sim('embedding')} >= 0.2", limit=LIMIT))
 def vector_min_relevance(spark, sf_dir):
     return _nearest(spark, sf_dir, min_relevance=0.2)
@@ -277,8 +302,8 @@ PART = "SELECT p_partkey AS chunk_id, p_name AS c0, p_brand AS c1, p_type AS c2
 
 @query(f"{bm25_sql(['economy', 'ring'], PART, 3)} {TOP}")
 def symbol_search_bm25(spark, sf_dir):
-    part = A.read(spark, sf_dir, "part").withColumnRenamed("p_partkey", "chunk_id")
-    return S.keyword_search(part, ["p_name", "p_brand", "p_type"], ["economy", "ring"], LIMIT).select("chunk_id", "bm25")
+    """From the postings of all three columns; the texts are not read."""
+    return S.indexed_search(A.symbol_index(spark, sf_dir), ["economy", "ring"], LIMIT).select("chunk_id", "bm25")
 
 
 @query(f"SELECT doc_id AS file_id, {PATH} AS file_path, sha256(text) AS content_hash, strlen(text)::BIGINT AS size_bytes FROM documents WHERE source = 'src0' ORDER BY file_path")
@@ -316,7 +341,7 @@ def status_counts(spark, sf_dir):
 @query(f"{STATUS_SQL} SELECT project, true AS database_accessible, embeddings > 0 AS embeddings_available, true AS fts_indexes_built FROM st")
 def status_health_flags(spark, sf_dir):
     owner = A.files(spark, sf_dir).select(F.col("file_id").alias("chunk_id"), "project")
-    indexed = A.keyword_index(spark, sf_dir)["lengths"].join(owner, "chunk_id").groupBy("project").agg(F.count("*").alias("indexed"))
+    indexed = A.keyword_index(spark, sf_dir).live("lengths").join(owner, "chunk_id").groupBy("project").agg(F.count("*").alias("indexed"))
     whole = _status(spark, sf_dir).drop("chunks").withColumnRenamed("files", "chunks").join(indexed, "project", "left")
     return T.health(whole).select("project", "database_accessible", "embeddings_available", "fts_indexes_built")
 
@@ -406,6 +431,24 @@ def index_statistics(spark, sf_dir):
     return d.agg(n("new", "changed").alias("files_indexed"), n("unchanged").alias("files_skipped"), n("deleted").alias("files_deleted"), n("failed").alias("files_failed"))
 
 
+@query("SELECT doc_id AS file_id, md5(text) AS whole, CASE WHEN strlen(text) < 4004 THEN 1 END::INTEGER AS only_piece, 0::BIGINT AS over FROM documents")
+def split_large_chunks(spark, sf_dir):
+    """Chunks of over 1,000 tokens in pieces: joined they are the whole text again, and none of several lines is over the bound."""
+    chunks = A.files(spark, sf_dir).select(F.col("file_id").alias("id"), F.col("text").alias("content"), F.lit(1).alias("start_line"))
+    pieces = chunking.split_large(chunks)
+    over = (F.floor(F.octet_length("content") / 4) > 1000) & F.contains("content", F.lit("\n"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "content"))), lambda x: x["content"]), "\n")
+    own = pieces.groupBy("id").agg(F.md5(joined).alias("whole"), F.count("*").alias("n"), F.count_if(over).alias("over"), F.max(F.col("end_line").isNull()).alias("untouched"))
+    return own.select(F.col("id").alias("file_id"), "whole", F.when(F.col("untouched"), F.col("n").cast("int")).alias("only_piece"), "over")
+
+
+@query(f"SELECT {PATH} AS file_path, sha256(text) AS content_hash, strlen(text)::BIGINT AS size_bytes FROM documents WHERE source LIKE 'src1%'")
+def source_tree_listing(spark, sf_dir):
+    """Documents laid out as files, walked and read by executors; the filter on paths prunes folders."""
+    tree = read_tree(spark, A.laid_out(spark, sf_dir), suffix=".txt", vendor=False)
+    return tree.where(F.col("file_path").startswith("src1")).select("file_path", F.lower(F.hex("content_hash")).alias("content_hash"), "size_bytes")
+
+
 @query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def orphan_chunks(spark, sf_dir):
     return T.without(A.whole_chunks(spark, sf_dir).select("chunk_id"), A.vectors(spark, sf_dir), "chunk_id")
@@ -475,13 +518,15 @@ def embedding_batch_validation(spark, sf_dir):
     return embedding.validate(c)
 
 
-@query("SELECT n_nationkey AS request, sha256(n_name || '|' || CASE WHEN n_regionkey = 0 THEN 'hybrid' WHEN n_regionkey = 1 THEN 'vector' ELSE 'keyword' END || '|' || n_regionkey || '|filters:function,method|*.go||' || n_name || '|0.50' || '|10|60') AS query_hash FROM nation")
+@query("""SELECT conv_id, turn, sha256(text || '|' || CASE WHEN role = 'user' THEN 'hybrid' ELSE 'keyword' END || '|' || conv_id || CASE WHEN turn % 2 = 1 THEN '|filters:function,method|*.go||' || role || '|0.50' ELSE '' END || '|10|60') AS query_hash FROM conversations""")
 def query_hash(spark, sf_dir):
-    from fathom.plans.search import request_key
+    """Turns as requests: the key under which the engine keeps their results."""
+    from fathom.plans.search import keys_of
 
-    mode = F.when(F.col("n_regionkey") == 0, "hybrid").when(F.col("n_regionkey") == 1, "vector").otherwise("keyword")
-    filters = [F.lit("filters:function,method"), F.lit("*.go"), F.lit(""), F.col("n_name"), F.format_string("%.2f", F.lit(0.5))]
-    return A.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("request"), request_key(F.col("n_name"), mode, F.col("n_regionkey").cast("string"), filters, 10, 60).alias("query_hash"))
+    turns = A.read(spark, sf_dir, "conversations")
+    filters = F.when(F.col("turn") % 2 == 1, F.struct(F.array(F.lit("function"), F.lit("method")).alias("symbol_types"), F.lit("*.go").alias("file_pattern"), F.array(F.col("role")).alias("packages"), F.lit(0.5).alias("min_relevance")))
+    mode = F.when(F.col("role") == "user", "hybrid").otherwise("keyword")
+    return turns.select("conv_id", "turn", keys_of(F.col("text"), mode, F.col("conv_id"), filters).alias("query_hash"))
 
 
 @query(r"SELECT doc_id AS chunk_id, md5(trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_\s\-.]', ' ', 'g'), '\s+', ' ', 'g'))) AS sanitized FROM documents")
@@ -489,33 +534,38 @@ def sanitize_query(spark, sf_dir):
     return A.whole_chunks(spark, sf_dir).select("chunk_id", F.md5(text.sanitize(F.col("content"))).alias("sanitized"))
 
 
-NAMES = ["OrderAggregate", "AccountAggregateRoot", "OrderItemVO", "PlaceOrderCommand", "ProcessOrderQuery", "OrderRepo", "UserRepository", "PaymentService", "EventHandler", "MoneyValueObject", "CreateCmd", "TaskEntity", "plainName", "Épée", "customerList", "UserService", "helper", "_x", "List"]
-VALUES = ", ".join(f"({k}, '{n}')" for k, n in enumerate(NAMES))
+#: Endings that names of parts get in turn, so that each pattern has names that fit.
+ENDINGS = ["Aggregate", "AggregateRoot", "ItemVO", "Command", "Query", "Repo", "Repository", "Service", "Handler", "ValueObject", "Cmd", "Entity", "", "List", "OrderX", "UserService"]
+NAMED = f"SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '_' WHEN 2 THEN 'É' WHEN 3 THEN upper(p_name[1]) ELSE 'New' END || replace(replace(p_name, ' ', ''), '#', '') || ([{', '.join(f"'{e}'" for e in ENDINGS)}])[p_partkey % {len(ENDINGS)} + 1] AS name FROM part"
 
 
-def _names(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(NAMES)), "id int, name string")
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, name) of parts: identifiers that begin in five ways and end in each of ENDINGS."""
+    key, bare = F.col("p_partkey"), F.replace(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("#"), F.lit(""))
+    head = F.element_at(F.array(F.lit(""), F.lit("_"), F.lit("É"), F.upper(F.substring("p_name", 1, 1)), F.lit("New")), (key % 5 + 1).cast("int"))
+    return A.read(spark, sf_dir, "part").select(key.alias("id"), F.concat(head, bare, F.element_at(F.array(*map(F.lit, ENDINGS)), (key % len(ENDINGS) + 1).cast("int"))).alias("name"))
 
 
-@query(f"""SELECT name, regexp_matches(name, '(Aggregate|AggregateRoot)$') AS is_aggregate_root,
+@query(f"""SELECT id, name, regexp_matches(name, '(Aggregate|AggregateRoot)$') AS is_aggregate_root,
     regexp_matches(name, '(Aggregate|AggregateRoot|Entity)$') OR regexp_matches(name, 'Order|User|Product|Account|Customer|Item') AND NOT regexp_matches(name, '(Service|Repository|Handler)$') AS is_entity,
     regexp_matches(name, '(VO|ValueObject)$') AS is_value_object, regexp_matches(name, '(Repository|Repo)$') AS is_repository, regexp_matches(name, 'Service$') AS is_service,
-    regexp_matches(name, '(Command|Cmd)$') AS is_command, regexp_matches(name, 'Query$') AS is_query, regexp_matches(name, 'Handler$') AS is_handler FROM (VALUES {VALUES}) t(id, name)""")
+    regexp_matches(name, '(Command|Cmd)$') AS is_command, regexp_matches(name, 'Query$') AS is_query, regexp_matches(name, 'Handler$') AS is_handler FROM ({NAMED})""")
 def ddd_classify_names(spark, sf_dir):
-    return _names(spark).select("name", *[c.alias(k) for k, c in code.patterns(F.col("name"), F.lit("struct")).items()])
+    return _names(spark, sf_dir).select("id", "name", *[c.alias(k) for k, c in code.patterns(F.col("name"), F.lit("struct")).items()])
 
 
 KINDS = ["function", "method", "struct", "interface", "type", "const", "var", "field"]
 
 
-@query("SELECT kind, CASE kind WHEN 'method' THEN 'method' WHEN 'struct' THEN 'type' WHEN 'interface' THEN 'type' WHEN 'type' THEN 'type' WHEN 'const' THEN 'const_group' WHEN 'var' THEN 'var_group' ELSE 'function' END AS chunk_type FROM (VALUES " + ", ".join(f"('{k}')" for k in KINDS) + ") t(kind)")
+@query("SELECT id, kind, CASE kind WHEN 'method' THEN 'method' WHEN 'struct' THEN 'type' WHEN 'interface' THEN 'type' WHEN 'type' THEN 'type' WHEN 'const' THEN 'const_group' WHEN 'var' THEN 'var_group' ELSE 'function' END AS chunk_type FROM (SELECT p_partkey AS id, ([" + ", ".join(f"'{k}'" for k in KINDS) + "])[p_size % 8 + 1] AS kind FROM part)")
 def kind_to_chunk_type(spark, sf_dir):
-    return spark.createDataFrame([(k,) for k in KINDS], "kind string").select("kind", code.chunk_type(F.col("kind")).alias("chunk_type"))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("p_size") % 8 + 1).cast("int"))
+    return A.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), kind.alias("kind")).select("id", "kind", code.chunk_type(F.col("kind")).alias("chunk_type"))
 
 
-@query(f"SELECT name, CASE WHEN regexp_matches(name, '^\\p{{Lu}}') THEN 'exported' ELSE 'unexported' END AS scope FROM (VALUES {VALUES}) t(id, name)")
+@query(f"SELECT name, CASE WHEN regexp_matches(name, '^\\p{{Lu}}') THEN 'exported' ELSE 'unexported' END AS scope FROM ({NAMED})")
 def scope_exported(spark, sf_dir):
-    return _names(spark).select("name", code.scope(F.col("name")).alias("scope"))
+    return _names(spark, sf_dir).select("id", "name", code.scope(F.col("name")).alias("scope"))
 
 
 @query("""SELECT n_name AS name, string_agg('// Method: func ' || s_name, chr(10) ORDER BY s_suppkey) AS context FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name
@@ -728,11 +778,11 @@ def latest_migration(spark, sf_dir):
 
 
 @query(f"""SELECT name, regexp_matches(name, '^\\p{{Lu}}') AS is_exported, regexp_matches(name, '(Aggregate|AggregateRoot|Entity|VO|ValueObject|Repository|Repo|Service|Command|Cmd|Query|Handler)$')
-    OR regexp_matches(name, 'Order|User|Product|Account|Customer|Item') AS is_pattern FROM (VALUES {VALUES}) t(id, name)""")
+    OR regexp_matches(name, 'Order|User|Product|Account|Customer|Item') AS is_pattern FROM ({NAMED})""")
 def symbol_predicates(spark, sf_dir):
     name = F.col("name")
     flags = list(code.patterns(name, F.lit("struct")).values())
-    return _names(spark).select("name", code.is_exported(name, code.scope(name)).alias("is_exported"), code.is_pattern(flags).alias("is_pattern"))
+    return _names(spark, sf_dir).select("name", code.is_exported(name, code.scope(name)).alias("is_exported"), code.is_pattern(flags).alias("is_pattern"))
 
 
 KINDS_SQL = "[" + ", ".join(f"'{k}'" for k in [*KINDS, "macro"]) + "]"
@@ -786,3 +836,51 @@ def windowed_event_counts(spark, sf_dir):
     """The streaming aggregation over a table that is at rest."""
     events = A.read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     return windowed_counts(events, window="1 hour").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+
+
+def _engine(spark: SparkSession, sf_dir: str):
+    """An engine over an index of the suppliers' source tree, made once for a session, and the tree."""
+    from fathom.plans.api import Engine
+
+    root = A.supplier_tree(spark, sf_dir)
+
+    def make(_, path: str) -> Engine:
+        engine = Engine(spark, path, keep_results=True)
+        engine.index_codebase({"path": root})
+        return engine
+
+    return A._kept(spark, "engine", A.read(spark, sf_dir, "supplier"), make), root
+
+
+@query("""SELECT count(DISTINCT s_nationkey) AS files, 3 * count(*) AS symbols, 2 * count(*) AS chunks, 2 * count(*) AS embeddings, 'example.com/suppliers' AS module, true AS fts_indexes_built FROM supplier""")
+def engine_status(spark, sf_dir):
+    """The status of a project that was indexed from a source tree: counts, module, health."""
+    engine, root = _engine(spark, sf_dir)
+    s = engine.get_status({"path": root})
+    n, long = s["statistics"], lambda v: F.lit(v).cast("long")
+    return spark.range(1).select(*[long(n[f"{c}_count"]).alias(c) for c in ("files", "symbols", "chunks", "embeddings")], F.lit(s["project"]["module"]).alias("module"), F.lit(s["health"]["fts_indexes_built"]).alias("fts_indexes_built"))
+
+
+#: Requests of the engine's queries: the suppliers of the five lowest keys.
+ASKED = "(SELECT * FROM supplier ORDER BY s_suppkey LIMIT 5)"
+
+
+def _asked(spark: SparkSession, sf_dir: str, answer, kinds: str) -> DataFrame:
+    keys = [r[0] for r in A.read(spark, sf_dir, "supplier").select("s_suppkey").orderBy("s_suppkey").limit(5).collect()]
+    return spark.createDataFrame([(k, *row) for k in keys for row in answer(k)], f"request long, {kinds}")
+
+
+@query(f"SELECT s_suppkey AS request, 1::BIGINT AS rank, 'Find' || s_suppkey AS name, 'n' || s_nationkey || '/n' || s_nationkey || '.go' AS path, 'func (s *S' || s_suppkey || 'Repository) Find' || s_suppkey || '(id int) error {{ return nil }}' AS content FROM {ASKED}")
+def engine_search(spark, sf_dir):
+    """Keyword requests answered by the engine from the index of the source tree."""
+    engine, root = _engine(spark, sf_dir)
+    ask = lambda k: engine.search_code({"path": root, "query": f"find{k} error", "search_mode": "keyword"})["results"]
+    return _asked(spark, sf_dir, lambda k: [(r["rank"], r["symbol"]["name"], r["file"]["path"], r["content"]) for r in ask(k)], "rank long, name string, path string, content string")
+
+
+@query(f"SELECT s_suppkey AS request, 'S' || s_suppkey || 'Repository' AS name, 'struct' AS kind, 'exported' AS scope FROM {ASKED}")
+def engine_symbols(spark, sf_dir):
+    """Symbol requests answered by the engine from the postings of the symbols' names, signatures and comments."""
+    engine, root = _engine(spark, sf_dir)
+    ask = lambda k: engine.search_symbols({"path": root, "query": f"S{k}Repository struct"})
+    return _asked(spark, sf_dir, lambda k: [(r["name"], r["kind"], r["scope"]) for r in ask(k)], "name string, kind string, scope string")

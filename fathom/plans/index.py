@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import threading
+import uuid
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -10,62 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom import schema
-from fathom.operators import chunking, embedding, postings
+from fathom.operators import chunking, embedding
 from fathom.operators import tables as T
+from fathom.plans.store import WORDS, Conflict, IndexingInProgress, Project, Store
 from fathom.sources import go_files
 
 #: A small source tree for tests and queries.
 FIXTURES = str(Path(__file__).resolve().parents[2] / "fixtures" / "shop")
-_BUSY = threading.Lock()
-
-
-class IndexingInProgress(RuntimeError):
-    """Another indexing run has not ended."""
-
-
-class Store:
-    """Tables as Parquet snapshots below a folder; a snapshot counts once its folder has its final name."""
-
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
-        self.jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.jpath(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        if not self.fs.exists(self.jpath(self.base)):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.jpath(self.base))]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
-
-    def read(self, version: int | None = None) -> dict[str, DataFrame]:
-        """Tables of the latest snapshot, or of one; empty ones if there is none."""
-        versions = self.versions()
-        if not versions:
-            none = {t: self.spark.createDataFrame([], s) for t, s in schema.TABLES.items()}
-            return none | {"corpus": postings.corpus(none["lengths"])}
-        at = f"{self.base}/v{version if version is not None else versions[-1]}"
-        return {t: self.spark.read.schema(s).parquet(f"{at}/{t}") for t, s in schema.TABLES.items()}
-
-    def commit(self, tables: dict[str, DataFrame], keep: int = 2) -> int:
-        """Write all tables beside, then rename: readers see the old snapshot or the new one. Older ones than `keep` go."""
-        versions = self.versions()
-        n = (versions[-1] if versions else 0) + 1
-        staging = f"{self.base}/_staging-{n}"
-        self.fs.delete(self.jpath(staging), True)
-        for t, s in schema.TABLES.items():
-            rows = tables[t].select(*[F.col(f.name).cast(f.dataType) for f in s])
-            (postings.clustered(rows) if t == "postings" else rows).write.parquet(f"{staging}/{t}")
-        if not self.fs.rename(self.jpath(staging), self.jpath(f"{self.base}/v{n}")):
-            raise OSError(f"snapshot {n} could not be committed")
-        for old in versions[: max(0, len(versions) + 1 - keep)]:
-            self.fs.delete(self.jpath(f"{self.base}/v{old}"), True)
-        return n
-
-    def bytes(self) -> int:
-        versions = self.versions()
-        return self.fs.getContentSummary(self.jpath(f"{self.base}/v{versions[-1]}")).getLength() if versions else 0
-
-
 @dataclass
 class Statistics:
     files_indexed: int = 0
@@ -86,66 +37,96 @@ def project_id(spark: SparkSession, root: str) -> int:
     return spark.range(1).select(F.xxhash64(F.lit(root))).first()[0]
 
 
-def index_tree(spark: SparkSession, store: Store, root: str, force: bool = False, tests: bool = True, vendor: bool = False, prune: bool = False, provider=None) -> Statistics:
+def index_tree(spark: SparkSession, store: Store, root: str, force: bool = False, tests: bool = True, vendor: bool = False, prune: bool = False, provider=None, attempts: int = 3) -> Statistics:
     """Bring the store up to date with a source tree and commit; unchanged files are left alone unless forced.
 
-    Files that disappeared stay unless pruned. One run at a time; a second one is refused.
+    Only the buckets that changed files are in are read and written. Files that disappeared stay unless
+    pruned. One run of a project at a time; a second one is refused. Runs of different projects do not wait
+    for each other; if another run was first after all, this one starts over.
     """
-    if not _BUSY.acquire(blocking=False):
-        raise IndexingInProgress(root)
-    try:
-        return _index(spark, store, root, force, tests, vendor, prune, provider)
-    finally:
-        _BUSY.release()
+    pid = project_id(spark, root)
+    with store.run(pid):
+        for k in range(attempts):
+            try:
+                return _index(spark, store, root, pid, force, tests, vendor, prune, provider)
+            except Conflict:
+                if k == attempts - 1:
+                    raise
+    raise AssertionError
+
 
+def _bucketed(df: DataFrame, file_id: str, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(file_id), F.lit(buckets)).cast("int"))
 
-def _index(spark, store, root, force, tests, vendor, prune, provider) -> Statistics:
-    old, pid, now = store.read(), project_id(spark, root), F.current_timestamp()
+
+def _index(spark, store, root, pid, force, tests, vendor, prune, provider) -> Statistics:
+    seen, now = store.snapshot(), F.current_timestamp()
+    stored = store.project(seen, pid)
+    whole = store.read(snapshot=seen, project=pid)
     found = go_files.discover(spark, root, tests, vendor).cache()
-    stored = old["files"].where(F.col("project_id") == pid).select("file_path", F.col("content_hash").alias("__old"), F.lit(True).alias("__known"))
-    status = found.join(stored, "file_path", "left")
+    known = whole["files"].select("file_path", F.col("content_hash").alias("__old"), F.lit(True).alias("__known"))
+    status = found.join(known, "file_path", "left")
     same = F.lit(False) if force else F.coalesce(F.col("__old").eqNullSafe(F.col("content_hash")) & F.col("__known"), F.lit(False))
     status = status.withColumn("status", F.when(F.col("error").isNotNull(), "failed").when(same, "unchanged").otherwise("changed"))
     changed = status.where("status = 'changed'").withColumn("project_id", F.lit(pid)).withColumn("file_id", _id("project_id", "file_path"))
     parsed = changed.select("file_id", "project_id", "file_path", "content", "content_hash", "mod_time", "size_bytes").join(go_files.parse(changed), "file_path").cache()
+    gone = whole["files"].select("file_path", "id").join(found.select("file_path"), "file_path", "left_anti").select("id") if prune else whole["files"].select("id").limit(0)
+
+    # buckets: those of files that changed or went, or all of them where their number grows
+    total = whole["files"].select("file_path").unionByName(found.select("file_path")).distinct().count()
+    buckets = stored.buckets if stored.files and total <= 4 * store.bucket_files * stored.buckets else max(1, -(-total // store.bucket_files))
+    touched_files = parsed.select(F.col("file_id").alias("id")).unionByName(gone)
+    touched = [r[0] for r in _bucketed(touched_files, "id", buckets).select("bucket").distinct().collect()]
+    old = whole if buckets != stored.buckets else store.read(snapshot=seen, project=pid, buckets=touched)
 
     files = parsed.select(F.col("file_id").alias("id"), "project_id", "file_path", F.col("package").alias("package_name"), "content_hash", "mod_time", "size_bytes", F.when(F.size("errors") > 0, F.element_at("errors", 1)).alias("parse_error"), now.alias("last_indexed_at"), now.alias("created_at"), now.alias("updated_at"))
     symbols = chunking.symbols(parsed).withColumn("id", _id("file_id", "name", "start_line", "start_col")).withColumn("created_at", now)
     symbols = T.last_writer(symbols, ["file_id", "name", "start_line", "start_col"], "seq").drop("seq")
     chunks = chunking.chunks(parsed).withColumn("id", _id("file_id", "start_line", "end_line"))
     chunks = chunks.withColumn("symbol_id", F.when(F.col("of").isNotNull(), _id("file_id", "of.name", "of.start_line", "of.start_col"))).withColumns({"created_at": now, "updated_at": now}).drop("of").cache()
-    vectors = embedding.embed(chunks.select(F.col("id").alias("chunk_id"), "content"), provider)
-    vectors = vectors.withColumns({"id": _id("chunk_id"), "created_at": now})
-    kept = chunks.join(vectors.select(F.col("chunk_id").alias("id")), "id", "left_semi")  # a chunk without a vector goes
     imports = parsed.select("file_id", F.posexplode("imports").alias("seq", "i")).select(_id("file_id", "seq").alias("id"), "file_id", F.col("i.path").alias("import_path"), F.col("i.alias").alias("alias"))
 
-    touched, old_chunks = parsed.select(F.col("file_id").alias("id")), old["chunks"].select("id")
-    if prune:
-        gone = old["files"].where(F.col("project_id") == pid).join(found.select("file_path"), "file_path", "left_anti").select("id")
-        old = T.cascade(old, "files", gone)
-    base = {t: df for t, df in T.cascade({t: old[t] for t in ("files", "symbols", "chunks", "embeddings", "imports")}, "files", touched).items()}
-    base["files"] = old["files"]  # file rows are merged, so that they keep id and created_at
-    new = {"files": files, "symbols": symbols, "chunks": kept, "embeddings": vectors, "imports": imports}
-    fit = lambda t, df: df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.TABLES[t]])
-    out = {t: base[t].unionByName(fit(t, new[t])) for t in ("symbols", "chunks", "embeddings", "imports")}
-    out["files"] = T.merge(base["files"], fit("files", new["files"]), schema.KEYS["files"], keep=["id", "created_at"])
-
-    # the keyword index follows its chunks: postings of rows that went go, only new texts are tokenized
-    gone = old_chunks.join(base["chunks"].select("id"), "id", "left_anti").select(F.col("id").alias("chunk_id"))
-    out |= postings.update({t: old[t] for t in postings.TABLES}, fit("chunks", kept).withColumnRenamed("id", "chunk_id"), list(schema.INDEXED), gone)
+    # a text is embedded once: vectors are written before anything reads them, so that all tables see the same ones
+    draft = f"{store.base}/drafts/{uuid.uuid4().hex}"
+    embedding.embed(chunks.select(F.col("id").alias("chunk_id"), "content"), provider).write.parquet(draft)
+    vectors = spark.read.parquet(draft).withColumns({"id": _id("chunk_id"), "created_at": now})
+    kept = chunks.join(vectors.select(F.col("chunk_id").alias("id")), "id", "left_semi")  # a chunk without a vector goes
 
-    total = out["files"].where(F.col("project_id") == pid).select(F.col("id").alias("file_id"))
-    counts = total.agg(F.count("*").alias("total_files")).crossJoin(out["chunks"].join(total, "file_id", "left_semi").agg(F.count("*").alias("total_chunks")))
+    base = T.cascade({t: old[t] for t in ("files", "symbols", "chunks", "embeddings", "imports")}, "files", touched_files)
+    base["files"] = T.delete(old["files"], gone, "id")  # file rows are merged, so that they keep id and created_at
+    fit = lambda t, df: df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.TABLES[t]])
+    out = {t: base[t].unionByName(fit(t, df)) for t, df in (("symbols", symbols), ("chunks", kept), ("embeddings", vectors), ("imports", imports))}
+    out["files"] = T.merge(base["files"], fit("files", files), schema.KEYS["files"], keep=["id", "created_at"])
+
+    changes = Project(buckets, {} if buckets != stored.buckets else {t: {b: f for b, f in by.items() if int(b) not in touched} for t, by in stored.files.items()})
+    place = {"files": "id", "symbols": "file_id", "chunks": "file_id", "imports": "file_id"}
+    for t, column in place.items():
+        changes.files.setdefault(t, {}).update(store.write(t, _bucketed(out[t], column, buckets), pid))
+    written = store.table("chunks", [changes], touched if buckets == stored.buckets else None)
+    owner = written.select(F.col("id").alias("chunk_id"), "file_id")
+    changes.files.setdefault("embeddings", {}).update(store.write("embeddings", _bucketed(out["embeddings"].join(owner, "chunk_id"), "file_id", buckets), pid))
+
+    # the keyword indexes follow: rows of files that changed or went are taken out by their old texts, new ones are tokenized
+    words = {}
+    for name, table, new in (("chunk_words", "chunks", kept), ("symbol_words", "symbols", symbols)):
+        ids = lambda df: df.withColumnRenamed("id", "chunk_id")
+        before = old[table].join(touched_files.withColumnRenamed("id", "file_id"), "file_id", "left_semi")
+        words[name] = store.index(seen, name).replace(ids(before), ids(fit(table, new)), list(WORDS[name]))
+
+    listed = store.table("files", [changes]).agg(F.count("*").alias("total_files")).crossJoin(store.table("chunks", [changes]).agg(F.count("*").alias("total_chunks")))
     mod = Path(root) / "go.mod"
     lines = mod.read_text().splitlines() if mod.is_file() else []
     module = go_files.go_mod(spark.createDataFrame(list(enumerate(lines)), "line_no int, value string"))
-    row = counts.crossJoin(module).withColumns({"id": F.lit(pid), "root_path": F.lit(root), "index_version": F.lit(schema.VERSION), "last_indexed_at": now, "created_at": now, "updated_at": now})
-    out["projects"] = T.merge(old["projects"], fit("projects", row), schema.KEYS["projects"], keep=["id", "created_at"])
+    row = listed.crossJoin(module).withColumns({"id": F.lit(pid), "root_path": F.lit(root), "index_version": F.lit(schema.VERSION), "last_indexed_at": now, "created_at": now, "updated_at": now})
+    row = T.merge(whole["projects"], fit("projects", row), schema.KEYS["projects"], keep=["id", "created_at"])
+    changes.files["projects"] = store.write("projects", row.withColumn("bucket", F.lit(0)), pid)
 
     by = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
     problems = [r[0] for r in status.where("error is not null").select(F.concat_ws(": ", "file_path", "error")).limit(100).collect()]
     stats = Statistics(by.get("changed", 0), by.get("unchanged", 0), by.get("failed", 0), symbols.count(), chunks.count(), vectors.count(), problems)
-    store.commit(out)
+    store.commit(seen, pid, changes, words)
+    store.tidy()
+    store.fs.delete(store.jpath(draft), True)
     for df in (found, parsed, chunks):
         df.unpersist()
     return stats

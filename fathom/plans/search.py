@@ -18,16 +18,12 @@ from fathom.operators import filters as filtering
 from fathom.operators import search as S
 from fathom.operators.embedding import Provider, retry
 from fathom.operators.filters import SearchFilters
+from fathom.plans.results import StoredResults
 from fathom.schema import MODES
 
 MAX_LIMIT, DEFAULT_LIMIT, TTL, ENTRIES = 100, 10, 3600.0, 1000
 
 
-def request_key(query: Column, mode: Column, project: Column, filters: list[Column], limit: int, k: int) -> Column:
-    """Hash of all that decides a result, limit and fusion constant included."""
-    return F.sha2(F.concat_ws("|", query, mode, project, *filters, F.lit(str(limit)), F.lit(str(k))), 256)
-
-
 @dataclass
 class SearchRequest:
     query: str
@@ -58,6 +54,16 @@ class SearchRequest:
         return hashlib.sha256("|".join([*parts, str(self.limit), str(self.rrf_k), *["strict"] * self.strict]).encode()).hexdigest()
 
 
+def keys_of(query: Column, mode: Column, project: Column, filters: Column) -> Column:
+    """SearchRequest.key() of rows; filters is a struct with fields of SearchFilters, or null."""
+
+    @F.udf("string")
+    def key(query: str, mode: str, project: int, filters: Row | None) -> str:
+        return SearchRequest(query, project, mode=mode, filters=SearchFilters(**filters.asDict()) if filters else None).key()
+
+    return key(query, mode, project, filters)
+
+
 @dataclass
 class SearchResponse:
     results: list[Row]
@@ -105,13 +111,13 @@ class ResultCache:
 
 
 class Searcher:
-    """Searches an index given as tables: chunks, files, embeddings, symbols and the keyword index.
+    """Searches an index given as tables: chunks, files, embeddings, symbols, and the keyword indexes chunk_words and symbol_words.
 
     provider embeds queries; it must be the one that the vectors come from. Without one that is the local expression.
     """
 
-    def __init__(self, tables: dict[str, DataFrame], cache: ResultCache | None = None, provider: Provider | None = None):
-        self.tables, self.cache, self.provider = tables, cache or ResultCache(), provider
+    def __init__(self, tables: dict[str, DataFrame], cache: ResultCache | None = None, provider: Provider | None = None, stored: StoredResults | None = None, version: int = 0):
+        self.tables, self.cache, self.provider, self.stored, self.version = tables, cache or ResultCache(), provider, stored, version
 
     def _candidates(self, request: SearchRequest) -> DataFrame:
         t = self.tables
@@ -130,16 +136,15 @@ class Searcher:
         terms = T.query_terms(request.query, request.strict)
         if not terms:
             raise ValueError("the query has no term")
-        return S.indexed_search(self.tables, terms, limit, self._candidates(request), request.filters.min_relevance if request.filters else 0.0)
+        return S.indexed_search(self.tables["chunk_words"], terms, limit, self._candidates(request), request.filters.min_relevance if request.filters else 0.0)
 
     def symbols(self, query: str, project_id: int, limit: int = DEFAULT_LIMIT) -> DataFrame:
-        """(symbol columns, bm25): symbols of a project by name, signature and comment, best first."""
+        """(symbol columns, bm25): symbols of a project by name, signature and comment, best first. Only the symbols found are read whole."""
         t = self.tables
         files = t["files"].where(F.col("project_id") == project_id).select(F.col("id").alias("file_id"))
-        rows = t["symbols"].withColumnRenamed("id", "chunk_id")
-        keep = lambda df: df.join(files, "file_id", "left_semi")
-        found = S.keyword_scores(rows, ["name", "signature", "doc_comment"], T.query_terms(query), keep)
-        return S.top(found, F.col("bm25").asc(), limit).withColumnRenamed("chunk_id", "id")
+        own = t["symbols"].select(F.col("id").alias("chunk_id"), "file_id").join(files, "file_id", "left_semi")
+        best = S.indexed_search(t["symbol_words"], T.query_terms(query), limit, own).select(F.col("chunk_id").alias("id"), "bm25")
+        return F.broadcast(best).join(t["symbols"], "id").orderBy("bm25", "id")  # at most `limit` rows
 
     def plan(self, request: SearchRequest) -> DataFrame:
         """One plan: hits (chunk_id, score, rank) joined with chunk, file and symbol."""
@@ -169,10 +174,17 @@ class Searcher:
         return S.hydrate(hits, chunks, files, symbols).orderBy("rank")
 
     def search(self, request: SearchRequest) -> SearchResponse:
-        began = time.monotonic()
-        if request.use_cache and (rows := self.cache.get(request.key())) is not None:
-            return SearchResponse(rows, request.mode, True, time.monotonic() - began)
+        """The rows of a request: with use_cache from this process's results, then from those stored for the snapshot by any process."""
+        began, key = time.monotonic(), request.key()
+        if request.use_cache:
+            rows = self.cache.get(key)
+            if rows is None and self.stored and (rows := self.stored.get(self.version, key)) is not None:
+                self.cache.put(key, rows, request.ttl)
+            if rows is not None:
+                return SearchResponse(rows, request.mode, True, time.monotonic() - began)
         rows = self.plan(request).collect()  # at most 100
         if request.use_cache:
-            self.cache.put(request.key(), rows, request.ttl)
+            self.cache.put(key, rows, request.ttl)
+            if self.stored:
+                self.stored.put(self.version, key, request.query, request.mode, rows, request.ttl)
         return SearchResponse(rows, request.mode, False, time.monotonic() - began)

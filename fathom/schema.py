@@ -20,9 +20,6 @@ _DDL = {
     "chunks": "id long, file_id long, symbol_id long, content string, content_hash binary, token_count int, start_line int, end_line int, context_before string, context_after string, chunk_type string, created_at timestamp, updated_at timestamp",
     "embeddings": "id long, chunk_id long, vector array<float>, dimension int, provider string, model string, created_at timestamp",
     "imports": "id long, file_id long, import_path string, alias string",
-    "postings": "term string, chunk_id long, col int, positions array<int>, dl int",
-    "lengths": "chunk_id long, dl int",
-    "corpus": "rows long, tokens long",
 }
 _TYPES = {"array<int>": ArrayType(IntegerType()), "long": LongType(), "int": IntegerType(), "string": StringType(), "binary": BinaryType(), "boolean": BooleanType(), "timestamp": TimestampType(), "array<float>": ArrayType(FloatType())}
 TABLES = {name: StructType([StructField(c, _TYPES[t]) for c, t in (x.split(" ") for x in ddl.split(", "))]) for name, ddl in _DDL.items()}

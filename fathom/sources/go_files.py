@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
-from datetime import datetime, timezone
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.sources.go_parser import parse_go
+from fathom.sources.trees import read_tree
 
 _READ = "file_path string, full_path string, size_bytes long, mod_time timestamp, content_hash binary, content binary, error string"
 _SYMBOL = "name string, kind string, signature string, doc_comment string, receiver string, start_line int, start_col int, end_line int, end_col int"
@@ -54,24 +52,7 @@ def discover(spark: SparkSession, root: str, tests: bool = True, vendor: bool =
 
     A file that cannot be read has an error and nothing else. An empty tree gives no rows.
     """
-    root = str(root)
-    paths = list_files(root, tests, vendor)
-
-    def read(batches):
-        for batch in batches:
-            rows = []
-            for p in batch["full_path"]:
-                try:
-                    data, st = Path(p).read_bytes(), os.stat(p)
-                    rows.append((os.path.relpath(p, root), p, st.st_size, datetime.fromtimestamp(st.st_mtime, timezone.utc).replace(tzinfo=None), hashlib.sha256(data).digest(), data, None))
-                except OSError as e:
-                    rows.append((os.path.relpath(p, root), p, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["file_path", "full_path", "size_bytes", "mod_time", "content_hash", "content", "error"])
-
-    listed = spark.createDataFrame([(p,) for p in paths], "full_path string")
-    if paths:
-        listed = listed.repartition(min(len(paths), spark.sparkContext.defaultParallelism))
-    return listed.mapInPandas(read, _READ)
+    return read_tree(spark, str(root), tests=tests, vendor=vendor).select(*[c.split(" ")[0] for c in _READ.split(", ")])
 
 
 def parse(files: DataFrame) -> DataFrame:
