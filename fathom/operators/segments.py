@@ -127,7 +127,8 @@ class Index:
 
     def tables(self) -> dict[str, DataFrame]:
         """postings, lengths and corpus as operators.postings takes them."""
-        return {"postings": self.live("postings"), "lengths": self.live("lengths"), "corpus": self.corpus}
+        live = {t: self.live(t).select(*[c.split(" ")[0] for c in P.TABLES[t].split(", ")]) for t in ("postings", "lengths")}
+        return live | {"corpus": self.corpus}
 
     # writing
 

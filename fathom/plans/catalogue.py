@@ -563,7 +563,7 @@ def kind_to_chunk_type(spark, sf_dir):
     return A.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), kind.alias("kind")).select("id", "kind", code.chunk_type(F.col("kind")).alias("chunk_type"))
 
 
-@query(f"SELECT name, CASE WHEN regexp_matches(name, '^\\p{{Lu}}') THEN 'exported' ELSE 'unexported' END AS scope FROM ({NAMED})")
+@query(f"SELECT id, name, CASE WHEN regexp_matches(name, '^\\p{{Lu}}') THEN 'exported' ELSE 'unexported' END AS scope FROM ({NAMED})")
 def scope_exported(spark, sf_dir):
     return _names(spark, sf_dir).select("id", "name", code.scope(F.col("name")).alias("scope"))
 

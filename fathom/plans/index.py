@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -99,19 +100,26 @@ def _index(spark, store, root, pid, force, tests, vendor, prune, provider) -> St
     out["files"] = T.merge(base["files"], fit("files", files), schema.KEYS["files"], keep=["id", "created_at"])
 
     changes = Project(buckets, {} if buckets != stored.buckets else {t: {b: f for b, f in by.items() if int(b) not in touched} for t, by in stored.files.items()})
-    place = {"files": "id", "symbols": "file_id", "chunks": "file_id", "imports": "file_id"}
-    for t, column in place.items():
-        changes.files.setdefault(t, {}).update(store.write(t, _bucketed(out[t], column, buckets), pid))
-    written = store.table("chunks", [changes], touched if buckets == stored.buckets else None)
-    owner = written.select(F.col("id").alias("chunk_id"), "file_id")
-    changes.files.setdefault("embeddings", {}).update(store.write("embeddings", _bucketed(out["embeddings"].join(owner, "chunk_id"), "file_id", buckets), pid))
-
-    # the keyword indexes follow: rows of files that changed or went are taken out by their old texts, new ones are tokenized
-    words = {}
-    for name, table, new in (("chunk_words", "chunks", kept), ("symbol_words", "symbols", symbols)):
-        ids = lambda df: df.withColumnRenamed("id", "chunk_id")
-        before = old[table].join(touched_files.withColumnRenamed("id", "file_id"), "file_id", "left_semi")
-        words[name] = store.index(seen, name).replace(ids(before), ids(fit(table, new)), list(WORDS[name]))
+    # writes that do not need each other run side by side
+    with ThreadPoolExecutor(6) as pool:
+        place = {"files": "id", "symbols": "file_id", "chunks": "file_id", "imports": "file_id"}
+        writes = {t: pool.submit(store.write, t, _bucketed(out[t], column, buckets), pid) for t, column in place.items()}
+        # the keyword indexes follow: rows of files that changed or went are taken out by their old texts, new ones are tokenized
+        words = {}
+        for name, table, new in (("chunk_words", "chunks", kept), ("symbol_words", "symbols", symbols)):
+            before = old[table].join(touched_files.withColumnRenamed("id", "file_id"), "file_id", "left_semi")
+            rows = [df.withColumnRenamed("id", "chunk_id") for df in (before, fit(table, new))]
+            words[name] = pool.submit(store.index(seen, name).replace, *rows, list(WORDS[name]))
+        changes.files.setdefault("chunks", {}).update(writes["chunks"].result())
+        owner = store.table("chunks", [changes], touched if buckets == stored.buckets else None).select(F.col("id").alias("chunk_id"), "file_id")
+        writes["embeddings"] = pool.submit(store.write, "embeddings", _bucketed(out["embeddings"].join(owner, "chunk_id"), "file_id", buckets), pid)
+        counted = [pool.submit(df.count) for df in (symbols, chunks, vectors)]
+        by = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
+        problems = [r[0] for r in status.where("error is not null").select(F.concat_ws(": ", "file_path", "error")).limit(100).collect()]
+        for t, written in writes.items():
+            changes.files.setdefault(t, {}).update(written.result())
+        words = {name: w.result() for name, w in words.items()}
+        stats = Statistics(by.get("changed", 0), by.get("unchanged", 0), by.get("failed", 0), *[n.result() for n in counted], problems)
 
     listed = store.table("files", [changes]).agg(F.count("*").alias("total_files")).crossJoin(store.table("chunks", [changes]).agg(F.count("*").alias("total_chunks")))
     mod = Path(root) / "go.mod"
@@ -121,9 +129,6 @@ def _index(spark, store, root, pid, force, tests, vendor, prune, provider) -> St
     row = T.merge(whole["projects"], fit("projects", row), schema.KEYS["projects"], keep=["id", "created_at"])
     changes.files["projects"] = store.write("projects", row.withColumn("bucket", F.lit(0)), pid)
 
-    by = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
-    problems = [r[0] for r in status.where("error is not null").select(F.concat_ws(": ", "file_path", "error")).limit(100).collect()]
-    stats = Statistics(by.get("changed", 0), by.get("unchanged", 0), by.get("failed", 0), symbols.count(), chunks.count(), vectors.count(), problems)
     store.commit(seen, pid, changes, words)
     store.tidy()
     store.fs.delete(store.jpath(draft), True)

@@ -58,7 +58,7 @@ def keys_of(query: Column, mode: Column, project: Column, filters: Column) -> Co
     """SearchRequest.key() of rows; filters is a struct with fields of SearchFilters, or null."""
 
     @F.udf("string")
-    def key(query: str, mode: str, project: int, filters: Row | None) -> str:
+    def key(query, mode, project, filters):
         return SearchRequest(query, project, mode=mode, filters=SearchFilters(**filters.asDict()) if filters else None).key()
 
     return key(query, mode, project, filters)
