@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.schema import parse_version, pending
@@ -29,6 +29,14 @@ def latest(log: DataFrame) -> DataFrame:
     return log.agg(F.max_by("version", F.struct("applied_at", "version")).alias("version"))
 
 
+def pending_versions(versions: DataFrame, current: str) -> DataFrame:
+    """(version, place) of versions above the current one, place from 1 in the order in which they are to be applied; numbers that are missing are 0."""
+    number = lambda k: F.coalesce(F.try_element_at(F.split(F.ltrim(F.trim("version"), F.lit("v")), r"\."), F.lit(k)).cast("int"), F.lit(0))
+    numbers = F.array(number(1), number(2), number(3))
+    over = versions.select("version").where(numbers > F.array(*map(F.lit, parse_version(current))))
+    return over.withColumn("place", F.row_number().over(Window.orderBy(numbers, "version")).cast("long"))  # a list of versions is short
+
+
 def apply(tables: Tables, log: DataFrame, known: list[Migration]) -> tuple[Tables, DataFrame]:
     """tables and log after all known migrations above the latest version, lowest first."""
     current = latest(log).first()[0] or "0.0.0"

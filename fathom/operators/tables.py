@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.schema import PARENTS
@@ -50,14 +50,26 @@ def cascade(tables: dict[str, DataFrame], table: str, ids: DataFrame) -> dict[st
     return out
 
 
-def changes(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, status) of both snapshots: new, changed, unchanged or deleted, by the hash of their content."""
+def status_of(known: Column, old_hash: Column, is_there: Column, new_hash: Column, error: Column | None = None) -> Column:
+    """What became of a file: failed if it could not be read, else new, deleted, unchanged or changed by the hashes of its contents."""
+    failed = F.lit(False) if error is None else error.isNotNull()
+    known, is_there = (F.coalesce(c, F.lit(False)) for c in (known, is_there))
+    return F.when(failed, "failed").when(~known, "new").when(~is_there, "deleted").when(old_hash.eqNullSafe(new_hash), "unchanged").otherwise("changed")
+
+
+def changes(old: DataFrame, new: DataFrame, key: str, content: str, error: str | None = None) -> DataFrame:
+    """(key, status) of both snapshots: new, changed, unchanged or deleted, by the hash of their content; failed where new has an error."""
     o = old.select(key, F.sha2(F.col(content), 256).alias("__o"), F.lit(True).alias("__was"))
-    n = new.select(key, F.sha2(F.col(content), 256).alias("__n"), F.lit(True).alias("__is"))
-    status = F.when(F.col("__was").isNull(), "new").when(F.col("__is").isNull(), "deleted").when(F.col("__o").eqNullSafe(F.col("__n")), "unchanged").otherwise("changed")
+    n = new.select(key, F.sha2(F.col(content), 256).alias("__n"), F.lit(True).alias("__is"), (F.col(error) if error else F.lit(None)).alias("__error"))
+    status = status_of(F.col("__was"), F.col("__o"), F.col("__is"), F.col("__n"), F.col("__error"))
     return o.join(n, key, "full_outer").select(key, status.alias("status"))
 
 
+def insert(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old with new appended, columns by name and in the types of old; what is there twice stands there twice."""
+    return old.unionByName(new.select(*[F.col(c).cast(t).alias(c) for c, t in old.dtypes]))
+
+
 def without(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """rows that have no counterpart, as chunks without an embedding."""
     return rows.join(others.select(key), key, "left_anti")

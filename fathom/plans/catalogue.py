@@ -308,14 +308,15 @@ def symbol_search_bm25(spark, sf_dir):
 
 @query(f"SELECT doc_id AS file_id, {PATH} AS file_path, sha256(text) AS content_hash, strlen(text)::BIGINT AS size_bytes FROM documents WHERE source = 'src0' ORDER BY file_path")
 def list_files_ordered(spark, sf_dir):
-    f = A.files(spark, sf_dir).where(F.col("project") == "src0")
-    return f.select("file_id", "file_path", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes")).orderBy("file_path")
+    f = A.files(spark, sf_dir).select("project", "file_id", "file_path", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"))
+    return T.listing(f, "project", "src0", "file_path").drop("project")
 
 
 @query(f"SELECT doc_id AS file_id, {PATH} AS file_path FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id = 7)")
 def point_lookup_hash(spark, sf_dir):
-    f = A.files(spark, sf_dir).withColumn("h", F.sha2("text", 256))
-    return f.join(F.broadcast(f.where("file_id = 7").select("h").limit(1)), "h", "left_semi").select("file_id", "file_path")
+    f = A.files(spark, sf_dir).withColumn("content_hash", F.sha2("text", 256))
+    wanted = T.rows_where(f, file_id=7).first()["content_hash"]
+    return T.rows_where(f, content_hash=wanted).select("file_id", "file_path")
 
 
 STATUS_SQL = """WITH f AS (SELECT source AS project, count(*) AS files FROM documents GROUP BY 1),
@@ -391,8 +392,8 @@ def upsert_embeddings(spark, sf_dir):
 @query("SELECT (SELECT count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS deleted, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS remaining")
 def delete_batch_count(spark, sf_dir):
     chunks, ids = A.whole_chunks(spark, sf_dir).select("chunk_id"), A.symbols(spark, sf_dir).where("toxic = 1").select(F.col("id").alias("chunk_id"))
-    total = chunks.agg(F.count("*").alias("total"))
-    return T.delete(chunks, ids, "chunk_id").agg(F.count("*").alias("remaining")).crossJoin(total).select((F.col("total") - F.col("remaining")).alias("deleted"), "remaining")
+    left, deleted = T.delete_where_in(chunks, "chunk_id", ids)
+    return left.agg(F.lit(deleted).cast("long").alias("deleted"), F.count("*").alias("remaining"))
 
 
 @query("""WITH gone AS (SELECT doc_id FROM documents WHERE source = 'src0') SELECT 'files' AS table_name, (SELECT count(*) FROM documents WHERE doc_id NOT IN (FROM gone)) AS remaining
@@ -424,9 +425,12 @@ def incremental_diff(spark, sf_dir):
     return T.changes(*_snapshots(spark, sf_dir), "file_path", "content")
 
 
-@query(f"{SNAPSHOTS}, d AS (SELECT {STATUS} AS status FROM old FULL JOIN new ON old.file_path = new.file_path) SELECT count(*) FILTER (status IN ('new', 'changed')) AS files_indexed, count(*) FILTER (status = 'unchanged') AS files_skipped, count(*) FILTER (status = 'deleted') AS files_deleted, 0::BIGINT AS files_failed FROM d")
+@query(f"""{SNAPSHOTS}, d AS (SELECT CASE WHEN length(new.content) > 9000 THEN 'failed' ELSE {STATUS} END AS status FROM old FULL JOIN new ON old.file_path = new.file_path)
+    SELECT count(*) FILTER (status IN ('new', 'changed')) AS files_indexed, count(*) FILTER (status = 'unchanged') AS files_skipped, count(*) FILTER (status = 'deleted') AS files_deleted, count(*) FILTER (status = 'failed') AS files_failed FROM d""")
 def index_statistics(spark, sf_dir):
-    d = T.changes(*_snapshots(spark, sf_dir), "file_path", "content")
+    """Files over 9,000 characters stand for files that could not be read."""
+    old, new = _snapshots(spark, sf_dir)
+    d = T.changes(old, new.withColumn("error", F.when(F.length("content") > 9000, "too large")), "file_path", "content", "error")
     n = lambda *s: F.count_if(F.col("status").isin(*s))
     return d.agg(n("new", "changed").alias("files_indexed"), n("unchanged").alias("files_skipped"), n("deleted").alias("files_deleted"), n("failed").alias("files_failed"))
 
@@ -630,7 +634,7 @@ def get_file_by_path(spark, sf_dir):
 @query("SELECT doc_id AS id, quality, toxic FROM labels WHERE doc_id = (SELECT min(doc_id) FROM labels)")
 def get_symbol(spark, sf_dir):
     s = A.symbols(spark, sf_dir)
-    return s.join(s.agg(F.min("id").alias("id")), "id", "left_semi")
+    return T.rows_where(s, id=s.agg(F.min("id")).first()[0])
 
 
 @query("SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS start_line, md5(unnest(string_split(text, chr(10)))) AS content FROM documents WHERE doc_id = 7")
@@ -670,22 +674,26 @@ def imports_explode(spark, sf_dir):
     return pages.select(F.col("page_id").alias("file_id"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("import_path"))
 
 
-MIGRATIONS = ["1.0.0", "1.0.1", "1.0.10", "1.1.0", "0.9.9", "2.0.0"]
+VERSIONS = "SELECT DISTINCT p_size % 3 || '.' || p_partkey % 12 || '.' || p_partkey % 7 AS version FROM part"
 
 
-@query("SELECT version FROM (VALUES " + ", ".join(f"('{v}')" for v in MIGRATIONS) + ") t(version) WHERE list_transform(string_split(version, '.'), lambda x: x::INT) > [1, 0, 1]")
+@query(f"SELECT version, row_number() OVER (ORDER BY list_transform(string_split(version, '.'), lambda x: x::INT)) AS place FROM ({VERSIONS}) WHERE list_transform(string_split(version, '.'), lambda x: x::INT) > [1, 0, 1]")
 def semver_pending_migrations(spark, sf_dir):
-    return spark.createDataFrame([(v,) for v in schema.pending("1.0.1", MIGRATIONS)], "version string")
-
+    """Versions made of parts that are over 1.0.1, in the order in which they are to be applied."""
+    number = lambda c: c.cast("string")
+    versions = A.read(spark, sf_dir, "part").select(F.concat_ws(".", number(F.col("p_size") % 3), number(F.col("p_partkey") % 12), number(F.col("p_partkey") % 7)).alias("version")).distinct()
+    return migrations.pending_versions(versions, "1.0.1")
 
-GO_MOD = ["module example.com/shop", "", "go 1.21", "require (", "\tx.y/z v1.0.0", ")", "  go 1.25.4", "// module none"]
 
-
-@query("SELECT 'example.com/shop' AS module_name, '1.25.4' AS go_version")
+@query(r"""WITH l AS (SELECT p_partkey AS n, CASE p_partkey % 7 WHEN 0 THEN 'module ex.com/' || p_name WHEN 3 THEN '  go 1.' || p_size WHEN 5 THEN '// module none' WHEN 6 THEN 'gopher ' || p_name ELSE chr(9) || p_name || ' v1' END AS v FROM part)
+    SELECT (SELECT trim(v[8:]) FROM l WHERE v LIKE 'module %' ORDER BY n DESC LIMIT 1) AS module_name, (SELECT trim(v[6:]) FROM l WHERE v LIKE '  go %' ORDER BY n DESC LIMIT 1) AS go_version""")
 def go_mod_parse(spark, sf_dir):
+    """A module file with a line for each part: the last line of each kind counts."""
     from fathom.sources.go_files import go_mod
 
-    return go_mod(spark.createDataFrame(list(enumerate(GO_MOD)), "line_no int, value string"))
+    k = F.col("p_partkey") % 7
+    line = F.when(k == 0, F.concat(F.lit("module ex.com/"), "p_name")).when(k == 3, F.concat(F.lit("  go 1."), F.col("p_size").cast("string"))).when(k == 5, "// module none").when(k == 6, F.concat(F.lit("gopher "), "p_name")).otherwise(F.concat(F.lit("\t"), "p_name", F.lit(" v1")))
+    return go_mod(A.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_no"), line.alias("value")))
 
 
 @query()
@@ -694,20 +702,27 @@ def vector_codec_roundtrip(spark, sf_dir):
     return v.select("chunk_id", (F.col("vector") == F.col("back")).alias("same"))
 
 
-@query()
+_TEXT = """WITH s AS (SELECT 'n' || s_nationkey || '/n' || s_nationkey || '.go' AS file_path, s_suppkey AS k, s_nationkey AS n, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INTEGER * 6 AS off FROM supplier),
+    f AS (SELECT file_path, 'package n' || n || chr(10) || chr(10) || string_agg(format('type S{0}Repository struct {{' || chr(10) || chr(9) || 'bal{0} float64' || chr(10) || '}}' || chr(10) || chr(10) || 'func (s *S{0}Repository) Find{0}(id int) error {{ return nil }}' || chr(10) || chr(10), k), '' ORDER BY k) AS text FROM s GROUP BY file_path, n)"""
+
+
+@query(f"""{_TEXT} SELECT file_path, 'S' || k || 'Repository' AS name, 'struct' AS kind, 'type S' || k || 'Repository struct {{ ... }} // 1 fields' AS signature, '' AS receiver, 3 + off AS start_line, 5 + off AS end_line FROM s
+    UNION ALL SELECT file_path, 'bal' || k, 'field', 'bal' || k || ' float64', 'S' || k || 'Repository', 4 + off, 4 + off FROM s
+    UNION ALL SELECT file_path, 'Find' || k, 'method', 'func (*S' || k || 'Repository) Find' || k || '(id int) error', 'S' || k || 'Repository', 7 + off, 7 + off FROM s""")
 def go_symbols(spark, sf_dir):
-    from fathom.plans.index import FIXTURES
+    """Declarations of a source tree made of suppliers, read and parsed by executors."""
     from fathom.sources.go_files import discover, parse
 
-    return parse(discover(spark, FIXTURES)).select("file_path", F.explode("symbols").alias("s")).select("file_path", "s.*")
+    found = parse(discover(spark, A.supplier_tree(spark, sf_dir)))
+    return found.select("file_path", F.explode("symbols").alias("s")).select("file_path", "s.name", "s.kind", "s.signature", F.coalesce("s.receiver", F.lit("")).alias("receiver"), "s.start_line", "s.end_line")
 
 
-@query()
+@query(f"{_TEXT} SELECT file_path, strlen(text)::BIGINT AS size_bytes, sha256(text) AS content_hash FROM f")
 def file_discovery(spark, sf_dir):
-    from fathom.plans.index import FIXTURES
+    """Files of that tree with their sizes and hashes."""
     from fathom.sources.go_files import discover
 
-    return discover(spark, FIXTURES).select("file_path", "size_bytes", F.lower(F.hex("content_hash")).alias("content_hash"))
+    return discover(spark, A.supplier_tree(spark, sf_dir)).select("file_path", "size_bytes", F.lower(F.hex("content_hash")).alias("content_hash"))
 
 
 @query("SELECT doc_id AS file_id, lang AS package_name, md5(text) AS content FROM documents WHERE doc_id = 11")
@@ -746,7 +761,7 @@ def delete_imports_by_file(spark, sf_dir):
 def insert_imports(spark, sf_dir):
     """Imports are appended, so what is stored twice stands there twice."""
     links = imports_explode(spark, sf_dir)
-    return links.unionByName(links.where("file_id < 50")).groupBy("file_id", "import_path").agg(F.count("*").alias("copies"))
+    return T.insert(links, links.where("file_id < 50")).groupBy("file_id", "import_path").agg(F.count("*").alias("copies"))
 
 
 @query("""WITH l AS (SELECT doc_id AS file_id, source AS project, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS start_line, unnest(string_split(text, chr(10))) AS content FROM documents),

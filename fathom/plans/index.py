@@ -67,9 +67,9 @@ def _index(spark, store, root, pid, force, tests, vendor, prune, provider) -> St
     found = go_files.discover(spark, root, tests, vendor).cache()
     known = whole["files"].select("file_path", F.col("content_hash").alias("__old"), F.lit(True).alias("__known"))
     status = found.join(known, "file_path", "left")
-    same = F.lit(False) if force else F.coalesce(F.col("__old").eqNullSafe(F.col("content_hash")) & F.col("__known"), F.lit(False))
-    status = status.withColumn("status", F.when(F.col("error").isNotNull(), "failed").when(same, "unchanged").otherwise("changed"))
-    changed = status.where("status = 'changed'").withColumn("project_id", F.lit(pid)).withColumn("file_id", _id("project_id", "file_path"))
+    known_now = F.lit(False) if force else F.col("__known")  # a forced run takes all files for new ones
+    status = status.withColumn("status", T.status_of(known_now, F.col("__old"), F.lit(True), F.col("content_hash"), F.col("error")))
+    changed = status.where("status in ('new', 'changed')").withColumn("project_id", F.lit(pid)).withColumn("file_id", _id("project_id", "file_path"))
     parsed = changed.select("file_id", "project_id", "file_path", "content", "content_hash", "mod_time", "size_bytes").join(go_files.parse(changed), "file_path").cache()
     gone = whole["files"].select("file_path", "id").join(found.select("file_path"), "file_path", "left_anti").select("id") if prune else whole["files"].select("id").limit(0)
 
@@ -96,7 +96,7 @@ def _index(spark, store, root, pid, force, tests, vendor, prune, provider) -> St
     base = T.cascade({t: old[t] for t in ("files", "symbols", "chunks", "embeddings", "imports")}, "files", touched_files)
     base["files"] = T.delete(old["files"], gone, "id")  # file rows are merged, so that they keep id and created_at
     fit = lambda t, df: df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.TABLES[t]])
-    out = {t: base[t].unionByName(fit(t, df)) for t, df in (("symbols", symbols), ("chunks", kept), ("embeddings", vectors), ("imports", imports))}
+    out = {t: T.insert(base[t], df) for t, df in (("symbols", symbols), ("chunks", kept), ("embeddings", vectors), ("imports", imports))}
     out["files"] = T.merge(base["files"], fit("files", files), schema.KEYS["files"], keep=["id", "created_at"])
 
     changes = Project(buckets, {} if buckets != stored.buckets else {t: {b: f for b, f in by.items() if int(b) not in touched} for t, by in stored.files.items()})
@@ -119,7 +119,7 @@ def _index(spark, store, root, pid, force, tests, vendor, prune, provider) -> St
         for t, written in writes.items():
             changes.files.setdefault(t, {}).update(written.result())
         words = {name: w.result() for name, w in words.items()}
-        stats = Statistics(by.get("changed", 0), by.get("unchanged", 0), by.get("failed", 0), *[n.result() for n in counted], problems)
+        stats = Statistics(by.get("new", 0) + by.get("changed", 0), by.get("unchanged", 0), by.get("failed", 0), *[n.result() for n in counted], problems)
 
     listed = store.table("files", [changes]).agg(F.count("*").alias("total_files")).crossJoin(store.table("chunks", [changes]).agg(F.count("*").alias("total_chunks")))
     mod = Path(root) / "go.mod"
