@@ -199,23 +199,17 @@ class Index:
 
     # searching
 
-    def having(self, words: list[str]) -> dict[str, int]:
-        """How many rows have each word: sums over blocks, less the deleted rows."""
-        n = self._read("blocks", self.ids).where(F.col("term").isin(*words)).groupBy("term").agg(F.sum("n").alias("n"))
-        if self.rows_deleted:
-            gone = self.deleted.where(F.col("term").isin(*words)).groupBy("term").agg((-F.count("*")).alias("n"))
-            n = n.unionByName(gone).groupBy("term").agg(F.sum("n").alias("n"))
-        found = {r["term"]: r["n"] for r in n.collect()}  # one row for each word of the query
-        return {w: found.get(w, 0) for w in words}
-
-    def bounds(self, words: list[str], weights: list[Column], mean: float) -> DataFrame:
-        """(segment, block, bound): blocks that have all words, with a score that no row of them exceeds."""
+    def deleted_having(self, words: list[str]) -> dict[str, int]:
+        """How many deleted rows have each word."""
+        if not self.rows_deleted:
+            return {}
+        return {r["term"]: r["n"] for r in self.deleted.where(F.col("term").isin(*words)).groupBy("term").agg(F.count("*").alias("n")).collect()}
+
+    def by_block(self, words: list[str]) -> DataFrame:
+        """(segment, block, n0, most0, shortest0, n1, ...) of blocks that have any of the words; null where they lack one."""
         own = self._read("blocks", self.ids).where(F.col("term").isin(*words))
         is_word = lambda w, c: F.max(F.when(F.col("term") == w, F.col(c)))
-        own = own.groupBy("segment", "block").agg(*[is_word(w, c).alias(f"{c}{k}") for k, w in enumerate(words) for c in ("most", "shortest")])
-        own = own.where(reduce(and_, [F.col(f"most{k}").isNotNull() for k in range(len(words))]))
-        best = reduce(add, [T.term_score(weights[k], F.col(f"most{k}"), F.col(f"shortest{k}"), F.lit(mean)) for k in range(len(words))])
-        return own.select("segment", "block", (best + SLACK).alias("bound"))
+        return own.groupBy("segment", "block").agg(*[is_word(w, c).alias(f"{c}{k}") for k, w in enumerate(words) for c in ("n", "most", "shortest")])
 
     def scores(self, words: list[str], weights: list[Column], mean: float, where: Column | None = None, blocks: DataFrame | None = None, digits: int = 9) -> DataFrame:
         """(chunk_id, bm25) of rows that have all words, in some blocks or in all; positions are not read."""
@@ -263,21 +257,32 @@ def plan_top(index: Index, terms: list[str], limit: int, candidates: DataFrame |
     if any(" " in t for t in terms):
         return Plan(P.scores(index.tables(), terms, candidates), None, None)
     rows, tokens = index.manifest.totals()
-    n, mean = index.having(terms), tokens / rows if rows else 1.0
-    weights = [T.idf(F.lit(rows), F.lit(n[t])) for t in terms]
+    mean, count = tokens / rows if rows else 1.0, range(len(terms))
     narrowed = lambda df: df if candidates is None else df.join(candidates.select("chunk_id"), "chunk_id", "left_semi")
-    if not all(n.values()):
+    by_block, gone = index.by_block(terms), index.deleted_having(terms)
+    held = by_block.limit(HELD + 1).collect()
+    if whole := len(held) <= HELD:
+        having = [sum(r[f"n{k}"] or 0 for r in held) for k in count]
+    else:
+        having = by_block.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in count]).first()
+    having = [n - gone.get(t, 0) for n, t in zip(having, terms)]
+    weights = [T.idf(F.lit(rows), F.lit(n)) for n in having]
+    if not all(having):
         return Plan(index.scores(terms, weights, mean, F.lit(False)), 0, 0)
-    bounds = index.bounds(terms, weights, mean)
-    held = bounds.orderBy(F.desc("bound"), "segment", "block").limit(HELD + 1).collect()
-    best: list[Row] = []
-    if len(held) > FIRST_BLOCKS:
+    # the score of a row that has each word as often as any of the block and is as short as its shortest
+    best = reduce(add, [T.term_score(weights[k], F.col(f"most{k}"), F.col(f"shortest{k}"), F.lit(mean)) for k in count]) + SLACK
+    every = reduce(and_, [F.col(f"most{k}").isNotNull() for k in count])
+    bounds = by_block.where(every).select("segment", "block", best.alias("bound"))
+    having_all = len([r for r in held if all(r[f"most{k}"] is not None for k in count)]) if whole else None
+    found: list[Row] = []
+    if limit > 0 and (having_all is None or having_all >= 4 * FIRST_BLOCKS):  # else all of them are read as fast
+        held = bounds.orderBy(F.desc("bound"), "segment", "block").limit(HELD + 1).collect()
         first = narrowed(index.scores(terms, weights, mean, _in_blocks(held[:FIRST_BLOCKS])))
-        best = first.orderBy("bm25", "chunk_id").limit(limit).collect()
-    if len(best) < limit or limit <= 0:  # there is no score to beat
-        return Plan(narrowed(index.scores(terms, weights, mean)), len(held) if len(held) <= HELD else None, len(held) if len(held) <= HELD else None)
-    beat = -best[-1]["bm25"]
+        found = first.orderBy("bm25", "chunk_id").limit(limit).collect()
+    if len(found) < limit or limit <= 0:  # there is no score to beat
+        return Plan(narrowed(index.scores(terms, weights, mean)), having_all, having_all)
+    beat = -found[-1]["bm25"]
     chosen = [r for r in held if r["bound"] >= beat]
     if len(chosen) <= HELD:
-        return Plan(narrowed(index.scores(terms, weights, mean, _in_blocks(chosen))), len(chosen), len(held) if len(held) <= HELD else None)
+        return Plan(narrowed(index.scores(terms, weights, mean, _in_blocks(chosen))), len(chosen), having_all)
     return Plan(narrowed(index.scores(terms, weights, mean, blocks=bounds.where(F.col("bound") >= beat))), None, None)
