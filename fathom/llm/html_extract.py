@@ -331,10 +331,14 @@ def _examples(batches):
 def train(pages: DataFrame, pages_at_most: int = TRAIN_PAGES, blocks_at_most: int = TRAIN_BLOCKS) -> np.ndarray:
     """Weights of the text model: logistic regression, drawn towards PRIOR, on blocks whose elements say what they are.
 
-    The sample is the pages_at_most pages of the least hashes, of whose blocks the blocks_at_most of the least hashes reach the driver.
+    The sample is a page for each of the pages_at_most least hashes, equal pages being one; of their blocks the
+    blocks_at_most of the least hashes reach the driver. Hashes alone are sorted, pages move only if they are chosen.
     """
-    hashed = F.xxhash64("html")
-    sample = pages.select("html").where("html is not null").orderBy(hashed, "html").limit(pages_at_most).repartition(8)
+    hashed = pages.select("html").where("html is not null").withColumn("h", F.xxhash64("html"))
+    most = hashed.select("h").distinct().orderBy("h").limit(pages_at_most).agg(F.max("h")).first()[0]
+    if most is None:
+        return np.round(PRIOR, 6)
+    sample = hashed.where(F.col("h") <= most).groupBy("h").agg(F.min("html").alias("html")).select("html")
     found = sample.mapInArrow(_examples, "x array<double>, y boolean")
     found = found.orderBy(F.xxhash64("x", "y"), "x", "y").limit(blocks_at_most).collect()
     w = PRIOR.copy()
