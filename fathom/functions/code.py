@@ -81,6 +81,19 @@ def lines_between(text: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(lines, start, F.greatest(last - start + 1, F.lit(0))), "\n")
 
 
+def cut_lines(text: Column, spans: Column) -> Column:
+    """spans (array of structs with start_line and end_line) as an array of (s, content), content being the lines of each; the text is split once, however many there are."""
+
+    def cut(lines: Column) -> Column:
+        def one(s: Column) -> Column:
+            last = F.least(s["end_line"], F.size(lines))
+            return F.struct(s.alias("s"), F.array_join(F.slice(lines, s["start_line"], F.greatest(last - s["start_line"] + 1, F.lit(0))), "\n").alias("content"))
+
+        return F.transform(spans, one)
+
+    return F.element_at(F.transform(F.array(F.split(text, "\n", -1)), cut), 1)
+
+
 def full_content(before: Column, content: Column, after: Column) -> Column:
     """The parts that are not empty, with a blank line between."""
     some = lambda c: F.when(c != "", c)

@@ -29,9 +29,10 @@ def chunks(parsed: DataFrame, strategy: str = "function") -> DataFrame:
     usable = F.filter("symbols", lambda s: (s["kind"] != "field") & (s["start_line"] > 0) & (s["end_line"] > 0) & (s["start_line"] <= F.col("lines")))
     files = files.withColumn("__usable", F.array().cast(parsed.schema["symbols"].dataType) if strategy == "package" else usable)
     context = code.package_context(F.col("package"), F.col("imports"))
-    rows = files.where(F.size("__usable") > 0).select("file_id", "__text", context.alias("context_before"), F.posexplode("__usable").alias("seq", "s"))
+    rows = files.where(F.size("__usable") > 0).select("file_id", context.alias("context_before"), F.posexplode(code.cut_lines(F.col("__text"), F.col("__usable"))).alias("seq", "x"))
+    rows = rows.select("file_id", "context_before", "seq", "x.s", "x.content")
     own = rows.select(
-        "file_id", code.lines_between(F.col("__text"), F.col("s.start_line"), F.col("s.end_line")).alias("content"), "context_before",
+        "file_id", "content", "context_before",
         F.col("s.start_line").alias("start_line"), F.col("s.end_line").alias("end_line"), code.chunk_type(F.col("s.kind")).alias("chunk_type"),
         F.struct("s.name", F.col("s.start_line").alias("start_line"), F.col("s.start_col").alias("start_col")).alias("of"), "seq",
     )
