@@ -234,25 +234,27 @@ def pack(cut: DataFrame, window: int = 4096, bin_width: int = 16, rows_per_bucke
 
     Lengths are rounded up to bins of bin_width for planning only; offsets are by true lengths, gapless
     from 0. A piece's rank among those of its bin is its bucket's offset plus its place in the bucket;
-    buckets are seeded hashes, so a bin that holds most pieces is spread over many tasks. Ties (equal
-    doc_id and start) take any of their places. Nothing to pack: no rows.
+    buckets are seeded hashes, so a bin that holds most pieces is spread over many tasks; a column salt,
+    which numbers rows as they were written, spreads pieces that are equal throughout. Ties (equal doc_id,
+    start, checksum and salt) take any of their places. Nothing to pack: no rows.
     """
     spark, bins = cut.sparkSession, -(-window // bin_width)
+    cut = cut if "salt" in cut.columns else cut.withColumn("salt", F.lit(0))
     cut = cut.withColumn("bin", F.ceil(F.col("length") / bin_width).cast("int"))
     counts = {r["bin"]: r["n"] for r in cut.groupBy("bin").agg(F.count("*").alias("n")).collect()}
     slots = _slots(plan(counts, bins))
     buckets = max(1, -(-sum(counts.values()) // rows_per_bucket))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(1)), F.lit(buckets)).cast("int"))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt", F.lit(1)), F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy("bin", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("bin").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("bin", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy("bin", "bucket").orderBy("doc_id", "start"))
+    place = F.row_number().over(Window.partitionBy("bin", "bucket").orderBy("doc_id", "start", "ids_crc32", "salt"))
     ranked = dealt.withColumn("place", place).join(sizes, ["bin", "bucket"]).withColumn("rank", F.col("first") + F.col("place") - 1)
     # as many slots as the plan has, which the number of bins bounds whatever the rows
     table = spark.createDataFrame(slots, "bin int, lo long, hi long, base long, slot int")
     put = ranked.join(F.broadcast(table), "bin").where("rank >= lo and rank < hi").withColumn("sequence_id", F.col("base") + F.col("rank") - F.col("lo"))
     earlier = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return put.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long")).drop("bin", "bucket", "place", "first", "rank", "lo", "hi", "base", "slot")
+    return put.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long")).drop("bin", "bucket", "place", "first", "rank", "lo", "hi", "base", "slot", "salt")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, cut: Callable[..., DataFrame] = pieces) -> DataFrame:
@@ -262,4 +264,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id:
     and empty texts hold the end id alone. Repeated rows are packed as often as they come. Empty table:
     no rows. Other columns are ignored. The tokenizer runs once: pieces are kept in the shared folder.
     """
-    return pack(materialize(cut(docs, tokenizer, window, end_id), "pieces"), window).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    numbered = cut(docs, tokenizer, window, end_id).withColumn("salt", (F.monotonically_increasing_id() % 65536).cast("int"))
+    return pack(materialize(numbered, "pieces"), window).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

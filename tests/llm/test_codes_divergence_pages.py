@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.llm import common, divergence, html_extract, vector_codes
+from fathom.llm import common, divergence, html_extract, packing, queries, vector_codes
 
 VECTORS = "vec_id long, embedding array<float>, label int, code string, part int"
 
@@ -238,3 +238,27 @@ def test_flow_equals_the_least_cut():
             net.join(*edges[-1])
         cuts = [sum(f * (a in s and b not in s) + g * (b in s and a not in s) for a, b, f, g in edges) for r in range(n - 1) for s in ({0, *x} for x in itertools.combinations(range(1, n - 1), r))]
         assert net.flow(0, n - 1)[0] == min(cuts)
+
+
+def test_many_equal_rows_are_packed_in_many_buckets(spark, monkeypatch):
+    rows = [(None, None)] * 3000 + [(7, "the same words in each of these rows " * 20)] * 2000 + [(k, f"row {k}") for k in range(1000, 1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen = []
+
+    def watched(cut, window):
+        seen.append(cut)
+        return plain(cut, window, rows_per_bucket=200)
+
+    plain = packing.pack
+    monkeypatch.setattr(packing, "pack", watched)
+    out = packing.pack_documents(docs, queries.tokenizer()).collect()
+    tokens = [sum(r["length"] for r in out if r["doc_id"] == k) for k in (None, 7)]
+    assert len(out) == 5500 and tokens[0] == 3000 and tokens[1] % 2000 == 0
+    by_sequence = defaultdict(list)
+    for r in out:
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in by_sequence.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 4096
+    buckets = seen[0].groupBy(F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt", F.lit(1)), F.lit(28)).alias("b")).count().collect()
+    assert max(r["count"] for r in buckets) < 600
