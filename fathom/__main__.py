@@ -1,8 +1,12 @@
-"""python -m fathom [--version] | index|search|status STORE PATH [QUERY]: the three entry points, with JSON answers."""
+"""python -m fathom [--version] | index|search|status STORE PATH [QUERY] | serve [STORE]: the three entry points, with JSON answers.
+
+serve answers requests on standard input, one a line; without STORE the store is the folder that FATHOM_STORE names.
+"""
 
 from __future__ import annotations
 
 import json
+import os
 import sys
 
 
@@ -12,6 +16,14 @@ def main(args: list[str]) -> int:
 
         print(f"fathom, dataset version {VERSION}")
         return 0
+    if args[:1] == ["serve"] and len(args) <= 2 and (store := (args[1:] or [os.environ.get("FATHOM_STORE", "")])[0]):
+        from pyspark.sql import SparkSession
+
+        from fathom.plans.api import Engine
+        from fathom.plans.serve import serve
+
+        serve(Engine(SparkSession.builder.getOrCreate(), store, keep_results=True), sys.stdin, sys.stdout)
+        return 0
     if len(args) < 3 or args[0] not in ("index", "search", "status") or (args[0] == "search") != (len(args) == 4):
         print(__doc__, file=sys.stderr)
         return 2
