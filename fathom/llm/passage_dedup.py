@@ -203,17 +203,21 @@ def _join(least: int):
         yield batch_of(u[pick], lo[pick], hi[pick], members, named.view(np.int64), c[pick], more[pick])
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 9
+        held: list[list[np.ndarray]] = []
+        rows = 0
         for batch in batches:
-            held = [np.r_[a, b.to_numpy(zero_copy_only=False)] for a, b in zip(held, batch.columns)]
-            if len(held[0]) < 200_000:
+            if not batch.num_rows:
                 continue
-            cut = int(np.searchsorted(held[0], held[0][-1], "left"))
-            if cut:
-                yield from groups(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if len(held[0]):
-            yield from groups(*held)
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows += batch.num_rows
+            if rows < 200_000 or held[0][0][0] == held[-1][0][-1]:  # rows of one key are put together once
+                continue
+            whole = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1], "left"))
+            yield from groups(*(x[:cut] for x in whole))
+            held, rows = [[x[cut:] for x in whole]], len(whole[0]) - cut
+        if held:
+            yield from groups(*(np.concatenate(c) for c in zip(*held)))
 
     return run
 
@@ -360,6 +364,49 @@ def _may_be_similar(h: np.ndarray, first: np.ndarray, cols: np.ndarray, at: np.n
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+class _Rare:
+    """The values of a group's rows by rarity, and the rows that have each: two sets that share many values share one of the rarest of either."""
+
+    def __init__(self, h: np.ndarray, first: np.ndarray):
+        values, at = np.unique(h, return_inverse=True)
+        at = at.reshape(h.shape)
+        often = np.bincount(at[first], minlength=len(values))
+        rank = np.empty(len(values), np.int64)
+        rank[np.lexsort((values, often))] = np.arange(len(values))
+        self.rank = rank[at]  # by place
+        row, place = np.nonzero(first)
+        by = self.rank[row, place]
+        order = np.lexsort((row, by))
+        self.rows, self.start = row[order], np.searchsorted(by[order], np.arange(len(values) + 1))
+        self.first, self.none = first, len(values)
+
+    def similar(self, cols: np.ndarray, at: np.ndarray, need: np.ndarray, size: np.ndarray, low: np.ndarray, bar: float, most: int):
+        """(column, row) where the values of a column, marks of places of the row `at`, and all of a row share bar * (size + low) or more; None if over `most` rows would have to be looked at.
+
+        need is the least that a column must share with any row; it shares one of its rarest values then, all but need - 1 of them.
+        """
+        own = np.sort(np.where(cols, self.rank[at], self.none), axis=1)
+        prefix = np.clip(cols.sum(1) - np.ceil(need - 1e-3).astype(np.int64) + 1, 0, cols.sum(1))
+        col, k = np.nonzero(np.arange(own.shape[1])[None, :] < prefix[:, None])
+        value = own[col, k]
+        n = self.start[value + 1] - self.start[value]
+        if n.sum() > most:
+            return None
+        ends = np.cumsum(n)
+        where = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(self.start[value], n)
+        pairs = np.unique(np.repeat(col, n) * len(self.first) + self.rows[where])
+        col, row = np.divmod(pairs, len(self.first))
+        keep = []
+        for k in range(0, len(col), 20_000):
+            c, r = col[k : k + 20_000], row[k : k + 20_000]
+            theirs = np.where(self.first[r], self.rank[r], -1)
+            both = np.sort(np.c_[own[c], theirs], axis=1)
+            shared = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0) & (both[:, 1:] < self.none)).sum(1)
+            keep.append(shared >= bar * (size[c] + low[r]) - 1e-3)
+        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+        return col[keep], row[keep]
+
+
 class _Compared:
     """Rows of groups whose pairs are compared whole: which of their views are listed, and which rows are one."""
 
@@ -436,24 +483,35 @@ class _Compared:
             yield from self.verify(a[near], b[near])
 
     def large(self, begin, end):
-        """All pairs of the rows begin..end of one large group: views not listed yet, and rows not connected yet, are held against every row."""
+        """All pairs of the rows begin..end of one large group: views not listed yet, and rows not connected yet, are held against every row.
+
+        A view that is to be listed shares one of its rarest values with the row that it is similar to, so
+        that a passage that all rows have asks for no comparison; where rare values do not tell rows apart
+        they are compared row by row. Of rows that are connected already the most numerous need no search of
+        partners: the others look for them.
+        """
         h, first, low = self.h[begin:end], self.first[begin:end], self.low[begin:end]
-        at = begin
+        rare, at = _Rare(h, first), begin
         while at < end:
             stop, n = at, 0
             while stop < end and (n == 0 or n < 512) and stop - at < max(1, (at - begin) // 2):
                 n += 1 + int((~self.listed[stop]).sum())
                 stop += 1
             stop = max(stop, at + 1)
+            labels, often = np.unique(self.label[begin:end], return_counts=True)
+            alone = at + np.flatnonzero(self.label[at:stop] != labels[often.argmax()])
             row, view = np.nonzero(~self.listed[at:stop])
-            own = np.r_[np.arange(at, stop), at + row]
-            cols = np.r_[self.first[at:stop], self.inside[view] & (self.last[at + row] < self.starts[view])]
-            size = np.r_[self.low[at:stop], self.sizes[at + row, view]]
-            col, other = _may_be_similar(h, first, cols, own - begin, self.bar * (size[:, None] + low[None, :]))
+            own = np.r_[alone, at + row]
+            cols = np.r_[self.first[alone], self.inside[view] & (self.last[at + row] < self.starts[view])] & (self.h[own] != 0)
+            size = np.r_[self.low[alone], self.sizes[at + row, view]]
+            near = rare.similar(cols, own - begin, self.bar * (size + low.min()), size, low, self.bar, max(100_000, len(h) * len(own) // 8))
+            if near is None:
+                near = _may_be_similar(h, first, cols, own - begin, self.bar * (size[:, None] + low[None, :]))
+            col, other = near
             i, j = own[col], begin + other
             on = (self.u[i] != self.u[j]) & self.apart(i, j)
             # a row as a whole counts for what it may connect, a view for what it may list
-            on &= (col >= stop - at) | (self.label[i] != self.label[j])
+            on &= (col >= len(alone)) | (self.label[i] != self.label[j])
             pairs = np.unique(np.c_[i[on], j[on]], axis=0)
             # each row's next partner in turn: what one lists or connects, the others need not
             turn = np.arange(len(pairs)) - np.searchsorted(pairs[:, 0], pairs[:, 0])

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.llm import common, divergence, html_extract, packing, queries, vector_codes
+from fathom.llm import common, divergence, html_extract, packing, passage_dedup, queries, vector_codes
 
 VECTORS = "vec_id long, embedding array<float>, label int, code string, part int"
 
@@ -262,3 +262,40 @@ def test_many_equal_rows_are_packed_in_many_buckets(spark, monkeypatch):
         assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 4096
     buckets = seen[0].groupBy(F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt", F.lit(1)), F.lit(28)).alias("b")).count().collect()
     assert max(r["count"] for r in buckets) < 600
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rare_values_find_the_rows_that_all_values_find(seed):
+    rng = np.random.default_rng(seed)
+    h = rng.integers(1, 8 if seed % 2 else 60, (40, 19)).astype(np.int32)
+    h[rng.random(h.shape) < 0.1] = 0
+    h[5:12, 3:16] = h[4, 3:16]
+    last, _ = passage_dedup._before(h)
+    first = (h != 0) & (last < 0)
+    at = rng.integers(0, 40, 30)
+    cols = (rng.random((30, 19)) < 0.7) & (h[at] != 0)
+    for k in range(30):  # a column marks each of its values once
+        seen = set()
+        for p in np.flatnonzero(cols[k]):
+            cols[k, p] = h[at[k], p] not in seen
+            seen.add(h[at[k], p])
+    size, low, bar = cols.sum(1), rng.integers(3, 8, 40), 0.8 / 1.8
+    found = passage_dedup._Rare(h, first).similar(cols, at, bar * (size + low.min()), size, low, bar, 1 << 40)
+    plain = passage_dedup._may_be_similar(h, first, cols, at, bar * (size[:, None] + low[None, :]))
+    sets = [set(v[c].tolist()) for v, c in zip(h[at], cols)]
+    brute = {(k, r) for k in range(30) for r in range(40) if len(sets[k] & set(h[r][h[r] != 0].tolist())) >= bar * (size[k] + low[r]) - 1e-3}
+    assert set(zip(*(x.tolist() for x in found))) == brute == set(zip(*(x.tolist() for x in plain))) | {(k, r) for k, r in brute if not sets[k] & set(h[r].tolist())}
+    assert passage_dedup._Rare(h, first).similar(cols, at, bar * (size + low.min()), size, low, bar, 1) is None
+
+
+def test_texts_that_share_one_passage_are_hardly_compared():
+    rng = np.random.default_rng(7)
+    n, least = 3000, passage_dedup.WORDS - passage_dedup.SHINGLE + 1
+    h = rng.integers(1, 1 << 31, (n, 2 * least - 1)).astype(np.int32)
+    h[:, 25:80] = h[0, 25:80]
+    first = np.ones(h.shape, bool)
+    views = np.zeros((n, h.shape[1]), bool)
+    views[:, 15 : 15 + least] = True  # ten places before the passage, so that no other row has enough of them
+    size = np.full(n, least)
+    col, row = passage_dedup._Rare(h, first).similar(views, np.arange(n), 0.8 / 1.8 * 2 * size, size, size, 0.8 / 1.8, 10 * n)
+    assert (col == row).all() and len(col) == n
