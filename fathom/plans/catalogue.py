@@ -899,3 +899,21 @@ def engine_symbols(spark, sf_dir):
     engine, root = _engine(spark, sf_dir)
     ask = lambda k: engine.search_symbols({"path": root, "query": f"S{k}Repository struct"})
     return _asked(spark, sf_dir, lambda k: [(r["name"], r["kind"], r["scope"]) for r in ask(k)], "name string, kind string, scope string")
+
+
+@query("SELECT DISTINCT 'find' || (conv_id % 5) || ' error' AS query, 'keyword' AS mode, 1::BIGINT AS hits FROM conversations")
+def stored_results(spark, sf_dir):
+    """Requests made of conversations, asked of one engine and then of another on the same store: what is stored, and how often the second one found it there."""
+    from fathom.plans.api import Engine
+
+    engine, root = _engine(spark, sf_dir)
+    other, version = Engine(spark, engine.store.base, keep_results=True), engine.store.versions()[-1]
+    asked = [f"find{r[0]} error" for r in A.read(spark, sf_dir, "conversations").select(F.col("conv_id") % 5).distinct().collect()]
+    before = {r["key"]: r["hits"] for r in engine.results.table(version).collect()}
+    for e in (engine, other):
+        for q in asked:
+            e.search_code({"path": root, "query": q, "search_mode": "keyword"})
+        e.results.flush()
+    now = engine.results.table(version).where(F.col("query").isin(*asked))
+    known = spark.createDataFrame(list(before.items()), "key string, before long")
+    return now.join(known, "key", "left").select("query", "mode", (F.col("hits") - F.coalesce("before", F.lit(0))).alias("hits"))
