@@ -26,7 +26,7 @@ def tree(tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("tests, vendor, depth", itertools.product([True, False], [True, False], [0, 1, DEPTH, 9]))
+@pytest.mark.parametrize("tests, vendor, depth", list(itertools.product([True, False], [True, False], [0, 1, DEPTH, 9])))
 def test_trees_list_what_a_walk_lists(spark, tree, tests, vendor, depth):
     rows = read_tree(spark, tree, tests=tests, vendor=vendor, depth=depth).collect()
     assert sorted(r["full_path"] for r in rows) == list_files(tree, tests, vendor)
@@ -157,3 +157,22 @@ def test_large_chunks_are_split_and_others_left(spark):
         assert all(a["end_line"] + 1 == b["start_line"] for a, b in itertools.pairwise(found[k])) and found[k][-1]["end_line"] == found[k][0]["start_line"] + text.count("\n")
     assert any(r["content"].startswith("func b() {") for r in found[2])
     assert chunking.split_large(df.limit(0)).count() == 0
+
+
+def test_late_events_are_counted_up_to_the_watermark(spark, tmp_path):
+    from fathom.streaming.watch import windowed_counts
+
+    folder, start = str(tmp_path / "in"), datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
+    os.makedirs(folder)
+    minutes = [[1, 2, 31], [26, 3], [4, 60], [61]]  # 26 and 3 come late, 4 too late
+    for n, batch in enumerate(minutes):
+        df = spark.createDataFrame([(start + timedelta(minutes=m), "click") for m in batch], "ts timestamp, event_type string")
+        df.coalesce(1).write.parquet(f"{folder}/{n}.tmp")
+        os.rename(next(f.path for f in os.scandir(f"{folder}/{n}.tmp") if f.name.endswith(".parquet")), f"{folder}/l{n}.parquet")
+    stream = spark.readStream.schema("ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/l*.parquet")
+    q = windowed_counts(stream).writeStream.format("memory").queryName("late_events").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert q.exception() is None
+    found = {r["at"]: r["n"] for r in spark.table("late_events").select(F.date_format("window.start", "HH:mm").alias("at"), "n").collect()}
+    # the mark is at 12:21 after the first batch; what is late by it goes from the batch after the next one on
+    assert found == {"12:00": 3, "12:25": 1, "12:30": 1}
