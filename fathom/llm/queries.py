@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fathom.llm import decontaminate, divergence, embedding_dedup, html_extract, packing, passage_dedup, pii, secrets, sharding, simhash, suffix_dedup, toxicity, vector_codes
 
@@ -71,6 +72,15 @@ def op13_min_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def shifted_vectors_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's operator over all vectors and a shifted copy of every third one, so that there are links to find: the tables hold none."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    factor = lambda i: F.element_at(F.array(F.lit(0.9), F.lit(1.0), F.lit(1.1)), (i % 3 + 1).cast("int"))
+    moved = F.transform("embedding", lambda x, i: (x.cast("double") * factor(i)).cast("float"))
+    copies = vectors.where("vec_id % 3 = 0").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), moved.alias("embedding"))
+    return embedding_dedup.near_duplicates(vectors.unionByName(copies))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -79,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
-    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": pipeline}
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"shifted_vectors_forest": shifted_vectors_forest, "pipeline": pipeline}
 
 
 _WORDS = r"""CASE WHEN t IS NULL THEN [] ELSE regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END"""
@@ -99,16 +109,24 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(places.n, 0) AS n_hit, coal
 FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
 
-_LINKS = """
-WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+def _links(given: str) -> str:
+    """All pairs of given vectors (vec_id, embedding) by their cosine, and what they reach."""
+    return f"""
+WITH RECURSIVE given AS ({given}), v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM given),
     n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS len FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.len > 0 AND b.len > 0 WHERE list_dot_product(a.e, b.e) / (a.len * b.len) >= 0.9),
-    reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM given UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
     low AS (SELECT a, min(b) AS m FROM reach GROUP BY a), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
-SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, m = vec_id AS kept FROM embeddings JOIN low ON low.a = vec_id LEFT JOIN degree ON degree.a = vec_id
+SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, m = vec_id AS kept FROM given JOIN low ON low.a = vec_id LEFT JOIN degree ON degree.a = vec_id
 """
 
 
+_LINKS = _links("SELECT vec_id, embedding FROM embeddings")
+
+_SHIFTED = _links("""SELECT vec_id, embedding FROM embeddings UNION ALL
+        SELECT vec_id + 1000000000, list_transform(embedding, lambda x, i: (x::DOUBLE * ([0.9, 1.0, 1.1]::DOUBLE[])[(i - 1) % 3 + 1])::FLOAT) FROM embeddings WHERE vec_id % 3 = 0""")
+
+
 def _codes(rounds: int = 6) -> str:
     """Integer vectors, their first 16 as codebooks, `rounds` assignments and means, the last assignment."""
     sql = """
@@ -156,4 +174,4 @@ SELECT page_id, url, text, length(text) AS n_chars FROM t
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the others are tested against brute-force versions."""
-    return {"op7_projection_forest": _LINKS, "op9_prefix_decontamination": _CONTAMINATION, "op11_equal_average_codes": _codes(), "op12_source_divergence": _DIVERGENCE, "op13_min_cut_extraction": _ARTICLES}
+    return {"op7_projection_forest": _LINKS, "shifted_vectors_forest": _SHIFTED, "op9_prefix_decontamination": _CONTAMINATION, "op11_equal_average_codes": _codes(), "op12_source_divergence": _DIVERGENCE, "op13_min_cut_extraction": _ARTICLES}
