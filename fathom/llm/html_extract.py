@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ HIDDEN = RAW - {"xmp"} | frozenset("head template noscript object svg math canva
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("ul ol menu dl table select html body".split())
+_BUT_P = BLOCKS - {"p"}
 
 #: Elements and words of classes, ids and roles that name content or boilerplate.
 CONTENT_TAGS = frozenset({"article", "main"})
@@ -92,8 +93,9 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[Block] = []
         self.around = [0]
-        # of open elements: tag, container, evidence in force, hidden, whether within an article or main element
-        self._open: list[tuple[str, int, float, bool, bool]] = [("", 0, 0.0, False, False)]
+        # of open elements: tag, container, evidence in force, hidden, whether within an article or main element, block element around the text
+        self._open: list[tuple[str, int, float, bool, bool, str]] = [("", 0, 0.0, False, False, "")]
+        self._count: Counter[str] = Counter()  # of open elements by tag
         self._text: list[str] = []
         self._linked = self._links = 0
         self._parse(source)
@@ -145,8 +147,7 @@ class Page:
         if self._text:
             text = " ".join(html.unescape("".join(self._text)).split())
             if text:
-                tag = next((o[0] for o in reversed(self._open) if o[0] in BLOCKS), "")
-                self.blocks.append(Block(text, self._linked, tag, self._open[-1][1], self._open[-1][2]))
+                self.blocks.append(Block(text, self._linked, self._open[-1][5], self._open[-1][1], self._open[-1][2]))
             self._text = []
         self._linked = 0
 
@@ -161,12 +162,12 @@ class Page:
             self._flush()
             if tag in ENDED_BY:
                 self._close(ENDED_BY[tag], SCOPES)
-            self._close({"p"}, BLOCKS - {"p"})
+            self._close({"p"}, _BUT_P)
         if tag == "body":
             self._close({"head"}, frozenset())
         if tag == "a":
             self._links += 1
-        _, box, said, hidden, inside = self._open[-1]
+        _, box, said, hidden, inside, block = self._open[-1]
         own, unseen = _said(tag, attributes, inside)
         if own <= -STRONG or own > 0 and said == 0 or own >= STRONG and said > -STRONG:
             said = own
@@ -174,17 +175,21 @@ class Page:
             self.around.append(box)
             box = len(self.around) - 1
         if not attributes.rstrip().endswith("/") or tag in BLOCKS or tag in RAW:
-            self._open.append((tag, box, said, hidden or unseen, inside or tag in CONTENT_TAGS))
+            self._open.append((tag, box, said, hidden or unseen, inside or tag in CONTENT_TAGS, tag if tag in BLOCKS else block))
+            self._count[tag] += 1
         elif tag == "a":
             self._links -= 1
 
     def _pop(self, k: int) -> None:
         for o in self._open[k:]:
             self._links -= o[0] == "a"
+            self._count[o[0]] -= 1
         del self._open[k:]
 
     def _close(self, tags: set[str], stops: frozenset[str]) -> None:
         """Close the innermost open element of tags, unless one of stops is in between."""
+        if not any(self._count[t] for t in tags):
+            return
         for k in range(len(self._open) - 1, 0, -1):
             if self._open[k][0] in tags:
                 self._flush()
@@ -197,6 +202,8 @@ class Page:
             return
         if tag in BLOCKS:
             self._flush()
+        if not self._count[tag]:
+            return
         for k in range(len(self._open) - 1, 0, -1):
             open_tag = self._open[k][0]
             if open_tag == tag:

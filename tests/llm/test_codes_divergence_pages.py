@@ -194,7 +194,7 @@ def test_planted_pages(spark, name, trained):
 
 def test_extract_odd_rows(spark):
     rows = [(1, "u", None, "x", 1), (2, None, "", "x", 1), (None, "u", "<p>", "x", 1), (3, "u", page(PLANTED["article"][0]), "x", 1), (3, "u", page(PLANTED["article"][0]), "x", 1)]
-    rows += [(4, "u", "<a href=\"x" + "<p>" * 1000, "x", 1), (5, "u", "<article>" + f"<p>{LONG}</p>" * 3000 + "</article>", "x", 1), (6, "u", "<div>" * 5000 + LONG, "x", 1), (7, "u", "<" * 20000 + "&" * 20000, "x", 1), (8, "u", MENU * 400, "x", 1)]
+    rows += [(4, "u", "<a href=\"x" + "<p>" * 1000, "x", 1), (5, "u", "<article>" + f"<p>{LONG}</p>" * 3000 + "</article>", "x", 1), (6, "u", "<div>" * 5000 + LONG, "x", 1), (7, "u", "<" * 20000 + "&" * 20000, "x", 1), (8, "u", MENU * 400, "x", 1), (9, "u", "<div>" * 30_000 + "</section>" * 30_000 + "<b>" * 30_000 + "<p>x" * 10, "x", 1)]
     found = html_extract.extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()
     by_id = {r["page_id"]: r for r in found}
     assert len(found) == len(rows) and found[0].__fields__ == ["page_id", "url", "text", "n_chars"]
