@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fathom import schema
 from fathom.operators import chunking, embedding
 from fathom.operators import tables as T
-from fathom.plans.store import WORDS, Conflict, IndexingInProgress, Project, Store
+from fathom.plans.store import WORDS, Conflict, Project, Store
 from fathom.sources import go_files
 
 #: A small source tree for tests and queries.
