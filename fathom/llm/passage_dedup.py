@@ -5,9 +5,10 @@ text's shingle hashes has, for each node, the compact window (left, root, right)
 smallest: every passage inside it that holds the root has the root's hash as its signature. Windows that
 hold a passage of WORDS words or more are kept. Equal texts are one text. Windows are joined on (function,
 smallest hash), and two texts whose windows meet are compared inside both windows' intervals, around the
-shared root. Equal views that end or start on it are seen by their hashes alone; of texts that also share
-the shingles on one side, the shingles around it are fetched, and every equal run of a passage's length and
-every pair of views that hold the root and have a Jaccard similarity of SIMILARITY or more is listed.
+shared root. Equal views that end or start on it, and windows that are equal throughout, are seen by their
+hashes alone; of other texts that also share the shingles on one side, the shingles around it are fetched, and
+every equal run of a passage's length and every pair of views that hold the root and have a Jaccard similarity
+of SIMILARITY or more is listed.
 """
 
 from __future__ import annotations
@@ -95,9 +96,9 @@ def compact_windows(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _windows(least: int):
-    """(key, u, c, lo, hi, gl, gr, side, more): root c of each compact window of a text u, how far the window reaches to either side of it, with hashes of the views that end and start there, 0 past the window's ends.
+    """(key, u, c, lo, hi, gl, gr, side, more): root c of each compact window of a text u, how far the window reaches to either side of it, with hashes of all that is there up to the root and from it on.
 
-    lo and hi are least - 1 at most. side holds 32-bit hashes of the SIDE shingles before the root and of those after it.
+    lo and hi are least - 1 at most; where they are, gl and gr are hashes of views. side holds 32-bit hashes of the SIDE shingles before the root and of those after it.
     Where lines repeat within a text, roots with equal surroundings that follow each other closely are one row: the last
     of them is at c + more, and a span around c that is found holds on to the same place around that one.
     """
@@ -105,18 +106,19 @@ def _windows(least: int):
     def run(batches):
         for batch in batches:
             cols: list = [[] for _ in range(9)]
-            for u, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for u, n, t in zip(*(x.to_pylist() for x in batch.columns)):
+                text = _unpacked(n, t)
                 h, _ = shingles(text) if text else (np.zeros(0, np.uint64), 0)
                 if len(h) < least:
                     continue
-                view, near = _views(h, least), (_views(h, SIDE).view(np.uint64) >> np.uint64(32)) | np.uint64(1)
+                sums, places = _sums(h), np.arange(len(h) - SIDE + 1)
+                near = (_stretches(sums, places, places + SIDE).view(np.uint64) >> np.uint64(32)) | np.uint64(1)
                 near = np.r_[np.zeros(SIDE, np.uint64), near, np.zeros(SIDE, np.uint64)]  # the side before c is at c, that after it at c + SIDE + 1
                 for seed in _SEEDS[:HASHES]:
                     own = _mix(h ^ seed)
                     left, c, right = compact_windows(own, least)
                     lo, hi = np.minimum(c - left, least - 1), np.minimum(right - c, least - 1)
-                    gl = np.where(lo == least - 1, view[np.maximum(c - least + 1, 0)], 0)
-                    gr = np.where(hi == least - 1, view[np.minimum(c, len(view) - 1)], 0)
+                    gl, gr = _stretches(sums, c - lo, c + 1), _stretches(sums, c, c + hi + 1)
                     rows = [own[c].view(np.int64), np.full(len(c), u), c, lo, hi, gl, gr, ((near[c] << np.uint64(32)) | near[c + SIDE + 1]).view(np.int64)]
                     for col, x in zip(cols, _repeated(rows, least)):
                         col.append(x)
@@ -128,22 +130,28 @@ def _windows(least: int):
 
 def _repeated(rows: list[np.ndarray], least: int) -> list[np.ndarray]:
     """rows of one text, by root, with one more column: how far the roots that are one with it go on."""
-    key, _, c, _, _, gl, gr, _ = rows
+    key, _, c, lo, hi, gl, gr, _ = rows
     if len(np.unique(key)) == len(key):
         return [*rows, np.zeros(len(key), np.int64)]
     order = np.lexsort((c, gr, gl, key))
-    key, c, gl, gr = (x[order] for x in (key, c, gl, gr))
-    same = (key[1:] == key[:-1]) & (gl[1:] == gl[:-1]) & (gr[1:] == gr[:-1]) & (gl[1:] != 0) & (gr[1:] != 0) & (c[1:] - c[:-1] <= least)
+    key, c, gl, gr, whole = (x[order] for x in (key, c, gl, gr, (lo == least - 1) & (hi == least - 1)))
+    same = (key[1:] == key[:-1]) & (gl[1:] == gl[:-1]) & (gr[1:] == gr[:-1]) & whole[1:] & whole[:-1] & (c[1:] - c[:-1] <= least)
     first = np.flatnonzero(np.r_[True, ~same])
     last = np.r_[first[1:], len(key)] - 1
     return [*[x[order[first]] for x in rows], c[last] - c[first]]
 
 
-def _views(h: np.ndarray, least: int) -> np.ndarray:
-    up, down = _powers(len(h) + 1)
+def _sums(h: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=sums[1:])
-    return (_mix((sums[least:] - sums[:-least]) * down[: len(h) - least + 1]) | np.uint64(1)).view(np.int64)
+    np.cumsum(h * _powers(len(h) + 1)[0][: len(h)], out=sums[1:])
+    return sums
+
+
+def _stretches(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes, never 0, of the shingles from each start to its end, exclusive, by the sums of their text."""
+    _, down = _powers(len(sums))
+    length = (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return (_mix((sums[end] - sums[start]) * down[start] + length) | np.uint64(1)).view(np.int64)
 
 
 def _classes(key: np.ndarray, g: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +168,11 @@ def _classes(key: np.ndarray, g: np.ndarray, u: np.ndarray) -> tuple[np.ndarray,
 
 
 def _join(least: int):
-    """Over rows sorted by key: (u, s, e, other, key, c, more) with spans of words that equal views verify (key null), and members to compare (key not null): s and e are then how far their windows reach, other is their number in the group."""
+    """Over rows sorted by key: (u, s, e, other, key, c, more) with spans of words that equal views verify (key null), and members to compare (key not null): s and e are then how far their windows reach, other is their number in the group.
+
+    Rows whose windows are equal throughout are of one kind. Of a kind that several texts have each row is listed whole
+    here, and the first and the last stand for it in what follows; of a kind that one text alone has, all rows go on.
+    """
     names = ["u", "s", "e", "other", "key", "c", "more"]
 
     def batch_of(u, s, e, other, key, c, more) -> pa.RecordBatch:
@@ -172,9 +184,20 @@ def _join(least: int):
         key, u, c, lo, hi, gl, gr, side, more = (x[many] for x in (key, u, c, lo, hi, gl, gr, side, more))
         if not len(key):
             return
-        for g, shift in ((gl, least - 1), (gr, 0)):
-            low, high = _classes(key, g, u)
-            on = low != high  # a passage that only one text has is no passage across documents
+        order = np.lexsort((u, gr, gl, key))
+        new = np.r_[True, np.any([x[order[1:]] != x[order[:-1]] for x in (key, gl, gr)], axis=0)]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(order)] - 1
+        head, shared, stands = np.zeros(len(key), bool), np.zeros(len(key), bool), np.zeros(len(key), bool)
+        other = np.empty_like(u)
+        low, high = (np.repeat(u[order[x]], last - first + 1) for x in (first, last))
+        head[order], shared[order], other[order] = new, low != high, np.where(u[order] == low, high, low)
+        stands[order] = new | np.r_[new[1:], True] | (low == high)
+        yield batch_of(u[shared], (c - lo)[shared], (c + hi + SHINGLE + more)[shared], other[shared], None, None, None)
+        for g, reach, shift in ((gl, lo, least - 1), (gr, hi, 0)):
+            low, high = _classes(key, np.where(reach == least - 1, g, 0), u)
+            # a passage that only one text has is no passage across documents; of a kind that is listed one row links it to others
+            on = (low != high) & (head | ~shared)
             other = np.where(u == low, high, low)
             s = c - shift
             yield batch_of(u[on], s[on], s[on] + least + SHINGLE - 1 + more[on], other[on], None, None, None)
@@ -192,10 +215,9 @@ def _join(least: int):
         size = np.diff(np.r_[start, len(order)])
         differ = np.minimum.reduceat(u[order], start) != np.maximum.reduceat(u[order], start)
         new = np.r_[True, np.any([x[order[1:]] != x[order[:-1]] for x in (label, gl, gr)], axis=0)]
-        alone = (gl[order] == 0) | (gr[order] == 0)
-        # a group of one kind of whole view is listed by its ends; else two texts of each kind stand for it
-        differ &= (np.add.reduceat(new.astype(np.int64), start) > 1) | np.logical_or.reduceat(alone, start)
-        on = np.repeat(differ, size) & (new | np.r_[new[1:], True] | alone)
+        # a group of one kind is listed whole; else two texts of each kind stand for it
+        differ &= np.add.reduceat(new.astype(np.int64), start) > 1
+        on = np.repeat(differ, size) & stands[order]
         members = np.repeat(np.add.reduceat(on.astype(np.int64), start), size)[on]
         pick = order[on]
         first = label[pick]
@@ -235,8 +257,8 @@ def _fetch(least: int):
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 cols: list = [[] for _ in kinds]
-                for u, text, wanted in zip(*(x.to_pylist() for x in part.columns)):
-                    h = ((shingles(text)[0] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)).view(np.int32)
+                for u, n, t, wanted in zip(*(x.to_pylist() for x in part.columns)):
+                    h = ((shingles(_unpacked(n, t))[0] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)).view(np.int32)
                     h = np.r_[np.zeros(least - 1, np.int32), h, np.zeros(least - 1, np.int32)]
                     for w in wanted:
                         n, c, around = w["chunks"], w["c"], h[w["c"] : w["c"] + 2 * least - 1].copy()
@@ -297,19 +319,6 @@ def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
-def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted rows whose repeated values are replaced by negative numbers that no two rows share a sign of, and how many values each has."""
-    rows = np.sort(rows, axis=1).astype(np.int64)
-    again = np.c_[np.zeros(len(rows), bool), rows[:, 1:] == rows[:, :-1]]
-    return np.where(again, -1 - np.arange(rows.shape[1]) + np.iinfo(np.int64).min // 2, rows), (~again).sum(1)
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many values each row of a shares with that of b; rows from _distinct()."""
-    both = np.sort(np.c_[a, b], axis=1)
-    return ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] > np.iinfo(np.int64).min // 4)).sum(1)
-
-
 def _before(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per place of each row where its value last stood before, -1 for nowhere, and whether a row has any value twice."""
     last = np.full(h.shape, -1, np.int16)
@@ -325,18 +334,37 @@ def _before(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return last, twice
 
 
-def _similar_views(same: np.ndarray, a: np.ndarray, sizes: np.ndarray, whole: np.ndarray, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per pair of rows, the view starts of the first that are similar to any view of the second, and those of the second.
+def _similar_views(a: np.ndarray, b: np.ndarray, first: np.ndarray, joins: np.ndarray, stays: np.ndarray, sizes: tuple, whole: tuple, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(view, pair) of the views of a that are similar to any view of b, and of those of b that are to any of a; each pair is a column.
 
-    same marks equal places of the two, a the first places of values in the first's views; sizes and whole are of both rows' views.
+    first, joins and stays tell of each place of a whether its value is new in the row, new in the view that ends with
+    it, and also stands in the view that begins after it; sizes and whole are of both sides' views.
     """
-    bar = similarity / (1 + similarity)
-    sums = np.zeros((len(same), same.shape[1], same.shape[2] + 1), np.uint8)
-    np.cumsum(same, axis=2, dtype=np.uint8, out=sums[:, :, 1:])
-    there = (sums[:, :, least:] != sums[:, :, :-least]).astype(np.float32)
-    near = np.matmul(a.astype(np.float32), there) >= bar * (sizes[0][:, :, None] + sizes[1][:, None, :]) - 1e-3
-    near &= whole[0][:, :, None] & whole[1][:, None, :]
-    return near.any(2), near.any(1)
+    width, n = a.shape
+    there, b = np.empty((width, least, n), bool), np.where(b == 0, 2, b)  # values are odd
+    for x in range(width):
+        same, size = b == a[x], 1
+        while 2 * size <= least:
+            same = same[:-size] | same[size:]
+            size *= 2
+        np.logical_or(same[:least], same[least - size : 2 * least - size], out=there[x])  # whether the value is in each view of b
+    kind = np.uint8 if least < 256 else np.int32
+    there, joins, leaves = there.view(np.uint8), joins.astype(np.uint8), (~stays).astype(np.uint8)
+    needs = np.ceil(similarity / (1 + similarity) * np.arange(2 * least + 1) - 1e-3).astype(kind)
+    plain = bool((sizes[0] == least).all() and (sizes[1] == least).all())
+    masked = bool((stays[:least].any()) or not joins[least:].all())
+    count = (there[:least] & first[:least, None].astype(np.uint8)).sum(axis=0, dtype=kind)
+    out = np.zeros((least, n), bool), np.zeros((least, n), bool)
+    for i in range(least):
+        near = count >= (needs[2 * least] if plain else needs[sizes[1] + sizes[0][i]])
+        if near.any():
+            near &= whole[1] & whole[0][i]
+            np.logical_or.reduce(near, axis=0, out=out[0][i])
+            np.logical_or(out[1], near, out=out[1])
+        if i + 1 < least:
+            count += there[i + least] & joins[i + least] if masked else there[i + least]
+            count -= there[i] & leaves[i] if masked else there[i]
+    return out
 
 
 def _may_be_similar(h: np.ndarray, first: np.ndarray, cols: np.ndarray, at: np.ndarray, bar: np.ndarray):
@@ -383,19 +411,12 @@ class _Rare:
     def similar(self, cols: np.ndarray, at: np.ndarray, need: np.ndarray, size: np.ndarray, low: np.ndarray, bar: float, most: int):
         """(column, row) where the values of a column, marks of places of the row `at`, and all of a row share bar * (size + low) or more; None if over `most` rows would have to be looked at.
 
-        need is the least that a column must share with any row; it shares one of its rarest values then, all but need - 1 of them.
+        need is the least that a column must share with any row.
         """
-        own = np.sort(np.where(cols, self.rank[at], self.none), axis=1)
-        prefix = np.clip(cols.sum(1) - np.ceil(need - 1e-3).astype(np.int64) + 1, 0, cols.sum(1))
-        col, k = np.nonzero(np.arange(own.shape[1])[None, :] < prefix[:, None])
-        value = own[col, k]
-        n = self.start[value + 1] - self.start[value]
-        if n.sum() > most:
+        found = self.candidates(cols, at, need, most)
+        if found is None:
             return None
-        ends = np.cumsum(n)
-        where = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(self.start[value], n)
-        pairs = np.unique(np.repeat(col, n) * len(self.first) + self.rows[where])
-        col, row = np.divmod(pairs, len(self.first))
+        col, row, own = *found, np.sort(np.where(cols, self.rank[at], self.none), axis=1)
         keep = []
         for k in range(0, len(col), 20_000):
             c, r = col[k : k + 20_000], row[k : k + 20_000]
@@ -406,6 +427,19 @@ class _Rare:
         keep = np.concatenate(keep) if keep else np.zeros(0, bool)
         return col[keep], row[keep]
 
+    def candidates(self, cols: np.ndarray, at: np.ndarray, need: np.ndarray, most: int):
+        """(column, row) of all rows that have one of a column's rarest values, all but need - 1 of them: one of these a column shares with each row that it shares `need` values with; None for over `most`."""
+        own = np.sort(np.where(cols, self.rank[at], self.none), axis=1)
+        prefix = np.clip(cols.sum(1) - np.ceil(need - 1e-3).astype(np.int64) + 1, 0, cols.sum(1))
+        col, k = np.nonzero(np.arange(own.shape[1])[None, :] < prefix[:, None])
+        value = own[col, k]
+        n = self.start[value + 1] - self.start[value]
+        if n.sum() > most:
+            return None
+        ends = np.cumsum(n)
+        where = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(self.start[value], n)
+        return np.divmod(np.unique(np.repeat(col, n) * len(self.first) + self.rows[where]), len(self.first))
+
 
 class _Compared:
     """Rows of groups whose pairs are compared whole: which of their views are listed, and which rows are one."""
@@ -422,33 +456,29 @@ class _Compared:
         self.sizes = np.full((len(h), least), least, np.int16)
         for k in np.array_split(np.flatnonzero(twice), 1 + int(twice.sum()) // 1024):
             self.sizes[k] = self.fresh(k).sum(2)
-        self.low = np.where(self.whole, self.sizes, least).min(1)
+        self.low, self.high = np.where(self.whole, self.sizes, least).min(1), np.where(self.whole, self.sizes, 0).max(1)
         self.bar = similarity / (1 + similarity)
+        gap = np.arange(h.shape[1]) - self.last
+        self.joins, self.stays = gap >= least, np.zeros(h.shape, bool)
+        row, place = np.nonzero((self.last >= 0) & (gap < least))
+        self.stays[row, self.last[row, place]] = True
 
     def fresh(self, rows):
         """Per view of each row, the places where a value stands for the first time in it."""
         return self.inside & (self.last[rows][:, None, :] < self.starts)
 
-    def hopeful(self, shared, x, y):
-        """Whether some view of x that is not listed shares enough places with all of y."""
-        sums = np.cumsum(np.c_[np.zeros(len(x), np.int16), shared.astype(np.int16)], axis=1)
-        enough = sums[:, self.least :] - sums[:, : -self.least] >= self.bar * (self.sizes[x] + self.low[y][:, None]) - 1e-3
-        return (enough & ~self.listed[x]).any(1)
-
     def verify(self, i, j):
         """(row, first start, last start, other row) of runs of similar views that are news, for pairs of rows."""
-        for k in range(0, len(i), 256):
-            a, b = i[k : k + 256], j[k : k + 256]
+        for k in range(0, len(i), 512):
+            a, b = i[k : k + 512], j[k : k + 512]
             on = (self.label[a] != self.label[b]) | ~(self.listed[a].all(1) & self.listed[b].all(1))
             a, b = a[on], b[on]
             if not len(a):
                 continue
-            same = self.h[a][:, :, None] == self.h[b][:, None, :]
-            on = (self.label[a] != self.label[b]) | self.hopeful(same.any(2), a, b) | self.hopeful(same.any(1), b, a)
-            a, b, same = a[on], b[on], same[on]
-            if not len(a):
-                continue
-            views = _similar_views(same, self.fresh(a), (self.sizes[a], self.sizes[b]), (self.whole[a], self.whole[b]), self.least, self.similarity)
+            columns = [np.ascontiguousarray(x[a].T) for x in (self.h, self.first, self.joins, self.stays, self.sizes, self.whole)]
+            other = [np.ascontiguousarray(x[b].T) for x in (self.h, self.sizes, self.whole)]
+            views = _similar_views(columns[0], other[0], *columns[1:4], (columns[4], other[1]), (columns[5], other[2]), self.least, self.similarity)
+            views = [np.ascontiguousarray(x.T) for x in views]
             hit = views[0].any(1)
             a, b, views = a[hit], b[hit], [v[hit] for v in views]
             if not len(a):
@@ -471,16 +501,13 @@ class _Compared:
 
     def small(self, i, j):
         """All given pairs, of small groups."""
-        full, _ = _distinct(self.h)
         # each row's nearest partner first, in all groups: what one lists or connects, the others need not
         order = np.argsort(j - i, kind="stable")
         i, j = i[order], j[order]
-        for k in range(0, len(i), 8192):
-            a, b = i[k : k + 8192], j[k : k + 8192]
+        for k in range(0, len(i), 2048):
+            a, b = i[k : k + 2048], j[k : k + 2048]
             on = (self.label[a] != self.label[b]) | ~(self.listed[a].all(1) & self.listed[b].all(1))
-            a, b = a[on], b[on]
-            near = _common(full[a], full[b]) >= self.bar * (self.low[a] + self.low[b]) - 1e-3
-            yield from self.verify(a[near], b[near])
+            yield from self.verify(a[on], b[on])
 
     def large(self, begin, end):
         """All pairs of the rows begin..end of one large group: views not listed yet, and rows not connected yet, are held against every row.
@@ -504,20 +531,25 @@ class _Compared:
             own = np.r_[alone, at + row]
             cols = np.r_[self.first[alone], self.inside[view] & (self.last[at + row] < self.starts[view])] & (self.h[own] != 0)
             size = np.r_[self.low[alone], self.sizes[at + row, view]]
-            near = rare.similar(cols, own - begin, self.bar * (size + low.min()), size, low, self.bar, max(100_000, len(h) * len(own) // 8))
+            most = np.r_[self.high[alone], self.sizes[at + row, view]]
+            # a similar view has at least `similarity` times as many values, all of them shared
+            need = np.maximum(self.bar * (size + low.min()), self.similarity * size)
+            near = rare.candidates(cols, own - begin, need, max(100_000, len(h) * len(own) // 8))
             if near is None:
                 near = _may_be_similar(h, first, cols, own - begin, self.bar * (size[:, None] + low[None, :]))
             col, other = near
             i, j = own[col], begin + other
             on = (self.u[i] != self.u[j]) & self.apart(i, j)
+            # similar views do not differ much in size
+            on &= (self.low[j] * self.similarity <= most[col] + 1e-3) & (size[col] * self.similarity <= self.high[j] + 1e-3)
             # a row as a whole counts for what it may connect, a view for what it may list
             on &= (col >= len(alone)) | (self.label[i] != self.label[j])
             pairs = np.unique(np.c_[i[on], j[on]], axis=0)
             # each row's next partner in turn: what one lists or connects, the others need not
             turn = np.arange(len(pairs)) - np.searchsorted(pairs[:, 0], pairs[:, 0])
             pairs = pairs[np.argsort(turn, kind="stable")]
-            for k in range(0, len(pairs), 256):
-                i, j = pairs[k : k + 256].T
+            for k in range(0, len(pairs), 512):
+                i, j = pairs[k : k + 512].T
                 on = (self.label[i] != self.label[j]) | ~self.listed[i].all(1)
                 yield from self.verify(i[on], j[on])
             at = stop
@@ -540,12 +572,14 @@ def _verify(least: int, similarity: float):
         label = _union(len(u), row, other)
         listed = np.zeros((len(u), least), bool)
         listed[row, first] = True
-        # rows that are equal throughout are listed by now: two texts of them are enough for the others
+        # rows of several texts that are equal throughout are listed by now: two texts of them are enough for the others
         up, _ = _powers(h.shape[1] + 1)
         same = (_mix(h.astype(np.uint64)) * up[: h.shape[1]]).sum(axis=1, dtype=np.uint64)
         order = np.lexsort((u, same, chunk, group))
         ends = np.any([x[order[1:]] != x[order[:-1]] for x in (same, chunk, group)], axis=0)
-        keep = np.sort(order[np.r_[True, ends] | np.r_[ends, True]])
+        first, last = np.r_[True, ends], np.r_[ends, True]
+        size = np.diff(np.r_[np.flatnonzero(first), len(order)])
+        keep = np.sort(order[first | last | np.repeat(u[order[first]] == u[order[last]], size)])
         group, u, c, h, chunk, cross, listed, label, more = (x[keep] for x in (group, u, c, h, chunk, cross, listed, label, more))
 
         def apart(i, j):
@@ -574,11 +608,11 @@ def _verify(least: int, similarity: float):
                 yield u[x], c[x] - least + 1 + low, c[x] + high + SHINGLE + more[x], u[y]
 
     def found(held: list):
-        """What the groups in held give, about 2048 rows at a time."""
+        """What the groups in held give, about 4096 rows at a time."""
         start = np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]])
         at = 0
         while at < len(held[0]):
-            k = int(np.searchsorted(start, at + 2048))
+            k = int(np.searchsorted(start, at + 4096))
             end = int(start[k]) if k < len(start) else len(held[0])
             for x in some(*(a[at:end] for a in held)):
                 yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()) for y in x], ["u", "s", "e", "other"])
@@ -592,7 +626,7 @@ def _verify(least: int, similarity: float):
             more = [x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if pa.types.is_list(x.type) else x.to_numpy(zero_copy_only=False) for x in batch.columns]
             held = more if held is None else [np.concatenate(x) for x in zip(held, more)]
             cut = int(np.searchsorted(held[0], held[0][-1], "left"))
-            if cut >= 2048:
+            if cut >= 4096:
                 yield from found([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
         if held is not None:
@@ -601,10 +635,17 @@ def _verify(least: int, similarity: float):
     return run
 
 
-def _count(batches):
+def _packed(batches):
+    """Texts (q, t, low, n) with their number of words and of bytes, compressed."""
     for batch in batches:
-        n = [len(t.split()) if t else 0 for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "words"])
+        texts = batch.column(1).to_pylist()
+        cols = [[pa.compress(t, "zstd", asbytes=True) for t in texts], [len(t.split()) for t in texts], [len(t) for t in texts]]
+        q, _, low, n = batch.columns
+        yield pa.RecordBatch.from_arrays([q, pa.array(cols[0], pa.binary()), low, n, *(pa.array(x, pa.int64()) for x in cols[1:])], [*batch.schema.names, "words", "bytes"])
+
+
+def _unpacked(n: int, t: bytes) -> bytes:
+    return pa.decompress(t, n, "zstd", asbytes=True)
 
 
 def _report(batches):
@@ -641,9 +682,9 @@ def near_duplicate_passages(docs: DataFrame, words: int = WORDS, similarity: flo
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), q, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("t"))
     # equal texts are one from here on, with an id of its own
     once = raw.groupBy("q").agg(F.first("t").alias("t"), F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    once = once.select("q", "t", "low", "n").mapInArrow(_count, "q binary, t binary, low long, n long, words long")
+    once = once.select("q", "t", "low", "n").mapInArrow(_packed, "q binary, t binary, low long, n long, words long, bytes long")
     texts = materialize(once.withColumn("u", F.monotonically_increasing_id()), "texts", reclaim=True)
-    long = texts.where(F.col("words") >= words).select("u", "t")
+    long = texts.where(F.col("words") >= words).select("u", "bytes", "t")
     windows = long.mapInArrow(_windows(least), "key long, u long, c long, lo long, hi long, gl long, gr long, side long, more long")
     joined = windows.repartition(parts, "key").sortWithinPartitions("key")
     found = materialize(joined.mapInArrow(_join(least), "u long, s long, e long, other long, key long, c long, more long"), "joined", reclaim=True)
@@ -653,7 +694,7 @@ def near_duplicate_passages(docs: DataFrame, words: int = WORDS, similarity: flo
     asked = found.where("key is not null").select("key", "u", "c", F.col("s").cast("int").alias("lo"), F.col("e").cast("int").alias("hi"), "more", F.col("other").alias("members"))
     chunks = F.when(F.col("members") > group_limit, F.ceil(F.col("members") * 4 / group_limit)).otherwise(1).cast("int").alias("chunks")
     wanted = asked.groupBy("u").agg(F.collect_set(F.struct("key", "c", "lo", "hi", "more", chunks)).alias("wanted"))
-    around = long.join(wanted, "u").select("u", "t", "wanted").mapInArrow(_fetch(least), "group long, u long, c long, h array<int>, chunk int, i int, j int, more int")
+    around = long.join(wanted, "u").select("u", "bytes", "t", "wanted").mapInArrow(_fetch(least), "group long, u long, c long, h array<int>, chunk int, i int, j int, more int")
     near = around.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_verify(least, similarity), "u long, s long, e long, other long")
 
     spans = materialize(equal.unionByName(near), "passages", reclaim=True)

@@ -463,6 +463,35 @@ def test_passages_of_connected_texts_are_listed(spark):
     assert found >= 46  # similar passages are met by min-hashes
 
 
+def test_every_copy_within_a_text_is_listed(spark):
+    """A passage stands three times in one text, far apart, and an edited copy in another: the copy in the middle counts too."""
+    rng = random.Random(41)
+    passage = words_of(rng, 240)
+    edited = [w if k % 40 != 20 else "other" for k, w in enumerate(passage)]
+    texts = [passage + words_of(rng, 60) + passage + words_of(rng, 60) + passage, words_of(rng, 30) + edited]
+    got = {r["doc_id"]: r for r in collected(passage_dedup.near_duplicate_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")))}
+    listed, want = listed_places(got[0]["passages"]), similar_places(*texts)
+    assert listed <= want and got[1]["component_id"] == 0
+    inside = set(range(0, 160)) & {x for x in listed}  # places of the first copy, away from its end
+    assert len(inside) > 100 and {x + 300 for x in inside if 50 < x} <= listed
+
+
+def test_similar_views_equal_brute_force():
+    rng, least = np.random.default_rng(5), 46
+    h = rng.integers(1, 2**31 - 1, (40, 91)).astype(np.int32) | 1
+    h[1::2] = np.where(rng.random((20, 91)) < 0.05, h[1::2], h[::2])
+    h[4:8, 10:60] = h[4:8, 10:20].repeat(5, axis=1)  # values that come again
+    h[8:12, 30:70] = np.tile(h[8:9, 30:40], 4)
+    h[12:14, :20] = 0
+    work = passage_dedup._Compared(h, np.arange(40), np.zeros((40, least), bool), np.arange(40), None, least, 0.8)
+    a, b = np.array([(i, j) for i in range(40) for j in range(40) if i // 4 == j // 4]).T
+    one, two = ([np.ascontiguousarray(x[rows].T) for x in (work.h, work.first, work.joins, work.stays, work.sizes, work.whole)] for rows in (a, b))
+    views = passage_dedup._similar_views(one[0], two[0], *one[1:4], (one[4], two[4]), (one[5], two[5]), least, 0.8)
+    sets = [[set(r[v : v + least]) if 0 not in r[v : v + least] else set() for v in range(least)] for r in h.tolist()]
+    near = np.array([[[bool(x) and len(x & y) >= 0.8 * len(x | y) for y in sets[j]] for x in sets[i]] for i, j in zip(a, b)])
+    assert (views[0].T == near.any(2)).all() and (views[1].T == near.any(1)).all() and near.any()
+
+
 def test_passages_of_nothing(empty):
     assert passage_dedup.near_duplicate_passages(empty).count() == 0
 
