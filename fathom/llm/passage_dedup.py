@@ -114,14 +114,15 @@ def _windows(least: int):
                 sums, places = _sums(h), np.arange(len(h) - SIDE + 1)
                 near = (_stretches(sums, places, places + SIDE).view(np.uint64) >> np.uint64(32)) | np.uint64(1)
                 near = np.r_[np.zeros(SIDE, np.uint64), near, np.zeros(SIDE, np.uint64)]  # the side before c is at c, that after it at c + SIDE + 1
-                for seed in _SEEDS[:HASHES]:
-                    own = _mix(h ^ seed)
-                    left, c, right = compact_windows(own, least)
-                    lo, hi = np.minimum(c - left, least - 1), np.minimum(right - c, least - 1)
-                    gl, gr = _stretches(sums, c - lo, c + 1), _stretches(sums, c, c + hi + 1)
-                    rows = [own[c].view(np.int64), np.full(len(c), u), c, lo, hi, gl, gr, ((near[c] << np.uint64(32)) | near[c + SIDE + 1]).view(np.int64)]
-                    for col, x in zip(cols, _repeated(rows, least)):
-                        col.append(x)
+                owns = [_mix(h ^ seed) for seed in _SEEDS[:HASHES]]
+                found = [compact_windows(own, least) for own in owns]
+                left, c, right = (np.concatenate(x) for x in zip(*found))
+                lo, hi = np.minimum(c - left, least - 1), np.minimum(right - c, least - 1)
+                gl, gr = _stretches(sums, c - lo, c + 1), _stretches(sums, c, c + hi + 1)
+                side = ((near[c] << np.uint64(32)) | near[c + SIDE + 1]).view(np.int64)
+                key = np.concatenate([own[roots] for own, (_, roots, _) in zip(owns, found)]).view(np.int64)
+                for col, x in zip(cols, _repeated([key, np.full(len(c), u), c, lo, hi, gl, gr, side], least)):
+                    col.append(x)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["key", "u", "c", "lo", "hi", "gl", "gr", "side", "more"])
 
