@@ -258,6 +258,20 @@ def test_run_length_index_finds_all_repeats(texts, length):
     assert [x.tolist() for x in suffix_dedup.repeated_windows(texts, length)] == expected
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_matches_that_run_on_into_the_next_text(seed):
+    """Pairs of neighbours agree over more than 1,024 bytes, the end of one and the start of the next, some pairs for longer than others."""
+    rng = random.Random(seed)
+    make = lambda n: bytes(rng.choice(b"abcdef ") for _ in range(n))
+    end, start = make(640), make(660)
+    pairs = [(make(20) + end, start[:n] + make(20)) for n in (660, 660, 410, 450, 520, 590)]
+    rng.shuffle(pairs)
+    texts = [t for p in pairs for t in p]
+    count = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    expected = [[i for i in range(len(t) - 399) if count[t[i : i + 400]] > 1] for t in texts]
+    assert [x.tolist() for x in suffix_dedup.repeated_windows(texts)] == expected
+
+
 @pytest.mark.parametrize("limits", [{}, {"group_limit": 1}, {"group_limit": 1, "anchors": (100, 400)}, {"index_bytes": 1}])
 def test_repeats(docs, rows, limits):
     expected = Counter((r[0], *b) for r, b in zip(rows, brute_repeats([(r[1] or "").encode() for r in rows], 400)))
